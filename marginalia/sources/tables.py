@@ -191,6 +191,20 @@ BOXED = ("CASE WHEN pos % 19 IN (2, 9) THEN '```' WHEN pos % 10 IN (3, 4, 5, 6)
          "concat('│ ', split_part(line, ' ', 1), ' ┼') ELSE line END")
 DIGEST = ("CASE WHEN pos % 12 = 2 THEN '## 背景速览' WHEN pos % 12 = 9 THEN concat('## ', split_part(line, ' ', 1)) "
           "WHEN pos % 4 = 3 THEN '  ' ELSE line END")
+BATTLED = ("CASE WHEN pos % 16 = 2 THEN '## ⚔️ Battle 记录' WHEN pos % 16 = 3 THEN concat('**观点状态：Monitoring**（观望） · 置信度 ', "
+           "pos, '% → ', pos % 7 * 15, '%') WHEN pos % 16 = 4 THEN concat('**Core Belief**：', line) "
+           "WHEN pos % 16 = 5 THEN '| 关键假设 | 验证程度 | 风险 |' WHEN pos % 16 = 6 THEN '|---|---|---|' "
+           "WHEN pos % 16 = 7 THEN concat('| ', split_part(line, ' ', 1), ' | 未验证 | — |') WHEN pos % 16 = 8 THEN '| — | — | |' "
+           "WHEN pos % 16 = 9 THEN concat('**反向世界**：', split_part(line, ' ', 1), ' 崩（当前现实更接近：原世界）') "
+           "WHEN pos % 16 IN (11, 13) THEN concat('#### 2024-01-', pos % 16) WHEN pos % 16 = 15 THEN '## Next' ELSE line END")
+FILED = ("CASE WHEN pos % 24 = 1 THEN '> **更新日期**：2020-01-01' WHEN pos % 24 = 3 THEN '### 1.1 行业坐标' "
+         "WHEN pos % 24 = 4 THEN '| 项目 | A |' WHEN pos % 24 = 5 THEN '|---|---|' WHEN pos % 24 = 6 THEN "
+         "CASE WHEN doc_id % 2 = 0 THEN '| （待填） | |' ELSE concat('| ', split_part(line, ' ', 1), ' | b |') END "
+         "WHEN pos % 24 = 8 THEN '### 1.3 新项目评审留档' WHEN pos % 24 = 9 THEN CASE WHEN doc_id % 3 = 0 THEN '占位' "
+         "ELSE '#### 2020 old' END WHEN pos % 24 = 11 THEN '## 行业阶段' WHEN pos % 24 = 14 THEN '## 关键变量' "
+         "WHEN pos % 24 IN (15, 16, 18) THEN concat('| **v', pos, '** | x |') WHEN pos % 24 = 20 THEN '## Next' ELSE line END")
+IMAGED = ("CASE WHEN pos % 3 = 1 THEN concat(line, '[[图:p', pos % 4, '_1.png]] tail [[图： x', pos % 5, '.png ]]') ELSE line END")
+FOLDED = ("CASE WHEN pos % 8 = 3 THEN '<details>' WHEN pos % 8 = 5 THEN concat('</details>', '  ') ELSE line END")
 
 
 def doc_lines(spark: SparkSession, sf_dir: str, rewrite: str = HEADED) -> DataFrame:
