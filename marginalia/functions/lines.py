@@ -17,23 +17,23 @@ from .text import norm_heading, unnumbered
 # A noncharacter that no valid text interchange contains; marks cut positions inside a text.
 MARK = "\uffff"
 # Cut before every "## " heading line.
-H2_CUT = rf"(?U)\n(?=##{WS_INLINE})"
+H2_CUT = rf"\n(?=##{WS_INLINE})"
 # Cut before every fence line; pieces then alternate between outside and inside of a fence.
-FENCE_CUT = rf"(?dmU)(?=^{WS_INLINE}*```)"
+FENCE_CUT = rf"(?dm)(?=^{WS_INLINE}*```)"
 
 REPEATS = 4
 REPEAT_MIN, REPEAT_MAX = 8, 80
 # Headings that open the legal tail of a report.
 LEGAL = "免责声明|法律声明|分析师声明|版权声明|公司声明"
-LEGAL_LINE = rf"(?dmU)^(?:#{{1,6}}{WS}*)?[^\n]{{0,20}}(?:{LEGAL})[^\n]{{0,20}}$"
+LEGAL_LINE = rf"(?dm)^(?:#{{1,6}}{WS}*)?[^\n]{{0,20}}(?:{LEGAL})[^\n]{{0,20}}$"
 DIGEST_HEADING = "背景速览"
 DIGEST_CAP = 3
 # Vertical and crossing box-drawing characters.
 BOX = "│┼├┤┬┴┃╋╂╞╡╪"
 _BOX_LINE = rf"(?!{WS_INLINE}*```)[^\n{BOX}]*+[{BOX}][^\n{BOX}]*+[{BOX}][^\n]*+"
-BOX_RUN = rf"(?dmU)^{_BOX_LINE}(?:\n{_BOX_LINE}){{2,}}+$"
-IMAGE_TOKEN = rf"(?U)\[\[图{WS}*[:：]{WS}*([^\]]+?){WS}*\]\]"
-DETAILS = rf"(?sU)\n?<details>.*?</details>{WS}*"
+BOX_RUN = rf"(?dm)^{_BOX_LINE}(?:\n{_BOX_LINE}){{2,}}+$"
+IMAGE_TOKEN = rf"\[\[图{WS}*[:：]{WS}*([^\]]+?){WS}*\]\]"
+DETAILS = rf"(?s)\n?<details>.*?</details>{WS}*"
 
 
 def head_line(piece: Column) -> Column:
@@ -46,7 +46,7 @@ def after_head(piece: Column) -> Column:
 
 
 def is_h2(line: Column) -> Column:
-    return line.rlike(rf"(?U)\A##{WS_INLINE}")
+    return line.rlike(rf"\A##{WS_INLINE}")
 
 
 def h2_pieces(content: str | Column) -> Column:
@@ -171,7 +171,7 @@ def cap_digest(content: str | Column, cap: int = DIGEST_CAP) -> Column:
     """In a digest section keep the first ``cap`` non-blank lines; everything else is untouched."""
     def shorten(ls: Column) -> Column:
         at = F.get(F.filter(F.transform(ls, lambda s, i: F.when(
-            strip(s).rlike(rf"(?U)\A##{WS}*{DIGEST_HEADING}\z"), i + 1)), lambda i: i.isNotNull()), F.lit(0))
+            strip(s).rlike(rf"\A##{WS}*{DIGEST_HEADING}\z"), i + 1)), lambda i: i.isNotNull()), F.lit(0))
         return let(F.coalesce(at, F.lit(0)), lambda p: F.when(p == 0, ls).otherwise(F.concat(
             F.slice(ls, F.lit(1), p),
             F.slice(F.filter(F.slice(ls, p + 1, F.size(ls)), lambda s: ~is_blank(s)), 1, cap))))
@@ -184,7 +184,7 @@ def cap_digest(content: str | Column, cap: int = DIGEST_CAP) -> Column:
 def fence_pieces(content: str | Column) -> Column:
     """The text cut before every fence line, as array of (text, fenced)."""
     def pieces(c: Column) -> Column:
-        opens = F.when(c.rlike(rf"(?U)\A{WS_INLINE}*```"), 1).otherwise(0)
+        opens = F.when(c.rlike(rf"\A{WS_INLINE}*```"), 1).otherwise(0)
         return let(opens, lambda shift: F.transform(F.split(c, FENCE_CUT), lambda p, i: F.struct(
             p.alias("text"), ((i + shift) % 2 == 1).alias("fenced"))))
     return let(col(content), pieces)
@@ -201,8 +201,8 @@ def toc_sections(content: str | Column) -> Column:
 
     Text before the first heading is a section with level 0.
     """
-    heading = rf"(?dU)\A(#{{2,3}}){WS_INLINE}+(.+?){WS_INLINE}*(?:\n|\z)"
-    marked = fenced_replace(content, rf"(?dmU)^(?=#{{2,3}}{WS_INLINE}+.)", MARK)
+    heading = rf"(?d)\A(#{{2,3}}){WS_INLINE}+(.+?){WS_INLINE}*(?:\n|\z)"
+    marked = fenced_replace(content, rf"(?dm)^(?=#{{2,3}}{WS_INLINE}+.)", MARK)
 
     def rows(pieces: Column) -> Column:
         last = F.size(pieces) - 1
@@ -289,7 +289,7 @@ def chunk_spans(content: str | Column, limit: int) -> Column:
             end.alias("e"), (end + 1).alias("at"))
 
     return F.aggregate(
-        F.split(col(content), rf"(?U)\n(?=#{{1,6}}{WS_INLINE})"), start, step,
+        F.split(col(content), rf"\n(?=#{{1,6}}{WS_INLINE})"), start, step,
         lambda acc: F.when(acc["e"] > acc["s"], F.concat(acc["out"], F.array(
             F.struct(acc["s"].alias("s"), acc["e"].alias("e"))))).otherwise(acc["out"]))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .expr import WS, col, first_nonempty, lines_of, lookup, or_else, strip
+from .expr import NON_WS, WS, WS_CHARS, col, first_nonempty, let, lines_of, lookup, or_else, strip
 from .text import squeeze, stem
 
 HEAD_LINES = 30
@@ -24,10 +24,10 @@ STATUS_RULES = [
 ]
 
 # Labels that introduce a field, in order of preference.
-TITLE = rf"(?dmU)^#{WS}+(.+)$"
-TAGS = [rf"(?iU)Tags?[:：]{WS}*((?:[\p{{L}}\p{{N}}_,/#]|{WS})+)", rf"(?U)标签[:：]{WS}*((?:[\p{{L}}\p{{N}}_,/#]|{WS})+)"]
-PROJECT = [rf"(?diU)\*\*Deal Type\*\*.*?\|{WS}*\*\*([^|*]+)\*\*", rf"(?U)项目[:：]{WS}*([^\s\x1c-\x1f]+)"]
-STATUS = [rf"(?iU)Status\*{{0,2}}[:：]{WS}*([^\n|]+)", rf"(?U)状态\*{{0,2}}[:：]{WS}*([^\n|]+)"]
+TITLE = rf"(?dm)^#{WS}+(.+)$"
+TAGS = [rf"(?i)Tags?[:：]{WS}*([\p{{L}}\p{{N}}_,/#{WS_CHARS}]+)", rf"标签[:：]{WS}*([\p{{L}}\p{{N}}_,/#{WS_CHARS}]+)"]
+PROJECT = [rf"(?di)\*\*Deal Type\*\*.*?\|{WS}*\*\*([^|*]+)\*\*", rf"项目[:：]{WS}*({NON_WS}+)"]
+STATUS = [rf"(?i)Status\*{{0,2}}[:：]{WS}*([^\n|]+)", rf"状态\*{{0,2}}[:：]{WS}*([^\n|]+)"]
 UPDATED = [rf"(?iU)Last Updated[:：]{WS}*(\d{{4}}-\d{{2}}-\d{{2}})",
            rf"(?U)更新时间[:：]{WS}*(\d{{4}}-\d{{2}}-\d{{2}})",
            rf"(?U)更新日期[:：]{WS}*(\d{{4}}-\d{{2}}-\d{{2}})"]
@@ -71,7 +71,10 @@ def last_updated(content: str | Column) -> Column:
 
 
 def normalize_status(raw: str | Column) -> Column:
-    text = col(raw)
+    return let(col(raw), _status_bucket)
+
+
+def _status_bucket(text: Column) -> Column:
     out = None
     for bucket, needles in STATUS_RULES:
         hit = F.contains(text, F.lit(needles[0]))
@@ -105,10 +108,10 @@ def doc_profile(content: str | Column, name: str | Column, section: str = "技
     """Title, one-line tagline and the gist of one named section, from the first 5000 characters."""
     text = F.left(col(content), F.lit(PROFILE_CHARS))
     body = F.regexp_extract(
-        text, rf"(?dmsU)^##{WS}*\Q{section}\E{WS}*\n(.+?)(?=^##{WS}|\z)", 1)
+        text, rf"(?dms)^##{WS}*\Q{section}\E{WS}*\n(.+?)(?=^##{WS}|\z)", 1)
     return {
         "title": or_else(strip(F.regexp_extract(text, TITLE, 1)), stem(col(name))),
-        "tagline": strip(F.regexp_extract(text, rf"(?dmU)^>{WS}*(.+)$", 1)),
+        "tagline": strip(F.regexp_extract(text, rf"(?dm)^>{WS}*(.+)$", 1)),
         "gist": F.left(squeeze(body), F.lit(GIST_CHARS)),
     }
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .expr import WS, col, let, strip
+from .expr import NON_WS, WS, col, let, strip
 
 PAGES_PER_CHUNK = 10
 TEXT_LAYER_CHARS = 100
@@ -14,9 +14,9 @@ HEAD_LINES, HEAD_CHARS = 6, 40
 # Shapes of chapter headings at the top of a page, and of contents-table lines.
 PAGE_HEADINGS = (
     r"(?U)\A(?:第[一二三四五六七八九十百零\d]+[章节篇部分]"
-    rf"|#{{1,6}}{WS}+[^\s\x1c-\x1f]"
-    r"|[一二三四五六七八九十]+、[^\s\x1c-\x1f]"
-    rf"|\d+(?:\.\d+){{0,2}}(?:[、.．]|{WS}){WS}*[^\s\x1c-\x1f])"
+    rf"|#{{1,6}}{WS}+{NON_WS}"
+    rf"|[一二三四五六七八九十]+、{NON_WS}"
+    rf"|\d+(?:\.\d+){{0,2}}(?:[、.．]|{WS}){WS}*{NON_WS})"
 )
 DOT_LEADER = rf"(?U)(?:\.{{4,}}|…{{2,}}|·{{4,}}){WS}*\d+{WS}*\z"
 

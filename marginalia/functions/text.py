@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .expr import WS, col, is_blank, lines_of, lookup, or_else, strip
+from .expr import WS, WS_CHARS, col, is_blank, lines_of, lookup, or_else, strip
 
 NAME_LIMIT = 60
 TRUNCATED = "\n……（文档过长，已截断）"
@@ -24,7 +24,7 @@ def norm_title(c: str | Column) -> Column:
 
 def norm_heading(c: str | Column) -> Column:
     """Merge key of a heading; the section number is part of the key."""
-    bare = F.regexp_replace(strip(c), rf"(?U)\A#{{1,6}}{WS}*", "")
+    bare = F.regexp_replace(strip(c), rf"\A#{{1,6}}{WS}*", "")
     return F.lower(F.replace(F.replace(bare, F.lit("："), F.lit(":")), F.lit(" "), F.lit("")))
 
 
@@ -40,13 +40,13 @@ def strip_fence(c: str | Column) -> Column:
 
 def strip_outer_fence(c: str | Column) -> Column:
     """Remove only the fence that wraps the whole text."""
-    opened = F.regexp_replace(strip(c), rf"(?U)\A```[a-zA-Z]*{WS}*\n", "")
-    return strip(F.regexp_replace(opened, rf"(?U)\n```{WS}*\z", ""))
+    opened = F.regexp_replace(strip(c), rf"\A```[a-zA-Z]*{WS}*\n", "")
+    return strip(F.regexp_replace(opened, rf"\n```{WS}*\z", ""))
 
 
 def safe_name(c: str | Column, fallback: str | Column = "未命名技术", limit: int = NAME_LIMIT) -> Column:
     """File name without path separators, wildcards or white space, at most ``limit`` characters."""
-    name = F.btrim(F.regexp_replace(strip(c), rf'(?U)(?:[\\/:*?"<>|]|{WS})+', "_"), F.lit("_"))
+    name = F.btrim(F.regexp_replace(strip(c), rf'[\\/:*?"<>|{WS_CHARS}]+', "_"), F.lit("_"))
     return F.left(or_else(name, fallback), F.lit(limit))
 
 
@@ -88,7 +88,7 @@ def session_key(path: str | Column) -> Column:
 
 def squeeze(c: str | Column) -> Column:
     """White-space runs become one blank, ends trimmed."""
-    return strip(F.regexp_replace(col(c), rf"(?U){WS}+", " "))
+    return strip(F.regexp_replace(col(c), rf"{WS}+", " "))
 
 
 def closes_session(c: str | Column) -> Column:
@@ -103,7 +103,7 @@ def bullet_items(c: str | Column) -> Column:
 
 def words(c: str | Column) -> Column:
     """Lower-cased tokens split at any white space, as an array."""
-    return F.filter(F.split(F.lower(col(c)), rf"(?U){WS}+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(col(c)), rf"{WS}+"), lambda w: w != "")
 
 
 def visible_text(c: str | Column) -> Column:

@@ -161,9 +161,11 @@ def search(docs: DataFrame, text: str, limit: int | None = SEARCH_SHOWN) -> Data
     """Weighted substring search; ties keep document order. A blank text returns all documents."""
     if not text:
         return docs.withColumn("score", F.lit(0)).orderBy(*ORDER)
-    scored = docs.withColumn("score", match_score(F.lit(text.lower()), _fields(docs))).where("score > 0")
-    out = scored.orderBy(F.desc("score"), *ORDER)
-    return out if limit is None else out.limit(limit)
+    scored = docs.withColumn("score", match_score(F.lit(text.lower()), _fields(docs)))
+    ranked = scored.orderBy(F.desc("score"), *ORDER)
+    # Zero scores go after the cut: a filter below it would be pushed into the scan and make every
+    # document be scored twice.
+    return (ranked if limit is None else ranked.limit(limit)).where("score > 0")
 
 
 def search_many(docs: DataFrame, texts: Sequence[str], limit: int = SEARCH_SHOWN) -> DataFrame:
@@ -237,8 +239,8 @@ def related(docs: DataFrame, path: str, limit: int = RELATED_SHOWN) -> DataFrame
         + 30 * F.size(F.array_intersect("tags", seed["tags"]))
         + F.when((F.col("project") != "") & (F.col("project") == seed["project"]), 50).otherwise(0)
         + F.size(F.array_intersect(long_words("content"), seed["words"])))
-    return (docs.where(F.col("path") != path).withColumn("tenths", tenths).where("tenths > 0")
-            .orderBy(F.desc("tenths"), *ORDER).limit(limit)
+    return (docs.where(F.col("path") != path).withColumn("tenths", tenths)
+            .orderBy(F.desc("tenths"), *ORDER).limit(limit).where("tenths > 0")
             .withColumn("score", F.col("tenths") / 10).drop("tenths"))
 
 

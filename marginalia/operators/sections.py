@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import WS, col, first_nonempty, let, lines_of, rstrip, strip
+from ..functions.expr import WS, WS_CHARS, col, first_nonempty, let, lines_of, rstrip, strip
 from ..functions.lines import IMAGE_TOKEN
 from ..functions.text import squeeze
 
@@ -24,7 +24,7 @@ PLACEHOLDER = "（待填）"
 UNRESOLVED = ["未验证", "部分验证"]
 VARIABLE_HEADERS = ["变量", "关键变量", "核心变量", "名称"]
 SNAPSHOT_CHARS, SNAPSHOT_VARIABLES = 400, 5
-SEPARATOR_ROW = rf"(?U)\A{WS}*\|(?:{WS}|[\-|])+\|{WS}*\z"
+SEPARATOR_ROW = rf"\A{WS}*\|[\-|{WS_CHARS}]+\|{WS}*\z"
 
 
 def section_pattern(heading: str) -> str:
@@ -104,7 +104,7 @@ def prepend_archive(content: Column, entry: Column) -> Column:
 
 def set_header_date(content: Column, day: str) -> Column:
     """Set the first update-date line; null when there is none."""
-    return edit_first(content, rf"(?dmU)^>{WS}*\*{{0,2}}更新日期\*{{0,2}}：[^\n]*",
+    return edit_first(content, rf"(?dm)^>{WS}*\*{{0,2}}更新日期\*{{0,2}}：[^\n]*",
                       lambda a, m, z: F.concat(a, F.lit(f"> **更新日期**：{day}"), z), F.lit(None).cast("string"))
 
 
@@ -149,7 +149,7 @@ def change_preview(docs: DataFrame, updates: DataFrame, key: str, heading: str =
 
 def table_rows(text: Column, header: str) -> Column:
     """Rows of the Markdown table whose first column is ``header``, as array of cell arrays."""
-    body = F.regexp_extract(text, rf"(?U)\| *\Q{header}\E *\|[^\n]*\n\|(?:{WS}|[\-|])+\|\n((?:\|[^\n]*\|\n?)++)", 1)
+    body = F.regexp_extract(text, rf"\| *\Q{header}\E *\|[^\n]*\n\|[\-|{WS_CHARS}]+\|\n((?:\|[^\n]*\|\n?)++)", 1)
     cells = F.transform(lines_of(strip(body)), lambda s: F.transform(
         F.split(F.btrim(strip(s), F.lit("|")), r"\|"),
         lambda c: F.replace(strip(c), F.lit("\\|"), F.lit("|"))))
@@ -225,12 +225,12 @@ def inline_images(content: Column, images: Column, folder: Column) -> Column:
         caption = F.when(page != "", F.concat(F.lit("p."), page)).otherwise("")
         link = F.concat(F.lit("!["), caption, F.lit(" 图表]("), folder, F.lit("/"), name, F.lit(")"))
         quoted = F.regexp_replace(link, r"([\\$])", r"\\$1")
-        token = F.concat(F.lit(rf"(?U)\[\[图{WS}*[:：]{WS}*\Q"), name, F.lit(rf"\E{WS}*\]\]"))
+        token = F.concat(F.lit(rf"\[\[图{WS}*[:：]{WS}*\Q"), name, F.lit(rf"\E{WS}*\]\]"))
         return F.regexp_replace(text, token, quoted)
     return F.aggregate(used_images(content, images), content, swap)
 
 
 def headings(content: str | Column) -> Column:
     """Heading lines of a framework document, the whitelist of merged documents."""
-    return F.filter(F.transform(lines_of(content), strip), lambda s: s.rlike(rf"(?U)\A#{{1,6}}{WS}"))
+    return F.filter(F.transform(lines_of(content), strip), lambda s: s.rlike(rf"\A#{{1,6}}{WS}"))
 

@@ -38,7 +38,7 @@ ITEMS = f"""R AS (SELECT event_id, {DUCK_REPLY} AS t FROM events),
 
 
 def replies(spark, sf):
-    return S.table(spark, sf, "events").select("event_id", F.expr(SPARK_REPLY).alias("reply"))
+    return S.spread(S.table(spark, sf, "events"), "event_id").select("event_id", F.expr(SPARK_REPLY).alias("reply"))
 
 
 @query("sca04_json_array_parse", with_(ITEMS) + "SELECT event_id, CAST(pos AS BIGINT) AS pos, title FROM IT WHERE title <> '' AND pos < 2")
@@ -66,7 +66,7 @@ OBJ = f"""R AS (SELECT event_id, {OBJECT.format(s='VARCHAR')} AS t FROM events),
 
 
 def objects(spark, sf):
-    return S.table(spark, sf, "events").select("event_id", F.expr(OBJECT.format(s="STRING")).alias("reply"))
+    return S.spread(S.table(spark, sf, "events"), "event_id").select("event_id", F.expr(OBJECT.format(s="STRING")).alias("reply"))
 
 
 @query("sca05_json_object_parse", with_(OBJ) + """SELECT event_id, CASE WHEN js IS NOT NULL THEN CAST(json_extract_string(js, '$.n') AS BIGINT) END AS n FROM A""")
@@ -205,11 +205,11 @@ def _(spark, sf):
 
 @query("udf02_request_build", """SELECT CAST(event_id // 8 AS BIGINT) AS batch, CAST(count(*) AS BIGINT) AS n_articles,
  concat('[', string_agg(concat('{"title":"', event_type, '","account":"u', CAST(user_id AS VARCHAR), '","date":"', CAST(CAST(ts AS DATE) AS VARCHAR),
-  '","text":"', repeat('x', least(4000, 100 * user_id)), '"}'), ',' ORDER BY event_id), ']') AS payload FROM events GROUP BY 1""")
+  '","text":"', repeat('x', least(4000, 300 * (user_id % 20))), '"}'), ',' ORDER BY event_id), ']') AS payload FROM events GROUP BY 1""")
 def _(spark, sf):
     a = S.table(spark, sf, "events").selectExpr(
         "event_id AS seq", "concat(' ', event_type) AS title", "concat('u', user_id) AS account",
-        "CAST(ts AS STRING) AS date", "repeat('x', CAST(100 * user_id AS INT)) AS text")
+        "CAST(ts AS STRING) AS date", "repeat('x', CAST(300 * (user_id % 20) AS INT)) AS text")
     return G.article_payload(a, "seq")
 
 

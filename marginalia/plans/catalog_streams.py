@@ -36,7 +36,7 @@ def _(spark, sf):
 
 
 def theme_stream(spark, sf):
-    return stream_table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("theme"))
+    return stream_table(spark, sf, "events").select("ts", F.col("event_type").alias("theme"))
 
 
 @query("str04_rolling_7d", """SELECT CAST(CAST(CAST(ts AS DATE) - CAST(i AS INTEGER) AS DATE) AS VARCHAR) AS from_day, event_type AS theme, CAST(count(*) AS BIGINT) AS n

@@ -24,7 +24,7 @@ def visible_lines(fragment: Column) -> Column:
     """Text of an HTML fragment, one line per run of text, blank lines dropped."""
     bare = F.regexp_replace(F.regexp_replace(fragment, r"(?s)<script.*?</script>", ""), r"(?s)<style.*?</style>", "")
     text = unescape(F.regexp_replace(bare, r"<[^>]+>", "\n"))
-    broken = F.regexp_replace(text, r"\r\n|[\r\x0b\x0c\x1c-\x1e\x85  ]", "\n")
+    broken = F.regexp_replace(text, r"\r\n|[\r\x0b\f\x1c-\x1e\x85\u2028\u2029]", "\n")
     return F.array_join(F.filter(F.transform(lines_of(broken), strip), lambda s: s != ""), "\n")
 
 

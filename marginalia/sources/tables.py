@@ -14,6 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores on an input with fewer splits than cores (one small file); larger inputs, which
+    have enough splits of their own, are returned as they are. Hashing a unique key keeps the
+    placement the same when a task is run again."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores, key) if splits < cores else df
+
+
 def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A constant dimension as a local relation: it is part of the plan, so its size is known."""
     if len(rows) > 1000:
@@ -39,7 +48,7 @@ def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 
 def kb_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corpus table without the status; root files have the empty category key."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"), "doc_id")
     return d.selectExpr(
         "doc_id",
         "CASE WHEN doc_id % 50 = 0 THEN '' ELSE source END AS category_key",
@@ -175,7 +184,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _lines(spark: SparkSession, sf_dir: str, line: str, extra: str = "") -> DataFrame:
     """Documents whose lines are rewritten by a SQL expression over (line, pos)."""
-    d = table(spark, sf_dir, "documents").selectExpr("doc_id", "source", "lang", "split(text, '\\n') AS ls")
+    d = spread(table(spark, sf_dir, "documents"), "doc_id").selectExpr("doc_id", "source", "lang", "split(text, '\\n') AS ls")
     return d.selectExpr(
         "doc_id", "source", "lang", f"array_join(transform(ls, (line, pos) -> {line}), '\\n') AS content")
 
@@ -216,7 +225,7 @@ PAGE_LINES = 2
 
 def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paged documents: two lines per page, some pages start a chapter, some are blank."""
-    return table(spark, sf_dir, "documents").selectExpr("doc_id", """transform(array(split(text, '\\n')), ls ->
+    return spread(table(spark, sf_dir, "documents"), "doc_id").selectExpr("doc_id", """transform(array(split(text, '\\n')), ls ->
         transform(sequence(0, CAST((size(ls) - 1) div 2 AS INT)), p ->
         CASE WHEN p % 9 = 8 THEN '' ELSE concat(
           CASE WHEN p % 7 = 2 THEN concat('第', CAST(p AS STRING), '章 x', chr(10))
@@ -225,4 +234,4 @@ def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def web_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages")
+    return spread(table(spark, sf_dir, "pages"), "page_id")
