@@ -7,13 +7,14 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from .expr import col
 from .text import unescape
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def _decode(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 

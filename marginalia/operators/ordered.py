@@ -13,14 +13,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Rows a bucket may hold: sequence numbers are unique within a group, so a range of this many
-# numbers cannot hold more rows than this.
+# Rows a bucket of dense numbers may hold: numbers are unique within a group, so a range of this
+# many numbers cannot hold more rows than this.
 BUCKET_ROWS = 1_000_000
-# Cut points kept for groups ordered by text.
-CUT_POINTS = 256
+# Cut points between buckets of any other order: COARSE * COARSE, found in two short searches.
+COARSE = 64
+# Rows looked at per cut point; the sample is this many times the number of cut points.
+OVERSAMPLE = 16
 
 
-def seq_bucket(seq: str | Column, rows: int = BUCKET_ROWS) -> Column:
+def dense_bucket(seq: str | Column, rows: int = BUCKET_ROWS) -> Column:
+    """Bucket of a number that counts up without large gaps, such as a row number."""
     return F.floor((F.col(seq) if isinstance(seq, str) else seq) / rows)
 
 
@@ -50,21 +53,31 @@ def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
 
 
-def text_cut_points(df: DataFrame, cols: Sequence[str]) -> Column:
-    """Sorted sample of at most ``CUT_POINTS`` ordering keys, as a scalar subquery.
+def cut_points(df: DataFrame, cols: Sequence[str]) -> Column:
+    """Sorted sample of at most COARSE * COARSE ordering keys, as a scalar subquery.
 
-    The sample takes the rows with the smallest hashes: it depends on the data only, so a retried
-    task sees the same cut points.
+    Rows are thinned out by their hash, then those with the smallest second hash are taken. The
+    sample depends on the data only, so a retried task sees the same cut points, and its size does
+    not grow with the table.
     """
-    sample = (df.select(F.struct(*cols).alias("_k")).orderBy(F.xxhash64("_k"), "_k").limit(CUT_POINTS)
-              .agg(F.sort_array(F.collect_set("_k"))))
-    return sample.scalar()
-
-
-def with_text_bucket(df: DataFrame, cols: Sequence[str], out: str = "_bucket") -> DataFrame:
-    """Order-preserving bucket number by sampled cut points."""
-    cut = df.withColumn("_cuts", text_cut_points(df, cols))
-    return cut.withColumn(out, F.size(F.filter("_cuts", lambda c: c < F.struct(*cols)))).drop("_cuts")
+    wanted = COARSE * COARSE
+    keys = df.select(F.struct(*cols).alias("_k"))
+    every = F.greatest(F.floor(keys.agg(F.count(F.lit(1))).scalar() / (wanted * OVERSAMPLE)), F.lit(1))
+    sample = (keys.where(F.pmod(F.xxhash64("_k"), every) == 0)
+              .orderBy(F.xxhash64("_k", F.lit(1)), "_k").limit(wanted)
+              .agg(F.sort_array(F.collect_set("_k")).alias("all")))
+    every_nth = F.filter("all", lambda c, i: i % COARSE == COARSE - 1)
+    return sample.select(F.struct("all", every_nth.alias("coarse"))).scalar()
+
+
+def with_order_bucket(df: DataFrame, cols: Sequence[str], out: str = "_bucket") -> DataFrame:
+    """Order-preserving bucket number: how many cut points lie below the row's key. A coarse search
+    picks a block of cut points, a fine one searches in it."""
+    key = F.struct(*cols)
+    rows = df.withColumn("_cuts", cut_points(df, cols))
+    rows = rows.withColumn("_at", F.size(F.filter("_cuts.coarse", lambda c: c < key)) * COARSE)
+    block = F.slice(F.col("_cuts.all"), F.col("_at") + 1, F.lit(COARSE))
+    return rows.withColumn(out, F.col("_at") + F.size(F.filter(block, lambda c: c < key))).drop("_cuts", "_at")
 
 
 def neighbours(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str | Column,
@@ -109,9 +122,11 @@ def running_sum(df: DataFrame, group: Sequence[str], order: Sequence[str], amoun
 
 
 def number_rows(df: DataFrame, group: Sequence[str], seq: str, out: str = "n",
-                rows: int = BUCKET_ROWS) -> DataFrame:
-    """Dense 1-based row numbers within the group, in the order of a unique sequence number."""
-    bucketed = df.withColumn("_bucket", seq_bucket(seq, rows))
+                dense: int | None = None) -> DataFrame:
+    """Row numbers 1, 2, ... within the group, in the order of a unique sequence number. Buckets
+    come from sampled cut points, or from ranges of ``dense`` numbers."""
+    bucketed = (df.withColumn("_bucket", dense_bucket(seq, dense)) if dense
+                else with_order_bucket(df, [*group, seq]))
     return running_sum(bucketed, group, [seq], F.lit(1), "_bucket", out).drop("_bucket")
 
 
@@ -127,13 +142,13 @@ def unique_names(new: DataFrame, existing: DataFrame, base: str = "base", seq: s
     ranked = number_rows(used, [base], "_u", "_j", rows)
     steps = ranked.groupBy(base, (F.col("_u") - F.col("_j") + 1).alias("_at")).agg(
         F.count(F.lit(1)).alias("_cnt"))
-    numbered = number_rows(new, [base], seq, "_k", rows)
+    numbered = number_rows(new, [base], seq, "_k")
     payload = [c for c in new.columns if c != base]
     both = numbered.select(base, F.col("_k").alias("_at"), F.lit(0).cast("long").alias("_cnt"),
                            F.struct(*payload).alias("_row")).unionByName(
         steps.select(base, "_at", "_cnt"), allowMissingColumns=True)
     both = both.withColumn("_new", F.col("_row").isNotNull().cast("int"))
-    counted = running_sum(both.withColumn("_bucket", seq_bucket("_at", rows)), [base], ["_at", "_new"],
+    counted = running_sum(both.withColumn("_bucket", dense_bucket("_at", rows)), [base], ["_at", "_new"],
                           F.col("_cnt"), "_bucket", "_skip")
     n = F.col("_at") + F.col("_skip")
     return counted.where(F.col("_new") == 1).select(

@@ -132,7 +132,7 @@ def _(spark, sf):
 @query("met11_safe_name", r"""SELECT doc_id, left(coalesce(nullif(trim(regexp_replace(trim(text, """ + V.BLANKS + r"""),
  '[\\/:*?"<>|\s]+', '_', 'g'), '_'), ''), 'none'), 60) AS safe_name FROM documents""")
 def _(spark, sf):
-    return S.table(spark, sf, "documents").select("doc_id", T.safe_name("text", "none").alias("safe_name"))
+    return S.spread(S.table(spark, sf, "documents"), "doc_id").select("doc_id", T.safe_name("text", "none").alias("safe_name"))
 
 
 @query("met12_route_target", with_(V.S) + r"""SELECT seq, CASE WHEN seq % 3 = 0 THEN concat('t', CAST(sub_query AS VARCHAR), '.md')
@@ -237,7 +237,7 @@ def _(spark, sf):
         region.selectExpr("lower(r_name) AS keyword", "'region' AS track", "100 + r_regionkey AS prio"))
     merged = K.merge_keywords(base, local)
     # One position per keyword: built-in ones first, then the local additions.
-    ordered = merged.withColumn("seq", F.col("block") * 1000 + F.col("prio")).withColumn("g", F.lit(0))
+    ordered = merged.withColumn("seq", F.col("block") * 1_000_000 + F.col("prio")).withColumn("g", F.lit(0))
     return O.number_rows(ordered, ["g"], "seq", "pos").select("keyword", "track", "pos")
 
 

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.html import unescape_all
 from ..operators import enrich as E
+from ..operators import signals as G
+from ..session import shared_dir
+from ..sources import corpus_files, logs
 from ..sources import tables as S
 from ..streaming import costs, jobs, narratives, signals
 from ..streaming.sinks import run_to_table, stream_table
@@ -72,3 +76,48 @@ def _(spark, sf):
     requests = S.table(spark, sf, "documents").select("doc_id", F.col("text").alias("prompt"))
     answered = E.enrich(requests, "prompt", lambda prompts: [f"reply: {p}" for p in prompts])
     return answered.select("doc_id", F.md5("reply").alias("h"), "failed")
+
+
+# ---- sinks and decoders: write to the shared folder, read back --------------------------------
+
+@query("snk01_index_write", with_(V.K) + "SELECT path, name, size, content FROM K WHERE category_key = 'src3'")
+def _(spark, sf):
+    path = shared_dir(spark, "index")
+    corpus_files.write_index(S.kb_docs(spark, sf), path)
+    return spark.read.parquet(path).where("part = 'src3'").select("path", "name", "size", "content")
+
+
+@query("snk02_atomic_overwrite", with_(V.S) + "SELECT seq, title FROM SK WHERE seq IN (SELECT min(seq) FROM SK WHERE key <> '' GROUP BY key)")
+def _(spark, sf):
+    path, items = shared_dir(spark, "state"), S.signals(spark, sf)
+    logs.save_state(items, path)
+    logs.save_state(G.dedup(items), path)
+    return spark.read.parquet(path).select("seq", "title")
+
+
+@query("snk03_log_append", with_(V.C) + "SELECT day AS ts, feature, model, prompt_tokens, completion_tokens FROM C")
+def _(spark, sf):
+    path, log = shared_dir(spark, "log"), S.cost_log(spark, sf).withColumnRenamed("day", "ts").drop("seq")
+    logs.append_log(log.where("prompt_tokens % 2 = 0"), path)
+    logs.append_log(log.where("prompt_tokens % 2 <> 0"), path)
+    return logs.parse_cost_lines(logs.read_lines(spark, path)).where("NOT corrupt").select(
+        "ts", "feature", "model", "prompt_tokens", "completion_tokens")
+
+
+ASCII = "regexp_replace(text, '[^ -~\\\\n]', ''{g})"
+
+
+@query("src02_text_decode", f"""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN concat({ASCII.format(g=", 'g'")}, '测试')
+ ELSE concat({ASCII.format(g=", 'g'")}, chr(65533)) END AS text FROM documents""".replace("\\\\n", "\\n"))
+def _(spark, sf):
+    files = S.spread(S.table(spark, sf, "documents"), "doc_id").selectExpr(
+        "doc_id", f"CASE doc_id % 3 WHEN 0 THEN CAST(text AS BINARY) WHEN 1 THEN concat(CAST({ASCII.format(g='')} AS BINARY), X'B2E2CAD4') "
+        f"ELSE concat(CAST({ASCII.format(g='')} AS BINARY), X'FF') END AS content")
+    return corpus_files.decode_text(files).select("doc_id", "text")
+
+
+@query("udf04_unescape", """SELECT doc_id, concat(replace(text, '&', '+'), CASE WHEN doc_id % 4 = 0 THEN 'é中…' ELSE '<&amp;"' END) AS text FROM documents""")
+def _(spark, sf):
+    tail = F.when(F.col("doc_id") % 4 == 0, "&eacute;&#x4e2d;&hellip;").otherwise("&lt;&amp;amp;&quot;")
+    raw = F.concat(F.replace("text", F.lit("&"), F.lit("+")), tail)
+    return S.spread(S.table(spark, sf, "documents"), "doc_id").select("doc_id", unescape_all(raw).alias("text"))

@@ -21,7 +21,7 @@ BINARY_SCHEMA = T.StructType([
     T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def _gbk(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     def decode(raw):
         if raw is None:
