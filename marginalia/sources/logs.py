@@ -14,13 +14,13 @@ CORRUPT = "_corrupt_record"
 
 
 def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON array file as rows. A missing file is empty, and so is a file that is not valid JSON."""
-    wide = T._parse_datatype_string(schema).add(CORRUPT, T.StringType())
+    """A JSON array file as rows. A missing file is empty, and so is one that is not valid JSON."""
+    fields = T._parse_datatype_string(schema)
     if not _exists(spark, path):
-        return spark.createDataFrame([], T._parse_datatype_string(schema))
-    rows = (spark.read.schema(wide).option("multiLine", True).option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", CORRUPT).json(path))
-    return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+        return spark.createDataFrame([], fields)
+    files = spark.read.text(path, wholetext=True)
+    valid = F.try_parse_json("value").isNotNull()
+    return files.where(valid).select(F.inline(F.from_json("value", T.ArrayType(fields))))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
