@@ -14,7 +14,7 @@ from ..functions import lines as L
 from ..functions import metadata as M
 from ..functions.expr import first_nonempty, let, or_else
 from ..functions.text import base_name, words
-from .ordered import neighbours, top_per_group, with_order_bucket
+from .ordered import neighbours, top_per_group
 
 # Category folders with name, icon and description; unknown ones show as 其他.
 OTHER = "其他"
@@ -288,10 +288,8 @@ def category_preview(docs: DataFrame, n: int = 5) -> DataFrame:
 
 def prev_next(docs: DataFrame) -> DataFrame:
     """Previous and next document within the category, by name."""
-    named = with_order_bucket(docs.where("category_key <> ''").select("category_key", "name", "path"),
-                             ["category_key", "name"])
-    return neighbours(named, ["category_key"], ["name"], "path", "_bucket",
-                      prev="prev_path", next_="next_path").drop("_bucket")
+    named = docs.where("category_key <> ''").select("category_key", "name", "path")
+    return neighbours(named, ["category_key"], ["name"], "path", prev="prev_path", next_="next_path")
 
 
 def battle_order(docs: DataFrame, deals_key: str = "02_deals") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import strip
-from .ordered import keep_last, neighbours, top_per_group, with_order_bucket
+from .ordered import keep_last, neighbours, top_per_group
 from .signals import in_range, since, theme_distribution
 
 FIRST = "（首次建立）"
@@ -26,8 +26,7 @@ def history(feed: DataFrame, current: DataFrame | None = None) -> DataFrame:
     feed = _told(feed)
     if "is_transition" not in feed.columns:
         feed = feed.withColumn("is_transition", F.lit(False))
-    rows = neighbours(with_order_bucket(feed, ["theme", "seq"]), ["theme"], ["seq"], "narrative",
-                      "_bucket", prev="prev").drop("_bucket")
+    rows = neighbours(feed, ["theme"], ["seq"], "narrative", prev="prev")
     if current is not None:
         known = current.select("theme", F.col("narrative").alias("_known"))
         rows = rows.join(known, "theme", "left").withColumn("prev", F.coalesce("prev", "_known"))

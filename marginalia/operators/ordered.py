@@ -1,8 +1,9 @@
 """Order-sensitive operators that stay safe when one group holds a large share of all rows.
 
-A plain ``lag() OVER (PARTITION BY group ORDER BY seq)`` sorts a whole group in one task. Here a
-group is cut into order-preserving buckets; each bucket is one task's worth of rows, and only one
-summary row per bucket crosses bucket borders.
+``lag() OVER (PARTITION BY group ORDER BY seq)`` sorts a whole group in one task. That is the plan
+used as long as every group fits one. When some do not, groups are cut into order-preserving
+buckets: each bucket is one task's worth of rows, and one summary row per bucket carries values
+across bucket borders.
 """
 
 from __future__ import annotations
@@ -13,20 +14,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Rows a bucket of dense numbers may hold: numbers are unique within a group, so a range of this
-# many numbers cannot hold more rows than this.
+from ..functions.expr import let
+
+# Rows of one group that one task may sort. A bucket of row numbers holds at most this many rows.
 BUCKET_ROWS = 1_000_000
-# Cut points between buckets of any other order: COARSE * COARSE, found in two short searches.
-COARSE = 64
+# Cut points between buckets of any other order; a power of two.
+CUT_POINTS = 4096
 # Rows looked at per cut point; the sample is this many times the number of cut points.
 OVERSAMPLE = 16
 
 
-def dense_bucket(seq: str | Column, rows: int = BUCKET_ROWS) -> Column:
-    """Bucket of a number that counts up without large gaps, such as a row number."""
-    return F.floor((F.col(seq) if isinstance(seq, str) else seq) / rows)
-
-
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """The first row per key in the given order.
 
@@ -53,81 +50,102 @@ def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
 
 
+def hot_groups(df: DataFrame, group: Sequence[str], rows: int = BUCKET_ROWS) -> DataFrame | None:
+    """Groups too large for one task, or None.
+
+    A group must also hold more than ``1 / CUT_POINTS`` of all rows to count, so there are fewer
+    than ``CUT_POINTS`` of them: few enough to fetch and to broadcast, whatever the table's size.
+    """
+    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    share = F.floor(df.agg(F.count(F.lit(1))).scalar() / CUT_POINTS)
+    hot = sizes.where(F.col("_n") > F.greatest(F.lit(rows), share)).select(*group, F.lit(True).alias("_hot"))
+    found = hot.collect()
+    return df.sparkSession.createDataFrame(found, hot.schema) if found else None
+
+
 def cut_points(df: DataFrame, cols: Sequence[str]) -> Column:
-    """Sorted sample of at most COARSE * COARSE ordering keys, as a scalar subquery.
+    """Sorted sample of at most ``CUT_POINTS`` ordering keys, as a scalar subquery.
 
     Rows are thinned out by their hash, then those with the smallest second hash are taken. The
     sample depends on the data only, so a retried task sees the same cut points, and its size does
     not grow with the table.
     """
-    wanted = COARSE * COARSE
     keys = df.select(F.struct(*cols).alias("_k"))
-    every = F.greatest(F.floor(keys.agg(F.count(F.lit(1))).scalar() / (wanted * OVERSAMPLE)), F.lit(1))
+    every = F.greatest(F.floor(keys.agg(F.count(F.lit(1))).scalar() / (CUT_POINTS * OVERSAMPLE)), F.lit(1))
     sample = (keys.where(F.pmod(F.xxhash64("_k"), every) == 0)
-              .orderBy(F.xxhash64("_k", F.lit(1)), "_k").limit(wanted)
-              .agg(F.sort_array(F.collect_set("_k")).alias("all")))
-    every_nth = F.filter("all", lambda c, i: i % COARSE == COARSE - 1)
-    return sample.select(F.struct("all", every_nth.alias("coarse"))).scalar()
+              .orderBy(F.xxhash64("_k", F.lit(1)), "_k").limit(CUT_POINTS)
+              .agg(F.sort_array(F.collect_set("_k"))))
+    return sample.scalar()
+
 
+def with_order_bucket(df: DataFrame, group: Sequence[str], order: Sequence[str],
+                      hot: DataFrame) -> DataFrame:
+    """Order-preserving ``_bucket`` number within hot groups: how many cut points lie below the
+    row's key, found by binary search. Rows of all other groups are in bucket 0 and skip the search."""
+    cols = [*group, *order]
+    cuts = cut_points(df.join(F.broadcast(hot), list(group)), cols)
+    strides = F.array(*[F.lit(1 << k) for k in range(CUT_POINTS.bit_length() - 1, -1, -1)])
 
-def with_order_bucket(df: DataFrame, cols: Sequence[str], out: str = "_bucket") -> DataFrame:
-    """Order-preserving bucket number: how many cut points lie below the row's key. A coarse search
-    picks a block of cut points, a fine one searches in it."""
-    key = F.struct(*cols)
-    rows = df.withColumn("_cuts", cut_points(df, cols))
-    rows = rows.withColumn("_at", F.size(F.filter("_cuts.coarse", lambda c: c < key)) * COARSE)
-    block = F.slice(F.col("_cuts.all"), F.col("_at") + 1, F.lit(COARSE))
-    return rows.withColumn(out, F.col("_at") + F.size(F.filter(block, lambda c: c < key))).drop("_cuts", "_at")
+    def search(v: Column) -> Column:
+        return F.aggregate(strides, F.lit(0), lambda at, stride: F.when(
+            F.get(v["cuts"], at + stride - 1) < v["key"], at + stride).otherwise(at))
+    bound = F.struct(F.col("_cuts").alias("cuts"), F.struct(*cols).alias("key"))
+    return (df.join(F.broadcast(hot), list(group), "left").withColumn("_cuts", cuts)
+            .withColumn("_bucket", F.when(F.col("_hot"), let(bound, search)).otherwise(0)).drop("_cuts", "_hot"))
 
 
-def neighbours(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str | Column,
-               bucket: str, prev: str | None = None, next_: str | None = None) -> DataFrame:
-    """Value of the previous and/or next row of the group, across bucket borders.
+def neighbours(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str,
+               prev: str | None = None, next_: str | None = None, rows: int = BUCKET_ROWS) -> DataFrame:
+    """Value of the previous and/or next row of the group.
 
-    The edge rows of buckets are found by a pre-aggregated group-by. Edges and rows meet on
-    (group, bucket), the same keys the window uses, so the rows are shuffled once.
+    With hot groups the edge rows of their buckets are found by a pre-aggregated group-by. Edges
+    and rows meet on (group, bucket), the keys the window uses, so the rows are shuffled once.
     """
-    val = F.col(value) if isinstance(value, str) else value
-    df = df.withColumn("_v", val)
+    hot = hot_groups(df, group, rows)
+    if hot is None:
+        w = W.partitionBy(*group).orderBy(*order)
+        extra = {**({prev: F.lag(value).over(w)} if prev else {}), **({next_: F.lead(value).over(w)} if next_ else {})}
+        return df.withColumns(extra)
+    df = with_order_bucket(df.withColumn("_v", F.col(value)), group, order, hot)
     by = F.struct(*order)
-    edges = df.groupBy(*group, bucket).agg(
+    edges = df.groupBy(*group, "_bucket").agg(
         F.min_by("_v", by).alias("_first"), F.max_by("_v", by).alias("_last"))
-    across = W.partitionBy(*group).orderBy(bucket)
-    edges = edges.select(*group, bucket, F.lag("_last").over(across).alias("_before"),
+    across = W.partitionBy(*group).orderBy("_bucket")
+    edges = edges.select(*group, "_bucket", F.lag("_last").over(across).alias("_before"),
                          F.lead("_first").over(across).alias("_after"))
-    joined = df.join(edges, [*group, bucket], "left")
-    inside = W.partitionBy(*group, bucket).orderBy(*order)
-    extra = {}
-    if prev:
-        extra[prev] = F.coalesce(F.lag("_v").over(inside), F.when(
-            F.row_number().over(inside) == 1, F.col("_before")))
-    if next_:
-        down = W.partitionBy(*group, bucket).orderBy(*[F.desc(c) for c in order])
-        extra[next_] = F.coalesce(F.lag("_v").over(down), F.when(
-            F.row_number().over(down) == 1, F.col("_after")))
-    return joined.withColumns(extra).drop("_v", "_before", "_after")
-
-
-def running_sum(df: DataFrame, group: Sequence[str], order: Sequence[str], amount: Column,
-                bucket: str, out: str) -> DataFrame:
-    """Inclusive running sum within the group, in two levels: totals of earlier buckets plus the
-    running sum inside the row's own bucket."""
+    joined = df.join(edges, [*group, "_bucket"], "left")
+    inside = W.partitionBy(*group, "_bucket").orderBy(*order)
+    down = W.partitionBy(*group, "_bucket").orderBy(*[F.desc(c) for c in order])
+
+    def step(w, edge: str) -> Column:
+        return F.coalesce(F.lag("_v").over(w), F.when(F.row_number().over(w) == 1, F.col(edge)))
+    extra = {**({prev: step(inside, "_before")} if prev else {}), **({next_: step(down, "_after")} if next_ else {})}
+    return joined.withColumns(extra).drop("_v", "_before", "_after", "_bucket")
+
+
+def running_sum(df: DataFrame, group: Sequence[str], order: Sequence[str], amount: Column, out: str,
+                bucketed: bool) -> DataFrame:
+    """Inclusive running sum within the group; over a ``_bucket`` column in two levels: totals of
+    earlier buckets plus the running sum inside the row's own bucket."""
+    if not bucketed:
+        w = W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        return df.withColumn(out, F.sum(amount.cast("long")).over(w))
     df = df.withColumn("_a", amount.cast("long"))
-    totals = df.groupBy(*group, bucket).agg(F.sum("_a").alias("_t"))
-    before = W.partitionBy(*group).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select(*group, bucket, F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
-    inside = W.partitionBy(*group, bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return (df.join(totals, [*group, bucket], "left")
-            .withColumn(out, F.col("_off") + F.sum("_a").over(inside)).drop("_a", "_off"))
+    totals = df.groupBy(*group, "_bucket").agg(F.sum("_a").alias("_t"))
+    before = W.partitionBy(*group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select(*group, "_bucket", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
+    inside = W.partitionBy(*group, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    return (df.join(totals, [*group, "_bucket"], "left")
+            .withColumn(out, F.col("_off") + F.sum("_a").over(inside)).drop("_a", "_off", "_bucket"))
 
 
 def number_rows(df: DataFrame, group: Sequence[str], seq: str, out: str = "n",
-                dense: int | None = None) -> DataFrame:
-    """Row numbers 1, 2, ... within the group, in the order of a unique sequence number. Buckets
-    come from sampled cut points, or from ranges of ``dense`` numbers."""
-    bucketed = (df.withColumn("_bucket", dense_bucket(seq, dense)) if dense
-                else with_order_bucket(df, [*group, seq]))
-    return running_sum(bucketed, group, [seq], F.lit(1), "_bucket", out).drop("_bucket")
+                rows: int = BUCKET_ROWS) -> DataFrame:
+    """Row numbers 1, 2, ... within the group, in the order of a unique sequence number."""
+    hot = hot_groups(df, group, rows)
+    if hot is not None:
+        df = with_order_bucket(df, group, [seq], hot)
+    return running_sum(df, group, [seq], F.lit(1), out, hot is not None)
 
 
 def unique_names(new: DataFrame, existing: DataFrame, base: str = "base", seq: str = "seq",
@@ -136,20 +154,27 @@ def unique_names(new: DataFrame, existing: DataFrame, base: str = "base", seq: s
 
     ``existing`` holds (base, suffix) with suffix 1 for the bare name. With the used suffixes
     u_1 < u_2 < ... there are u_j - j free ones below u_j, hence the k-th free suffix is k plus the
-    number of j with u_j - j < k: a running count over both inputs, no per-base arrays.
+    number of j with u_j - j < k: a running count over both inputs, no per-base arrays. The numbers
+    of a base are unique, so ranges of them make bounded buckets.
     """
     used = existing.select(base, F.col(suffix).cast("long").alias("_u")).distinct()
-    ranked = number_rows(used, [base], "_u", "_j", rows)
+    payload = [c for c in new.columns if c != base]
+    hot = hot_groups(new.select(base).unionByName(used.select(base)), [base], rows)
+    split = hot is not None
+
+    def bucket(df: DataFrame, number: str) -> DataFrame:
+        return df.withColumn("_bucket", F.floor(F.col(number) / rows)) if split else df
+
+    ranked = running_sum(bucket(used, "_u"), [base], ["_u"], F.lit(1), "_j", split)
     steps = ranked.groupBy(base, (F.col("_u") - F.col("_j") + 1).alias("_at")).agg(
         F.count(F.lit(1)).alias("_cnt"))
-    numbered = number_rows(new, [base], seq, "_k")
-    payload = [c for c in new.columns if c != base]
+    numbered = with_order_bucket(new, [base], [seq], hot) if split else new
+    numbered = running_sum(numbered, [base], [seq], F.lit(1), "_k", split)
     both = numbered.select(base, F.col("_k").alias("_at"), F.lit(0).cast("long").alias("_cnt"),
                            F.struct(*payload).alias("_row")).unionByName(
         steps.select(base, "_at", "_cnt"), allowMissingColumns=True)
-    both = both.withColumn("_new", F.col("_row").isNotNull().cast("int"))
-    counted = running_sum(both.withColumn("_bucket", dense_bucket("_at", rows)), [base], ["_at", "_new"],
-                          F.col("_cnt"), "_bucket", "_skip")
+    both = bucket(both.withColumn("_new", F.col("_row").isNotNull().cast("int")), "_at")
+    counted = running_sum(both, [base], ["_at", "_new"], F.col("_cnt"), "_skip", split)
     n = F.col("_at") + F.col("_skip")
     return counted.where(F.col("_new") == 1).select(
         base, *[F.col("_row")[c].alias(c) for c in payload],

@@ -128,7 +128,7 @@ def cost_log(spark: SparkSession, sf_dir: str, events: DataFrame | None = None)
 
 def narratives(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
     """Narrative feed: the order key is the append order; dates are not in that order."""
-    o = orders if orders is not None else table(spark, sf_dir, "orders")
+    o = orders if orders is not None else spread(table(spark, sf_dir, "orders"), "o_orderkey")
     return o.selectExpr(
         "concat('c', CAST(o_custkey AS STRING)) AS theme", "o_orderkey AS seq",
         "CAST(date_add(DATE '2024-01-01', CAST(o_orderkey % 45 AS INT)) AS STRING) AS date",

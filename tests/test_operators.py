@@ -7,26 +7,31 @@ from pyspark.sql import functions as F
 from marginalia.operators import chat, corpus, costs, enrich, jobs, lookup, narratives, ordered, pages, signals
 
 
-def test_order_buckets_on_a_hot_group(spark):
+def test_neighbours_of_a_hot_group(spark):
     rng = random.Random(1)
     rows = [("hot" if rng.random() < 0.5 else f"g{i % 7}", f"n{rng.random():.9f}") for i in range(6000)]
-    df = ordered.with_order_bucket(spark.createDataFrame(rows, "g string, name string"), ["g", "name"])
-    sizes = df.groupBy("g", "_bucket").count().agg(F.max("count")).first()[0]
-    assert sizes < 60
-    out = ordered.neighbours(df, ["g"], ["name"], "name", "_bucket", prev="p", next_="n").collect()
+    frame = spark.createDataFrame(rows, "g string, name string")
+    hot = ordered.hot_groups(frame, ["g"], 1000)
+    assert [r.g for r in hot.collect()] == ["hot"] and ordered.hot_groups(frame, ["g"]) is None
+    df = ordered.with_order_bucket(frame, ["g"], ["name"], hot)
+    buckets = {r.g: r.n for r in df.groupBy("g").agg(F.countDistinct("_bucket").alias("n")).collect()}
+    assert buckets["hot"] > 1000 and buckets["g1"] == 1
+    assert df.where("g = 'hot'").groupBy("_bucket").count().agg(F.max("count")).first()[0] < 60
     groups = {}
     for g, name in sorted(rows):
         groups.setdefault(g, []).append(name)
     want = {(g, x): (ns[i - 1] if i else None, ns[i + 1] if i + 1 < len(ns) else None)
             for g, ns in groups.items() for i, x in enumerate(ns)}
-    assert {(r.g, r.name): (r.p, r.n) for r in out} == want
+    for limit in (1000, 10_000):
+        out = ordered.neighbours(frame, ["g"], ["name"], "name", prev="p", next_="n", rows=limit).collect()
+        assert {(r.g, r.name): (r.p, r.n) for r in out} == want
 
 
 def test_row_numbers_across_buckets(spark):
     rows = [("a" if i % 3 else "b", i) for i in range(500)]
     df = spark.createDataFrame(rows, "g string, seq long")
-    for dense in (None, 7):
-        got = {(r.g, r.seq): r.n for r in ordered.number_rows(df, ["g"], "seq", "n", dense).collect()}
+    for limit in (50, 200, 1000):
+        got = {(r.g, r.seq): r.n for r in ordered.number_rows(df, ["g"], "seq", "n", limit).collect()}
         seen = {}
         for g, i in rows:
             seen[g] = seen.get(g, 0) + 1
@@ -37,14 +42,14 @@ def test_unique_names_against_brute_force(spark):
     rng = random.Random(5)
     new = [(rng.choice(["hot", "hot", "hot", "x", "y"]), i) for i in range(400)]
     used = {(rng.choice(["hot", "x", "z"]), rng.randint(1, 120)) for _ in range(150)}
-    got = ordered.unique_names(spark.createDataFrame(new, "base string, seq long"),
-                               spark.createDataFrame(sorted(used), "base string, suffix int"), rows=11)
-    names = {r.seq: r.name for r in got.collect()}
-    taken = set(used)
-    for base, seq in new:
-        n = next(k for k in range(1, 1000) if (base, k) not in taken)
-        taken.add((base, n))
-        assert names[seq] == (base if n == 1 else f"{base}_{n}")
+    for limit in (11, 1000):
+        got = ordered.unique_names(spark.createDataFrame(new, "base string, seq long"),
+                                   spark.createDataFrame(sorted(used), "base string, suffix int"), rows=limit)
+        names, taken = {r.seq: r.name for r in got.collect()}, set(used)
+        for base, seq in new:
+            n = next(k for k in range(1, 1000) if (base, k) not in taken)
+            taken.add((base, n))
+            assert names[seq] == (base if n == 1 else f"{base}_{n}")
 
 
 def test_search_order_and_weights(spark):
