@@ -15,12 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores on an input with fewer splits than cores (one small file); larger inputs, which
-    have enough splits of their own, are returned as they are. Hashing a unique key keeps the
-    placement the same when a task is run again."""
+    """Use the cores on an input with fewer splits than cores (one small file), at most eight parts
+    per split; larger inputs, which have enough splits of their own, are returned as they are.
+    Hashing a unique key keeps the placement the same when a task is run again."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     splits = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores, key) if splits < cores else df
+    return df.repartition(min(cores, 8 * splits), key) if 0 < splits < cores else df
 
 
 def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
