@@ -34,6 +34,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def each_present(value: Column) -> Column:
+    """Generator that keeps the row with ``value`` when it is not null and drops it otherwise.
+
+    A filter on a computed column would be pushed below the projection and compute it once more.
+    """
+    return F.explode(F.filter(F.array(value), lambda v: v.isNotNull()))
+
+
 def strip(c: str | Column) -> Column:
     return F.btrim(col(c), F.lit(WHITESPACE))
 

@@ -10,13 +10,13 @@ from ..functions.expr import is_blank, strip
 
 
 def page_breaks(docs: DataFrame, key: str) -> DataFrame:
-    return docs.select(key, F.posexplode("pages").alias("page", "_t")).where(P.is_break("_t")).select(key, "page")
+    flags = F.transform("pages", P.is_break)
+    return docs.select(key, F.posexplode(flags).alias("page", "_b")).where("_b").select(key, "page")
 
 
 def chunk_plan(docs: DataFrame, key: str, limit: int = P.PAGES_PER_CHUNK) -> DataFrame:
     """Chunks [start, end) of every document, numbered, with the text-layer test."""
-    plan = docs.withColumn("_plan", P.plan_chunks("pages", limit))
-    rows = plan.select(key, "pages", F.posexplode("_plan").alias("chunk", "_c"))
+    rows = docs.select(key, "pages", F.posexplode(P.plan_chunks("pages", limit)).alias("chunk", "_c"))
     s, e = F.col("_c.s"), F.col("_c.e")
     return rows.select(key, "chunk", s.alias("start"), e.alias("end"),
                        P.has_text_layer("pages", s, e).alias("text_layer"),

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import WS, WS_CHARS, col, first_nonempty, let, lines_of, rstrip, strip
+from ..functions.expr import WS, WS_CHARS, col, each_present, first_nonempty, let, lines_of, rstrip, strip
 from ..functions.lines import IMAGE_TOKEN
 from ..functions.text import squeeze
 
@@ -109,8 +109,11 @@ def set_header_date(content: Column, day: str) -> Column:
 
 
 def update_docs(docs: DataFrame, updates: DataFrame, key: str, edit: Callable[[Column], Column]) -> DataFrame:
-    """Documents that have an update, with their new content; ``edit`` may use update columns."""
-    return docs.join(updates, key).withColumn("content", edit(F.col("content")))
+    """Documents that have an update, with their new content; ``edit`` may use update columns and
+    returns null for a document it cannot change."""
+    rows = docs.join(updates, key)
+    return rows.select(*[c for c in rows.columns if c != "content"],
+                       each_present(edit(F.col("content"))).alias("content"))
 
 
 def industry_update(content: Column, day: str, position: Column, variable_rows: list[Column],
@@ -174,6 +177,11 @@ def state_panel(content: str | Column) -> Column:
     return let(section_text(content, BATTLE), panel)
 
 
+def state_panels(docs: DataFrame, key: str) -> DataFrame:
+    """State panel of every document that has one."""
+    return docs.select(key, each_present(state_panel("content")).alias("panel"))
+
+
 def unresolved(assumptions: DataFrame, group: str, verification: str) -> DataFrame:
     return assumptions.groupBy(group).agg(
         F.count_if(F.col(verification).isin(*UNRESOLVED)).alias("unresolved"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import col, first_nonempty, let, one_of, strip
+from ..functions.expr import col, each_present, first_nonempty, let, one_of, strip
 from ..functions.text import norm_title, safe_name, strip_fence
 from .ordered import keep_first, top_per_group
 
@@ -57,36 +57,41 @@ def text_list(v: Column, name: str, limit: int | None = None) -> Column:
     return items if limit is None else F.slice(items, 1, limit)
 
 
+# All fields an item may carry, read from the variant in one go; other fields are ignored.
+ITEM = "struct<" + ",".join(f"{f}:string" for f in (
+    *TEXT_FIELDS, "date", "source_type", "event_type", "theme", "importance", "importance_reason")) + ">"
+
+
+def _items(replies: DataFrame, text: str, limit: int) -> DataFrame:
+    """Reply rows exploded to items with the fields both parsers share. The limit counts all array
+    elements: items without a title, or that are not objects, are dropped after it."""
+    items = F.transform(F.slice(json_array(text), 1, limit), lambda v: F.try_variant_get(v, "$", ITEM))
+    # The expression itself is exploded: over a named column the optimizer would infer filters on
+    # it, push them below the projection and evaluate the expression three times.
+    rows = replies.select(*[c for c in replies.columns if c != text], F.posexplode(items).alias("pos", "_it"))
+
+    def clean(name: str) -> Column:
+        return strip(F.coalesce(F.col(f"_it.{name}"), F.lit("")))
+    return rows.where(clean("title") != "").withColumns({
+        "date": F.left(F.coalesce("_it.date", F.lit("")), F.lit(10)),
+        "source_type": one_of(F.col("_it.source_type"), SOURCE_TYPES, "产业信息"),
+        "event_type": one_of(F.col("_it.event_type"), EVENT_TYPES, "Market"),
+        **{f: clean(f) for f in TEXT_FIELDS}})
+
+
 def parse_items(replies: DataFrame, text: str, theme: str | Column, limit: int = MAX_PER_THEME) -> DataFrame:
-    """One row per usable item of a reply. The limit counts all array elements: items without a
-    title are dropped after it."""
-    rows = replies.select("*", F.posexplode(F.slice(json_array(text), 1, limit)).alias("pos", "_it"))
-    it = F.col("_it")
-    return rows.withColumn("title", text_field(it, "title")).where("title <> ''").withColumns({
-        "date": F.left(F.coalesce(F.try_variant_get(it, "$.date", "string"), F.lit("")), F.lit(10)),
-        "source_type": one_of(F.try_variant_get(it, "$.source_type", "string"), SOURCE_TYPES, "产业信息"),
-        "theme": F.lit(theme) if isinstance(theme, str) else theme,
-        "event_type": one_of(F.try_variant_get(it, "$.event_type", "string"), EVENT_TYPES, "Market"),
-        **{f: text_field(it, f) for f in TEXT_FIELDS if f != "title"},
-    }).drop("_it", text)
+    """One row per usable item of a reply; the theme is the one that was asked about."""
+    asked = F.lit(theme) if isinstance(theme, str) else theme
+    return _items(replies, text, limit).withColumn("theme", asked).drop("_it")
 
 
 def parse_article_items(replies: DataFrame, text: str, limit: int = 20) -> DataFrame:
     """Items of an article analysis: the theme is checked too, and importance is added."""
-    rows = replies.withColumn("_arr", F.slice(json_array(text), 1, limit))
-    rows = rows.select(*replies.columns, F.posexplode("_arr").alias("pos", "_it"))
-    it = F.col("_it")
-    themed = rows.withColumns({
-        "_theme": one_of(F.try_variant_get(it, "$.theme", "string"), THEMES, "其他"),
-        "importance": one_of(F.try_variant_get(it, "$.importance", "string"), IMPORTANCES, "中"),
-        "importance_reason": text_field(it, "importance_reason")})
-    items = themed.withColumn("title", text_field(it, "title")).where("title <> ''").withColumns({
-        "date": F.left(F.coalesce(F.try_variant_get(it, "$.date", "string"), F.lit("")), F.lit(10)),
-        "source_type": one_of(F.try_variant_get(it, "$.source_type", "string"), SOURCE_TYPES, "产业信息"),
-        "theme": F.col("_theme"),
-        "event_type": one_of(F.try_variant_get(it, "$.event_type", "string"), EVENT_TYPES, "Market"),
-        **{f: text_field(it, f) for f in TEXT_FIELDS if f != "title"}})
-    return items.withColumns({"origin": F.lit("wechat"), "auto": F.lit(False)}).drop("_it", "_theme", text)
+    return _items(replies, text, limit).withColumns({
+        "theme": one_of(F.col("_it.theme"), THEMES, "其他"),
+        "importance": one_of(F.col("_it.importance"), IMPORTANCES, "中"),
+        "importance_reason": strip(F.coalesce("_it.importance_reason", F.lit(""))),
+        "origin": F.lit("wechat"), "auto": F.lit(False)}).drop("_it")
 
 
 def conform_signal(raw: DataFrame, theme: Column | None = None) -> DataFrame:
@@ -105,12 +110,12 @@ def conform_signal(raw: DataFrame, theme: Column | None = None) -> DataFrame:
 def conform_extraction(replies: DataFrame, text: str) -> DataFrame:
     """Extraction reply to columns: trimmed fields and lists, and the source line."""
     v = F.col("_v")
-    rows = replies.withColumn("_v", json_object(text)).where("_v IS NOT NULL")
+    rows = replies.select(*[c for c in replies.columns if c != text], each_present(json_object(text)).alias("_v"))
     return rows.withColumns({
         **{f: text_field(v, f) for f in ("target", "new_title", "industry", "one_liner", "principle")},
         "key_points": text_list(v, "key_points", KEY_POINTS),
         **{f: text_list(v, f) for f in ("metrics", "related", "events")},
-    }).drop("_v", text)
+    }).drop("_v")
 
 
 def source_line(date: Column, account: Column, title: Column, today: str) -> Column:

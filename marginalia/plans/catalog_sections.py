@@ -188,9 +188,9 @@ def _(spark, sf):
  coalesce(max(CASE WHEN starts_with(line, '**反向世界**：') THEN trim(regexp_extract(line, '：(.*?)（当前', 1)) END), '') AS counter_world,
  CAST(count(*) FILTER (pos = h + 5) AS BIGINT) AS n_assumptions FROM B GROUP BY doc_id""")
 def _(spark, sf):
-    rows = text(spark, sf, S.BATTLED).select("doc_id", U.state_panel("content").alias("p")).where("p IS NOT NULL")
-    return rows.select("doc_id", "p.status", "p.conf_from", "p.conf_to", "p.core_belief", "p.counter_world",
-                       F.size("p.assumptions").alias("n_assumptions"))
+    rows = U.state_panels(text(spark, sf, S.BATTLED), "doc_id")
+    return rows.select("doc_id", "panel.status", "panel.conf_from", "panel.conf_to", "panel.core_belief",
+                       "panel.counter_world", F.size("panel.assumptions").alias("n_assumptions"))
 
 
 def body_sql(name: str, head: str) -> str:
@@ -256,7 +256,7 @@ POS_ROW = "concat('| d', CAST(doc_id AS {s}), ' | q', CAST(quality AS {s}), ' |'
 def _(spark, sf):
     out = U.update_docs(text(spark, sf, S.FILED), updates(spark, sf), "doc_id", lambda c: U.append_row(
         c, "行业坐标", F.expr(POS_ROW.format(s="STRING"))))
-    return out.where("content IS NOT NULL").select("doc_id", F.md5("content").alias("h"))
+    return out.select("doc_id", F.md5("content").alias("h"))
 
 
 @query("upd04_archive_prepend", lines_sql(S.FILED, f"""G AS (SELECT L.*, entry, max(pos) OVER (PARTITION BY L.doc_id) AS top FROM L JOIN (SELECT doc_id,
