@@ -226,7 +226,7 @@ def _(spark, sf):
 @query("joi03_local_override", """WITH B AS (SELECT lower(n_name) AS keyword, concat('R', CAST(n_regionkey AS VARCHAR)) AS track, n_nationkey AS prio FROM nation),
  X AS (SELECT lower(n_name) AS keyword, 'local' AS track, n_nationkey AS prio FROM nation WHERE n_nationkey % 3 = 0
   UNION ALL SELECT lower(r_name), 'region', 100 + r_regionkey FROM region)
- SELECT keyword, track, CAST(row_number() OVER (ORDER BY block, prio) AS BIGINT) AS pos FROM (
+ SELECT keyword, track, CAST(block AS BIGINT) AS block, CAST(prio AS BIGINT) AS prio FROM (
   SELECT keyword, coalesce((SELECT track FROM X WHERE X.keyword = B.keyword), track) AS track, 0 AS block, prio FROM B
   UNION ALL SELECT keyword, track, 1, prio FROM X WHERE keyword NOT IN (SELECT keyword FROM B))""")
 def _(spark, sf):
@@ -235,10 +235,7 @@ def _(spark, sf):
     local = nation.where("n_nationkey % 3 = 0").selectExpr("lower(n_name) AS keyword", "'local' AS track",
                                                            "n_nationkey AS prio").unionByName(
         region.selectExpr("lower(r_name) AS keyword", "'region' AS track", "100 + r_regionkey AS prio"))
-    merged = K.merge_keywords(base, local)
-    # One position per keyword: built-in ones first, then the local additions.
-    ordered = merged.withColumn("seq", F.col("block") * 1_000_000 + F.col("prio")).withColumn("g", F.lit(0))
-    return O.number_rows(ordered, ["g"], "seq", "pos").select("keyword", "track", "pos")
+    return K.merge_keywords(base, local).orderBy("block", "prio")
 
 
 VIEWS_SQL = """V AS (SELECT event_id AS seq, CAST(ts AS VARCHAR) AS ts, (user_id * 13) % 1500 AS id FROM events),
