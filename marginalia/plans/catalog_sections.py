@@ -122,10 +122,30 @@ def _(spark, sf):
                                            L.wrap_box_tables("content").alias("wrapped"))
 
 
-@query("win16_chunk_by_heading")
+# The packing once more, as a recursion over sections (kind S) and the paragraphs of sections that
+# are too long (kind P); ``buf`` is the open chunk.
+CHUNK_CHARS = 600
+PACK = f"""X AS (SELECT *, sum(CASE WHEN pos > 0 AND regexp_matches(line, '^#{{1,6}}\\s') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS sec FROM L),
+ ST AS (SELECT doc_id, sec, string_agg(line, {NL} ORDER BY pos) AS t FROM X GROUP BY doc_id, sec),
+ TOK AS (SELECT doc_id, sec, 1 AS j, 'S' AS kind, t FROM ST WHERE length(t) <= {CHUNK_CHARS} UNION ALL
+  SELECT doc_id, sec, generate_subscripts(string_split(t, concat({NL}, {NL})), 1), 'P', unnest(string_split(t, concat({NL}, {NL}))) FROM ST WHERE length(t) > {CHUNK_CHARS}),
+ NUM AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sec, j) AS k, lag(kind) OVER (PARTITION BY doc_id ORDER BY sec, j) AS before FROM TOK),
+ RUN AS (SELECT doc_id, CAST(0 AS BIGINT) AS k, '' AS buf, CAST([] AS VARCHAR[]) AS out FROM documents UNION ALL
+  SELECT doc_id, k, substr(joined, CAST(cuts * {CHUNK_CHARS} + 1 AS BIGINT)), list_concat(list_concat(out, CASE WHEN emit THEN [buf] ELSE CAST([] AS VARCHAR[]) END),
+   list_transform(range(0, cuts), lambda i: substr(joined, i * {CHUNK_CHARS} + 1, {CHUNK_CHARS}))) FROM (
+   SELECT *, CASE WHEN kind = 'P' AND length(joined) > {CHUNK_CHARS} THEN (length(joined) - 1) // {CHUNK_CHARS} ELSE 0 END AS cuts FROM (
+    SELECT *, CASE WHEN emit OR buf = '' THEN t ELSE concat(buf, CASE kind WHEN 'S' THEN {NL} ELSE concat({NL}, {NL}) END, t) END AS joined FROM (
+     SELECT RUN.doc_id, NUM.k, NUM.kind, NUM.t, RUN.buf, RUN.out, RUN.buf <> '' AND ((kind = 'S' AND (before = 'P' OR length(buf) + length(t) + 1 > {CHUNK_CHARS}))
+      OR (kind = 'P' AND (j = 1 OR length(buf) + length(t) + 2 > {CHUNK_CHARS}))) AS emit
+     FROM RUN JOIN NUM ON NUM.doc_id = RUN.doc_id AND NUM.k = RUN.k + 1)))),
+ LAST AS (SELECT doc_id, list_filter(list_append(out, buf), lambda c: trim(c, {V.BLANKS}) <> '') AS cs FROM RUN QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k DESC) = 1)"""
+
+
+@query("win16_chunk_by_heading", with_(V.lines(S.HEADED), PACK, recursive=True) + """SELECT doc_id, CAST(chunk - 1 AS BIGINT) AS chunk, CAST(length(c) AS BIGINT) AS chars, md5(c) AS h
+ FROM (SELECT doc_id, unnest(cs) AS c, generate_subscripts(cs, 1) AS chunk FROM LAST)""")
 def _(spark, sf):
     return text(spark, sf, S.HEADED).select(
-        "doc_id", F.posexplode(L.chunks("content", 600)).alias("chunk", "t")).select(
+        "doc_id", F.posexplode(L.chunks("content", CHUNK_CHARS)).alias("chunk", "t")).select(
         "doc_id", "chunk", F.length("t").alias("chars"), F.md5("t").alias("h"))
 
 
