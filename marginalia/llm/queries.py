@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, encoding, language, near_duplicates, packing, sharding
+from . import chat, embeddings, encoding, language, near_duplicates, packing, sharding
 from .common import held_out, table
 
 
@@ -48,6 +48,11 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), words=3, similarity=85)
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.linked_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op3_chat_formatting, op4_sharding, op6_sentencepiece, op7_minhash_near_dedup, op8_packing)}
+    op1_language_id, op3_chat_formatting, op4_sharding, op6_sentencepiece, op7_minhash_near_dedup, op8_packing,
+    op10_embedding_near_dedup)}
 ORACLES: dict[str, str] = {}
