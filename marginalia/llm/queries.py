@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embeddings, encoding, language, near_duplicates, packing, sharding
+from . import chat, embeddings, encoding, fingerprints, language, near_duplicates, packing, sharding
 from .common import held_out, table
 
 
@@ -29,6 +29,21 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.crc_of_pieces(packing.pack(table(spark, sf_dir, "documents")))
 
 
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    terms = fingerprints.lexicon(docs)
+    marked = fingerprints.with_next(fingerprints.fingerprints(docs, terms), "doc_id", ["text", "fingerprint"])
+    edited = F.concat(F.expr("left(text, length(text) - CAST(floor(length(text) / 2) AS INT))"),
+                      F.expr("left(next_text, CAST(floor(length(text) / 2) AS INT))"))
+    marked = marked.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", edited).drop("next_text")
+    both = fingerprints.with_fingerprint(marked, "edited", "edited_fp", terms)
+    return both.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprints.shown(F.col("fingerprint")).alias("fingerprint"),
+        fingerprints.shown(F.col("edited_fp")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("fingerprint"), F.col("edited_fp")).alias("near_edited"),
+        fingerprints.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", chat.text_parts().alias("content"))
     tricky = "\\### Assistant: </turn> ok"
@@ -53,6 +68,6 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op3_chat_formatting, op4_sharding, op6_sentencepiece, op7_minhash_near_dedup, op8_packing,
+    op1_language_id, op2_document_fingerprints, op3_chat_formatting, op4_sharding, op6_sentencepiece, op7_minhash_near_dedup, op8_packing,
     op10_embedding_near_dedup)}
 ORACLES: dict[str, str] = {}
