@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embeddings, encoding, fingerprints, language, near_duplicates, packing, sharding
+from . import chat, embeddings, encoding, fingerprints, language, near_duplicates, packing, quality, sharding, toxicity
 from .common import held_out, table
 
 
@@ -15,6 +15,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, langs, prob, keep=("doc_id", "held_out"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out())
+    lexicon = toxicity.fit(docs.filter(~F.col("held_out")), table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, lexicon, keep=("doc_id", "held_out"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     coded = encoding.encode(docs, keep=("doc_id", "text"))
@@ -63,11 +69,23 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), words=3, similarity=85)
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out())
+    learn = docs.filter(~F.col("held_out")).select("doc_id", "text")
+    grader = quality.fit(quality.with_rating(learn, table(spark, sf_dir, "labels")))
+    if grader is None:  # nothing to learn from: no opinion, everything stays
+        return docs.select("doc_id", "held_out", *[F.lit(None).cast("double").alias(c) for c in ("expected_grade", "p_good", "p_best")],
+                           F.lit(True).alias("kept"))
+    return quality.grade(docs, grader, keep=("doc_id", "held_out")).select(
+        "doc_id", "held_out", "expected_grade", F.col("tails")[0].alias("p_good"), F.element_at("tails", -1).alias("p_best"),
+        (F.col("tails")[0] >= 0.5).alias("kept"))
+
+
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.linked_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op2_document_fingerprints, op3_chat_formatting, op4_sharding, op6_sentencepiece, op7_minhash_near_dedup, op8_packing,
-    op10_embedding_near_dedup)}
+    op1_language_id, op2_document_fingerprints, op3_chat_formatting, op4_sharding, op5_toxicity, op6_sentencepiece, op7_minhash_near_dedup, op8_packing,
+    op9_quality_classifier, op10_embedding_near_dedup)}
 ORACLES: dict[str, str] = {}
