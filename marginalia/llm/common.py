@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH_CHARS = 3_000_000  # code points a Python task works on at once; a longer text is a batch alone
+BATCH_CHARS = 1_500_000  # code points a Python task works on at once; a longer text is a batch alone
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,13 +65,15 @@ def sampled(df: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:
 def text_batches(batches: Iterator[pa.RecordBatch], text: str = "_text",
                  limit: int = BATCH_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches whose texts (null: empty) hold about ``limit`` code points."""
-    for batch in batches:
-        texts = ["" if t is None else t for t in batch.column(text).to_pylist()]
-        start = size = 0
-        for i, t in enumerate(texts):
-            if size and size + len(t) > limit:
-                yield batch.slice(start, i - start), texts[start:i]
-                start, size = i, 0
-            size += len(t)
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1024):
+            batch = whole.slice(at, 1024)
+            texts = ["" if t is None else t for t in batch.column(text).to_pylist()]
+            start = size = 0
+            for i, t in enumerate(texts):
+                if size and size + len(t) > limit:
+                    yield batch.slice(start, i - start), texts[start:i]
+                    start, size = i, 0
+                size += len(t)
+            if start < len(texts):
+                yield batch.slice(start), texts[start:]

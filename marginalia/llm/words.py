@@ -106,7 +106,7 @@ class ListCache:
     Bounded: it starts anew after ``limit`` classes, which costs time but changes no result.
     """
 
-    def __init__(self, limit: int = 600_000):
+    def __init__(self, limit: int = 300_000):
         self.limit = limit
         self._clear()
 
