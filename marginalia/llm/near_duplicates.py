@@ -6,10 +6,9 @@ stand for hundreds). Signatures are cut into bands; documents that share a band
 
 Documents with equal shingle sets are one class and only classes go on. Within a band the classes are
 not paired with each other: in every round a few of them (pivots: those that share most bands with
-others first) are compared with the rest, and only across components not joined yet. Rounds take
-1, 8, 64, ... further pivots and go on until every pair of a band that is still in two components has
-been compared, so the components are those of all links; nothing is capped. Links are confirmed on
-the full shingle sets.
+others first) are compared with the rest, and only across components not joined yet. What is still
+apart in a shared band after that goes through an exact prefix filter on the shingles themselves, so
+the components are those of all links; nothing is capped. Links are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -29,6 +28,7 @@ from .words import Segments, codepoints, mix
 
 RING = 1 << 20
 SHINGLE_WORDS, SIMILARITY = 5, 80  # words a shingle, least similarity in hundredths
+PIVOT_ROUNDS = ((0, 1), (1, 3))  # ranks of the pivots of a band in each round
 _SPACES = [0x20, *range(0x09, 0x0E)]
 
 
@@ -180,12 +180,8 @@ def _links(classes: DataFrame, docs: DataFrame, words: int, similarity: int, tex
     sets = staged(shingle_sets(involved, words, "_t", "doc_id"), "shingle-sets")
     labels = staged(ids.select(F.col("_v").alias("v"), F.col("_v").alias("comp")), "labels")
     tested: list[DataFrame] = []
-    low, high = 0, 1
-    while True:
-        now = members.join(labels, "v")
-        apart = now.groupBy("band").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter(
-            "least <> most").select("band")
-        now = now.filter(F.col("in_band") > low).join(apart, "band")
+    for low, high in PIVOT_ROUNDS:
+        now = _apart(members, labels).filter(F.col("in_band") > low)
         order = W.partitionBy("band").orderBy(F.desc("degree"), "v")
         pivots = now.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= high).filter(
             F.col("rank") > low).select("band", F.col("v").alias("p"), F.col("n").alias("n_p"), F.col("comp").alias("comp_p"))
@@ -193,21 +189,60 @@ def _links(classes: DataFrame, docs: DataFrame, words: int, similarity: int, tex
             (F.col("comp") != F.col("comp_p")) &
             (F.least("n", "n_p") * 100 >= F.greatest("n", "n_p") * similarity)).select(
             F.least("p", "v").alias("p"), F.greatest("p", "v").alias("m")).distinct()
-        if tested:
-            pairs = pairs.join(reduce(DataFrame.union, tested), ["p", "m"], "left_anti")
-        pairs = staged(pairs, "pairs")
-        tested.append(pairs)
-        links = staged(_verified(pairs, sets, similarity), "links")
-        comp = labels.withColumnRenamed("comp", "c")
-        edges = links.join(comp.select(F.col("v").alias("p"), F.col("c").alias("a")), "p").join(
-            comp.select(F.col("v").alias("m"), F.col("c").alias("b")), "m").select("a", "b")
-        if links.limit(1).count():
-            merged = components(edges)
-            labels = staged(labels.join(merged, F.col("comp") == F.col("node"), "left").select(
-                "v", F.coalesce("label", "comp").alias("comp")), "labels")
-        if high >= most:
+        labels = _joined(labels, pairs, tested, sets, similarity)
+        if most <= high:
             return labels
-        low, high = high, high + 8 * (high - low)
+    left = _apart(members, labels).filter(F.col("in_band") > high).select("v", "comp").distinct()
+    return _joined(labels, _sharing_prefix(left, sets, similarity), tested, sets, similarity)
+
+
+def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members, with their components, of the bands that still hold two components."""
+    now = members.join(labels, "v")
+    apart = now.groupBy("band").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least <> most")
+    return now.join(apart.select("band"), "band")
+
+
+def _joined(labels: DataFrame, pairs: DataFrame, tested: list[DataFrame], sets: DataFrame, similarity: int) -> DataFrame:
+    """The labels after the pairs (p, m) have been compared, if they haven't been before."""
+    if tested:
+        pairs = pairs.join(reduce(DataFrame.union, tested), ["p", "m"], "left_anti")
+    pairs = staged(pairs, "pairs")
+    tested.append(pairs)
+    links = staged(_verified(pairs, sets, similarity), "links")
+    if not links.limit(1).count():
+        return labels
+    edges = links.join(labels.select(F.col("v").alias("p"), F.col("comp").alias("a")), "p").join(
+        labels.select(F.col("v").alias("m"), F.col("comp").alias("b")), "m").select("a", "b")
+    merged = components(edges)
+    return staged(labels.join(merged, F.col("comp") == F.col("node"), "left").select(
+        "v", F.coalesce("label", "comp").alias("comp")), "labels")
+
+
+def _sharing_prefix(nodes: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """All pairs (p, m) of the nodes (v, comp) from two components that can be similar enough, and few others.
+
+    An exact filter: with the shingles of every set in one order, rarest first, two similar sets must
+    share a shingle within a prefix of each (the shorter one for the smaller set), and the first
+    shared one must leave enough shingles behind it in both. Edited copies begin with shingles of
+    their own, so a group of copies that are all too different from each other gives no pair.
+    """
+    own = sets.join(nodes, F.col("doc_id") == F.col("v")).select(
+        "v", "comp", F.size("shingles").cast("long").alias("n"), F.xxhash64("shingles").alias("sid"), F.explode("shingles").alias("s"))
+    common = own.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1")
+    ranked = own.join(common, "s")
+    whole = W.partitionBy("v", "sid")
+    ranked = ranked.withColumn("i", F.col("n") - F.count("*").over(whole) + F.row_number().over(whole.orderBy("df", "s")) - 1)
+    ceil = lambda x, y: f"CAST(floor(({x} + {y} - 1) / {y}) AS BIGINT)"
+    both = 100 + similarity
+    ranked = staged(ranked.filter(F.col("i") < F.expr(f"n - {ceil(f'{similarity} * n', 100)} + 1")), "prefixes")
+    small = ranked.filter(F.col("i") < F.expr(f"n - {ceil(f'{2 * similarity} * n', both)} + 1")).select(
+        "s", F.col("v").alias("v1"), F.col("comp").alias("c1"), F.col("n").alias("n1"), F.col("i").alias("i1"))
+    least = F.expr(ceil(f"{similarity} * (n1 + n)", both))
+    found = small.join(ranked, "s").filter(
+        (F.col("c1") != F.col("comp")) & ((F.col("n1") < F.col("n")) | ((F.col("n1") == F.col("n")) & (F.col("v1") < F.col("v")))) &
+        (F.col("n1") * 100 >= F.col("n") * similarity) & (F.least(F.col("n1") - F.col("i1"), F.col("n") - F.col("i")) >= least))
+    return found.select(F.least("v1", "v").alias("p"), F.greatest("v1", "v").alias("m")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: int = SIMILARITY,

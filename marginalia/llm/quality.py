@@ -159,7 +159,7 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS, steps: int = STEPS, penalty: floa
         F.col("grade").isNotNull()), rows, key).select("_text", "grade")
 
     def build(batches):
-        for batch, texts in text_batches(batches):
+        for batch, texts in text_batches(batches, limit=500_000):
             owner, feature, value = feature_stream(texts)
             slot, at = np.unique(owner * SIZE + feature, return_inverse=True)
             total = np.bincount(at, weights=value, minlength=len(slot)) if len(slot) else np.zeros(0)
@@ -215,7 +215,7 @@ def grade(docs: DataFrame, grader: Grader, text: str = "text", keep: tuple[str,
     def run(batches):
         model = shared.value
         steps = np.diff(np.array(model.grades, dtype=float))
-        for batch, texts in text_batches(batches):
+        for batch, texts in text_batches(batches, limit=500_000):
             tails = model.tails(texts)
             offsets = np.arange(len(texts) + 1, dtype=np.int32) * tails.shape[1]
             yield pa.RecordBatch.from_arrays(
