@@ -7,8 +7,13 @@ of all documents costs no more than its share. All folds are linear or n log n i
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 from .expr import (WS, WS_INLINE, col, first_of_runs, is_blank, let, lines_of, rstrip, run_starts,
                    strip, strip_newlines)
@@ -236,66 +241,51 @@ def split_details(content: str | Column) -> dict[str, Column]:
 
 # ---- chunking ---------------------------------------------------------------------------------
 
-def _hard_cuts(section: Column, base: Column, limit: int) -> Column:
-    """Spans of an oversized section: packed paragraphs, and plain cuts of longer paragraphs.
-
-    Every chunk is a contiguous part of the text, so the fold only carries offsets.
-    """
-    span = "array<struct<s:int,e:int>>"
-    start = F.struct(F.array().cast(span).alias("out"), base.alias("s"), base.alias("e"), base.alias("at"))
-
-    def step(acc: Column, length: Column) -> Column:
-        open_, joined = acc["e"] > acc["s"], acc["e"] - acc["s"] + length + 2
-        flush = open_ & (joined > limit)
-        s = F.when(open_ & ~flush, acc["s"]).otherwise(acc["at"])
-        e = acc["at"] + length
-        full = F.when(e - s > limit, F.ceil((e - s) / F.lit(limit)).cast("int") - 1).otherwise(0)
-        return let(F.struct(s.alias("s"), e.alias("e"), full.alias("full"), flush.alias("flush")), lambda v: F.struct(
-            F.concat(
-                acc["out"],
-                F.when(v["flush"], F.array(F.struct(acc["s"].alias("s"), acc["e"].alias("e")))).otherwise(
-                    F.array().cast(span)),
-                F.when(v["full"] > 0, F.transform(F.sequence(F.lit(0), v["full"] - 1), lambda k: F.struct(
-                    (v["s"] + k * limit).alias("s"), (v["s"] + (k + 1) * limit).alias("e")))).otherwise(
-                    F.array().cast(span))).alias("out"),
-            (v["s"] + v["full"] * limit).alias("s"), v["e"].alias("e"), (v["e"] + 2).alias("at")))
-
-    return F.aggregate(
-        F.transform(F.split(section, "\n\n"), F.length), start, step,
-        lambda acc: F.when(acc["e"] > acc["s"], F.concat(acc["out"], F.array(
-            F.struct(acc["s"].alias("s"), acc["e"].alias("e"))))).otherwise(acc["out"]))
-
-
-def chunk_spans(content: str | Column, limit: int) -> Column:
-    """Half-open character spans of chunks: heading sections packed greedily up to ``limit``,
-    oversized sections cut at blank lines and, as a last resort, by length."""
-    span = "array<struct<s:int,e:int>>"
-    none = F.array().cast(span)
-    start = F.struct(none.alias("out"), F.lit(0).alias("s"), F.lit(0).alias("e"), F.lit(0).alias("at"))
-
-    def step(acc: Column, sec: Column) -> Column:
-        length = F.length(sec)
-        open_ = acc["e"] > acc["s"]
-        big = length > limit
-        flush = open_ & (big | (acc["e"] - acc["s"] + length + 1 > limit))
-        out = F.concat(
-            acc["out"],
-            F.when(flush, F.array(F.struct(acc["s"].alias("s"), acc["e"].alias("e")))).otherwise(none),
-            F.when(big, _hard_cuts(sec, acc["at"], limit)).otherwise(none))
-        end = acc["at"] + length
-        return F.struct(
-            out.alias("out"),
-            F.when(big, end).when(open_ & ~flush, acc["s"]).otherwise(acc["at"]).alias("s"),
-            end.alias("e"), (end + 1).alias("at"))
-
-    return F.aggregate(
-        F.split(col(content), rf"\n(?=#{{1,6}}{WS_INLINE})"), start, step,
-        lambda acc: F.when(acc["e"] > acc["s"], F.concat(acc["out"], F.array(
-            F.struct(acc["s"].alias("s"), acc["e"].alias("e"))))).otherwise(acc["out"]))
+def _hard_cuts(paragraphs: Sequence[int], base: int, limit: int) -> Iterator[tuple[int, int]]:
+    """Spans of an oversized section: packed paragraphs, and plain cuts of longer paragraphs."""
+    start = end = at = base
+    for length in paragraphs:
+        is_open = end > start
+        if is_open and end - start + length + 2 > limit:
+            yield start, end
+            is_open = False
+        start, end = start if is_open else at, at + length
+        while end - start > limit:
+            yield start, start + limit
+            start += limit
+        at = end + 2
+    if end > start:
+        yield start, end
+
+
+def _spans(lengths: Sequence[int], paragraphs: Sequence[Sequence[int] | None], limit: int) -> Iterator[tuple[int, int]]:
+    """Half-open character spans of chunks: sections packed greedily up to ``limit``, oversized ones
+    cut at blank lines and, as a last resort, by length."""
+    start = end = at = 0
+    for length, inner in zip(lengths, paragraphs, strict=True):
+        big, is_open = length > limit, end > start
+        if is_open and (big or end - start + length + 1 > limit):
+            yield start, end
+            is_open = False
+        if big:
+            yield from _hard_cuts(inner, at, limit)
+        start, end = at + length if big else start if is_open else at, at + length
+        at = end + 1
+    if end > start:
+        yield start, end
+
+
+@pandas_udf(T.ArrayType(T.StringType()))
+def _cut(text: pd.Series, lengths: pd.Series, paragraphs: pd.Series, limit: pd.Series) -> pd.Series:
+    """The chunks of each text. The greedy packing has to look at one section after another and
+    gives a result at some of them; a fold in the plan would copy all of them at every step."""
+    return pd.Series([None if t is None else [t[s:e] for s, e in _spans(n, p, int(m))]
+                      for t, n, p, m in zip(text, lengths, paragraphs, limit)], dtype=object)
 
 
 def chunks(content: str | Column, limit: int = 15000) -> Column:
-    """Non-blank chunks of a text in order."""
-    return let(col(content), lambda c: F.filter(
-        F.transform(chunk_spans(c, limit), lambda x: F.substr(c, x["s"] + 1, x["e"] - x["s"])),
-        lambda t: ~is_blank(t)))
+    """Non-blank chunks of a text in order, linear in its length: heading sections packed greedily
+    up to ``limit`` characters, oversized sections cut at blank lines or, as a last resort, by length."""
+    sections = F.split(col(content), rf"\n(?=#{{1,6}}{WS_INLINE})")
+    inner = F.transform(sections, lambda s: F.when(F.length(s) > limit, F.transform(F.split(s, "\n\n"), F.length)))
+    return F.filter(_cut(col(content), F.transform(sections, F.length), inner, F.lit(limit)), lambda t: ~is_blank(t))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 from .expr import NON_WS, WS, col, let, strip
 
@@ -28,38 +31,30 @@ def is_break(page_text: str | Column) -> Column:
                     & ~s.rlike(DOT_LEADER) & s.rlike(PAGE_HEADINGS))
 
 
+@pandas_udf(T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())])))
+def _windows(breaks: pd.Series, limit: pd.Series) -> pd.Series:
+    """Greedy page ranges, one pass over the flags; only flags and page numbers leave the engine."""
+    def ranges(flags, size):
+        start, last = 0, 0
+        for page in range(1, len(flags) + 1):
+            if page - start >= size:
+                cut = last if last > start else page
+                yield {"s": start, "e": cut}
+                start = cut
+            if page < len(flags) and flags[page]:
+                last = page
+        if start < last < len(flags):  # the last window is cut at its last break, and the rest follows
+            yield {"s": start, "e": last}
+            start = last
+        if start < len(flags):
+            yield {"s": start, "e": len(flags)}
+    return pd.Series([None if b is None else list(ranges(b, int(n))) for b, n in zip(breaks, limit)], dtype=object)
+
+
 def plan_chunks(pages: str | Column, limit: int = PAGES_PER_CHUNK) -> Column:
     """Greedy page ranges [start, end): within ``limit`` pages cut at the last break strictly inside
-    the window, else at the limit. One pass over the pages; ``b`` is the last break seen."""
-    limit = max(1, limit)
-
-    def fold(breaks: Column) -> Column:
-        n = F.size(breaks)
-        spans = F.array().cast("array<struct<s:int,e:int>>")
-        start = F.struct(spans.alias("out"), F.lit(0).alias("s"), F.lit(0).alias("b"))
-
-        def step(acc: Column, p: Column) -> Column:
-            # p is the page after the one just read; a window closes at the limit.
-            full = p - acc["s"] >= limit
-            cut = F.when(acc["b"] > acc["s"], acc["b"]).otherwise(p)
-            s = F.when(full, cut).otherwise(acc["s"])
-            return F.struct(
-                F.when(full, F.concat(acc["out"], F.array(F.struct(acc["s"].alias("s"), cut.alias("e")))))
-                .otherwise(acc["out"]).alias("out"),
-                s.alias("s"), F.when(F.get(breaks, p), p).otherwise(acc["b"]).alias("b"))
-
-        def finish(acc: Column) -> Column:
-            # The last window is cut at its last break, and the rest follows.
-            inner = (acc["b"] > acc["s"]) & (acc["b"] < n)
-            tail = F.when(inner, F.array(F.struct(acc["s"].alias("s"), acc["b"].alias("e")),
-                                         F.struct(acc["b"].alias("s"), n.alias("e")))).otherwise(
-                F.array(F.struct(acc["s"].alias("s"), n.alias("e"))))
-            return F.when(acc["s"] < n, F.concat(acc["out"], tail)).otherwise(acc["out"])
-
-        return F.when(n == 0, spans).otherwise(
-            F.aggregate(F.sequence(F.lit(1), n), start, step, finish))
-
-    return let(F.transform(col(pages), is_break), fold)
+    the window, else at the limit. Linear in the pages."""
+    return _windows(F.transform(col(pages), is_break), F.lit(max(1, limit)))
 
 
 def chunk_text(pages: str | Column, s: Column, e: Column) -> Column:

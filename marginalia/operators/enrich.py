@@ -12,6 +12,10 @@ from pyspark.sql import types as T
 Service = Callable[[list[str]], list[str]]
 
 
+class ConfigurationError(Exception):
+    """The service can't work at all, for example without its key."""
+
+
 def echo(prompts: list[str]) -> list[str]:
     """Deterministic stand-in: returns the prompts."""
     return list(prompts)
@@ -19,24 +23,42 @@ def echo(prompts: list[str]) -> list[str]:
 
 def enrich(requests: DataFrame, prompt: str, service: Service = echo, parallelism: int | None = None,
            retries: int = 1) -> DataFrame:
-    """Send prompts in Arrow batches; empty replies are asked again once, then marked as failed.
+    """Send prompts in Arrow batches; empty replies are asked again, then marked as failed.
 
-    Building prompts and reading replies stay column expressions around this call. ``parallelism``
-    caps how many calls run at the same time.
+    A call that raises, or gives another number of replies than it got prompts, fails its own prompts
+    only: they carry the message in ``error`` and the run goes on. A ``ConfigurationError`` is for
+    mistakes that no other prompt could survive, and ends the run. Building prompts and reading
+    replies stay column expressions around this call. ``parallelism`` caps how many calls run at the
+    same time.
     """
     schema = T.StructType([*requests.schema.fields, T.StructField("reply", T.StringType()),
-                           T.StructField("failed", T.BooleanType())])
+                           T.StructField("failed", T.BooleanType()), T.StructField("error", T.StringType())])
+
+    def ask(prompts: list[str]) -> tuple[list[str | None], str | None]:
+        try:
+            replies = list(service(prompts))
+        except ConfigurationError:
+            raise
+        except Exception as problem:
+            return [None] * len(prompts), f"{type(problem).__name__}: {problem}"
+        if len(replies) != len(prompts):
+            return [None] * len(prompts), f"{len(replies)} replies to {len(prompts)} prompts"
+        return replies, None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            replies = list(service(batch[prompt].tolist()))
+            prompts = batch[prompt].tolist()
+            replies, error = ask(prompts)
+            errors = [error] * len(prompts)
             for _ in range(retries):
                 empty = [i for i, r in enumerate(replies) if not (r or "").strip()]
                 if not empty:
                     break
-                for i, r in zip(empty, service([batch[prompt].iloc[i] for i in empty]), strict=True):
-                    replies[i] = r
-            yield batch.assign(reply=replies, failed=[not (r or "").strip() for r in replies])
+                again, error = ask([prompts[i] for i in empty])
+                for i, r in zip(empty, again):
+                    replies[i], errors[i] = r, error
+            failed = [not (r or "").strip() for r in replies]
+            yield batch.assign(reply=replies, failed=failed, error=[e if f else None for e, f in zip(errors, failed)])
 
     spread = requests.repartition(parallelism) if parallelism else requests
     out = spread.mapInPandas(run, schema)

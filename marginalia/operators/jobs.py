@@ -70,9 +70,10 @@ def eta_secs(started: Column, done: Column, total: Column, now: str) -> Column:
 
 def with_eta(jobs: DataFrame, steps: DataFrame, now: str) -> DataFrame:
     """Remaining time from block counts, else from step counts."""
-    blocks = block_totals(steps).select("job", F.col("done").alias("b_done"), F.col("total").alias("b_total"))
-    files = progress(steps).select("job", F.col("done").alias("f_done"), F.col("total").alias("f_total"))
-    rows = jobs.join(blocks, "job", "left").join(files, "job", "left")
+    counts = steps.groupBy("job").agg(
+        F.sum(F.least("done", "total")).alias("b_done"), F.sum("total").alias("b_total"),
+        F.count_if(F.col("step_status").isin("done", "error")).alias("f_done"), F.count(F.lit(1)).alias("f_total"))
+    rows = jobs.join(counts, "job", "left")
     return rows.withColumn("eta_secs", F.coalesce(
         eta_secs(F.col("started"), F.col("b_done"), F.col("b_total"), now),
         eta_secs(F.col("started"), F.col("f_done"), F.col("f_total"), now))).drop(

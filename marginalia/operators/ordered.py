@@ -1,9 +1,9 @@
 """Order-sensitive operators that stay safe when one group holds a large share of all rows.
 
-``lag() OVER (PARTITION BY group ORDER BY seq)`` sorts a whole group in one task. That is the plan
-used as long as every group fits one. When some do not, groups are cut into order-preserving
-buckets: each bucket is one task's worth of rows, and one summary row per bucket carries values
-across bucket borders.
+``lag() OVER (PARTITION BY group ORDER BY seq)`` sorts a whole group in one task. Here the rows are
+cut into order-preserving buckets at quantiles of (group, order), so a bucket holds about one part in
+``CUT_POINTS`` of the table, whichever group it belongs to, and one summary row per group and bucket
+carries values across bucket borders. The plan is the same for every table.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import let
 
-# Rows of one group that one task may sort. A bucket of row numbers holds at most this many rows.
-BUCKET_ROWS = 1_000_000
+# Numbers of a base that fall into one bucket of names.
+NAME_RANGE = 1_000_000
 # Cut points between buckets of any other order; a power of two.
 CUT_POINTS = 4096
 # Rows looked at per cut point; the sample is this many times the number of cut points.
@@ -50,19 +50,6 @@ def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
 
 
-def hot_groups(df: DataFrame, group: Sequence[str], rows: int = BUCKET_ROWS) -> DataFrame | None:
-    """Groups too large for one task, or None.
-
-    A group must also hold more than ``1 / CUT_POINTS`` of all rows to count, so there are fewer
-    than ``CUT_POINTS`` of them: few enough to fetch and to broadcast, whatever the table's size.
-    """
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    share = F.floor(df.agg(F.count(F.lit(1))).scalar() / CUT_POINTS)
-    hot = sizes.where(F.col("_n") > F.greatest(F.lit(rows), share)).select(*group, F.lit(True).alias("_hot"))
-    found = hot.collect()
-    return df.sparkSession.createDataFrame(found, hot.schema) if found else None
-
-
 def cut_points(df: DataFrame, cols: Sequence[str]) -> Column:
     """Sorted sample of at most ``CUT_POINTS`` ordering keys, as a scalar subquery.
 
@@ -78,35 +65,27 @@ def cut_points(df: DataFrame, cols: Sequence[str]) -> Column:
     return sample.scalar()
 
 
-def with_order_bucket(df: DataFrame, group: Sequence[str], order: Sequence[str],
-                      hot: DataFrame) -> DataFrame:
-    """Order-preserving ``_bucket`` number within hot groups: how many cut points lie below the
-    row's key, found by binary search. Rows of all other groups are in bucket 0 and skip the search."""
+def with_order_bucket(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Order-preserving ``_bucket`` number: how many cut points lie below the row's key, found by
+    binary search."""
     cols = [*group, *order]
-    cuts = cut_points(df.join(F.broadcast(hot), list(group)), cols)
     strides = F.array(*[F.lit(1 << k) for k in range(CUT_POINTS.bit_length() - 1, -1, -1)])
 
     def search(v: Column) -> Column:
         return F.aggregate(strides, F.lit(0), lambda at, stride: F.when(
             F.get(v["cuts"], at + stride - 1) < v["key"], at + stride).otherwise(at))
     bound = F.struct(F.col("_cuts").alias("cuts"), F.struct(*cols).alias("key"))
-    return (df.join(F.broadcast(hot), list(group), "left").withColumn("_cuts", cuts)
-            .withColumn("_bucket", F.when(F.col("_hot"), let(bound, search)).otherwise(0)).drop("_cuts", "_hot"))
+    return df.withColumn("_cuts", cut_points(df, cols)).withColumn("_bucket", let(bound, search)).drop("_cuts")
 
 
 def neighbours(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str,
-               prev: str | None = None, next_: str | None = None, rows: int = BUCKET_ROWS) -> DataFrame:
+               prev: str | None = None, next_: str | None = None) -> DataFrame:
     """Value of the previous and/or next row of the group.
 
-    With hot groups the edge rows of their buckets are found by a pre-aggregated group-by. Edges
-    and rows meet on (group, bucket), the keys the window uses, so the rows are shuffled once.
+    The edge rows of the buckets are found by a pre-aggregated group-by. Edges and rows meet on
+    (group, bucket), the keys the window uses, so the rows are shuffled once.
     """
-    hot = hot_groups(df, group, rows)
-    if hot is None:
-        w = W.partitionBy(*group).orderBy(*order)
-        extra = {**({prev: F.lag(value).over(w)} if prev else {}), **({next_: F.lead(value).over(w)} if next_ else {})}
-        return df.withColumns(extra)
-    df = with_order_bucket(df.withColumn("_v", F.col(value)), group, order, hot)
+    df = with_order_bucket(df.withColumn("_v", F.col(value)), group, order)
     by = F.struct(*order)
     edges = df.groupBy(*group, "_bucket").agg(
         F.min_by("_v", by).alias("_first"), F.max_by("_v", by).alias("_last"))
@@ -123,13 +102,9 @@ def neighbours(df: DataFrame, group: Sequence[str], order: Sequence[str], value:
     return joined.withColumns(extra).drop("_v", "_before", "_after", "_bucket")
 
 
-def running_sum(df: DataFrame, group: Sequence[str], order: Sequence[str], amount: Column, out: str,
-                bucketed: bool) -> DataFrame:
-    """Inclusive running sum within the group; over a ``_bucket`` column in two levels: totals of
+def running_sum(df: DataFrame, group: Sequence[str], order: Sequence[str], amount: Column, out: str) -> DataFrame:
+    """Inclusive running sum within the group, over its ``_bucket`` column in two levels: totals of
     earlier buckets plus the running sum inside the row's own bucket."""
-    if not bucketed:
-        w = W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-        return df.withColumn(out, F.sum(amount.cast("long")).over(w))
     df = df.withColumn("_a", amount.cast("long"))
     totals = df.groupBy(*group, "_bucket").agg(F.sum("_a").alias("_t"))
     before = W.partitionBy(*group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -139,17 +114,8 @@ def running_sum(df: DataFrame, group: Sequence[str], order: Sequence[str], amoun
             .withColumn(out, F.col("_off") + F.sum("_a").over(inside)).drop("_a", "_off", "_bucket"))
 
 
-def number_rows(df: DataFrame, group: Sequence[str], seq: str, out: str = "n",
-                rows: int = BUCKET_ROWS) -> DataFrame:
-    """Row numbers 1, 2, ... within the group, in the order of a unique sequence number."""
-    hot = hot_groups(df, group, rows)
-    if hot is not None:
-        df = with_order_bucket(df, group, [seq], hot)
-    return running_sum(df, group, [seq], F.lit(1), out, hot is not None)
-
-
 def unique_names(new: DataFrame, existing: DataFrame, base: str = "base", seq: str = "seq",
-                 suffix: str = "suffix", rows: int = BUCKET_ROWS) -> DataFrame:
+                 suffix: str = "suffix", rows: int = NAME_RANGE) -> DataFrame:
     """Collision-free names: the k-th new row of a base gets the k-th suffix that is still free.
 
     ``existing`` holds (base, suffix) with suffix 1 for the bare name. With the used suffixes
@@ -159,22 +125,19 @@ def unique_names(new: DataFrame, existing: DataFrame, base: str = "base", seq: s
     """
     used = existing.select(base, F.col(suffix).cast("long").alias("_u")).distinct()
     payload = [c for c in new.columns if c != base]
-    hot = hot_groups(new.select(base).unionByName(used.select(base)), [base], rows)
-    split = hot is not None
 
     def bucket(df: DataFrame, number: str) -> DataFrame:
-        return df.withColumn("_bucket", F.floor(F.col(number) / rows)) if split else df
+        return df.withColumn("_bucket", F.floor(F.col(number) / rows))
 
-    ranked = running_sum(bucket(used, "_u"), [base], ["_u"], F.lit(1), "_j", split)
+    ranked = running_sum(bucket(used, "_u"), [base], ["_u"], F.lit(1), "_j")
     steps = ranked.groupBy(base, (F.col("_u") - F.col("_j") + 1).alias("_at")).agg(
         F.count(F.lit(1)).alias("_cnt"))
-    numbered = with_order_bucket(new, [base], [seq], hot) if split else new
-    numbered = running_sum(numbered, [base], [seq], F.lit(1), "_k", split)
+    numbered = running_sum(with_order_bucket(new, [base], [seq]), [base], [seq], F.lit(1), "_k")
     both = numbered.select(base, F.col("_k").alias("_at"), F.lit(0).cast("long").alias("_cnt"),
                            F.struct(*payload).alias("_row")).unionByName(
         steps.select(base, "_at", "_cnt"), allowMissingColumns=True)
     both = bucket(both.withColumn("_new", F.col("_row").isNotNull().cast("int")), "_at")
-    counted = running_sum(both, [base], ["_at", "_new"], F.col("_cnt"), "_skip", split)
+    counted = running_sum(both, [base], ["_at", "_new"], F.col("_cnt"), "_skip")
     n = F.col("_at") + F.col("_skip")
     return counted.where(F.col("_new") == 1).select(
         base, *[F.col("_row")[c].alias(c) for c in payload],

@@ -201,9 +201,12 @@ def retry_plan(watchlist: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def fetch_stats(queries: DataFrame, items: DataFrame) -> DataFrame:
-    """Number of items per theme and sub-query; a failed query has 0 and an error text."""
+    """Number of items per theme and sub-query, and whether the query failed: one with an ``error``
+    text has failed and counts 0, an empty one has neither items nor an error."""
     counts = items.groupBy("theme", "sub_query").agg(F.count(F.lit(1)).alias("n"))
-    return queries.join(counts, ["theme", "sub_query"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    failed = F.col("error").isNotNull()
+    return queries.join(counts, ["theme", "sub_query"], "left").withColumn(
+        "n", F.when(failed, 0).otherwise(F.coalesce("n", F.lit(0)))).withColumn("failed", failed)
 
 
 # ---- de-duplication ---------------------------------------------------------------------------

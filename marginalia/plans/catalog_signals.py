@@ -196,11 +196,13 @@ def _(spark, sf):
 
 @query("agg21_fetch_stats", """WITH U AS (SELECT DISTINCT user_id FROM events), T AS (SELECT DISTINCT event_type FROM events)
  SELECT event_type AS theme, U.user_id AS sub_query, (SELECT CAST(count(*) AS BIGINT) FROM events e WHERE e.event_type = T.event_type
-  AND e.user_id = U.user_id AND e.event_id % 3 <> 0) AS n FROM U, T
+  AND e.user_id = U.user_id AND e.event_id % 3 <> 0) * CAST(U.user_id % 11 <> 0 AS BIGINT) AS n, U.user_id % 11 = 0 AS failed,
+  CASE WHEN U.user_id % 11 = 0 THEN 'HTTP 503' END AS error FROM U, T
  WHERE EXISTS (SELECT 1 FROM events e WHERE e.event_type = T.event_type AND e.user_id = U.user_id)""")
 def _(spark, sf):
     s = S.signals(spark, sf)
-    return G.fetch_stats(s.select("theme", "sub_query").distinct(), s.where("seq % 3 <> 0"))
+    asked = s.select("theme", "sub_query", F.expr("CASE WHEN sub_query % 11 = 0 THEN 'HTTP 503' END AS error")).distinct()
+    return G.fetch_stats(asked, s.where("seq % 3 <> 0"))
 
 
 @query("udf02_request_build", """SELECT CAST(event_id // 8 AS BIGINT) AS batch, CAST(count(*) AS BIGINT) AS n_articles,

@@ -8,7 +8,7 @@ from ..functions.html import unescape_all
 from ..operators import enrich as E
 from ..operators import signals as G
 from ..session import shared_dir
-from ..sources import corpus_files, logs
+from ..sources import corpus_files, logs, versions
 from ..sources import tables as S
 from ..streaming import costs, jobs, narratives, signals
 from ..streaming.sinks import run_to_table, stream_table
@@ -84,7 +84,7 @@ def _(spark, sf):
 def _(spark, sf):
     path = shared_dir(spark, "index")
     corpus_files.write_index(S.kb_docs(spark, sf), path)
-    return spark.read.parquet(path).where("part = 'src3'").select("path", "name", "size", "content")
+    return versions.read(spark, path).where("part = 'src3'").select("path", "name", "size", "content")
 
 
 @query("snk02_atomic_overwrite", with_(V.S) + "SELECT seq, title FROM SK WHERE seq IN (SELECT min(seq) FROM SK WHERE key <> '' GROUP BY key)")
@@ -92,7 +92,7 @@ def _(spark, sf):
     path, items = shared_dir(spark, "state"), S.signals(spark, sf)
     logs.save_state(items, path)
     logs.save_state(G.dedup(items), path)
-    return spark.read.parquet(path).select("seq", "title")
+    return logs.load_state(spark, path).select("seq", "title")
 
 
 @query("snk03_log_append", with_(V.C) + "SELECT day AS ts, feature, model, prompt_tokens, completion_tokens FROM C")

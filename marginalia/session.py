@@ -33,12 +33,16 @@ def get_spark(app: str = "marginalia", master: str | None = None, **conf: str) -
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir`` (HDFS, object store, ...).
 
-    Only a local master may fall back to a temporary folder of this machine: on a cluster the
-    executors would not see it, so a missing setting is an error there.
+    It is deleted when the application ends. Only a local master may do without the setting and
+    gets a temporary folder: on a cluster the executors would not see it, so there it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         base = tempfile.mkdtemp(prefix="marginalia-")
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path

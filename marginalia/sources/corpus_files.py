@@ -14,7 +14,7 @@ from ..functions import metadata as M
 from ..functions.expr import col
 from ..operators.corpus import NO_TRACK
 from ..operators.lookup import first_keyword
-from .logs import _exists
+from . import versions
 
 BINARY_SCHEMA = T.StructType([
     T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()),
@@ -62,13 +62,18 @@ def _exists_glob(spark: SparkSession, pattern: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def relative_path(files: DataFrame, root: str) -> DataFrame:
+    """Add ``rel``, the path below the root folder."""
+    quoted = r"\Q" + root.strip("/").replace(r"\E", r"\E\\E\Q") + r"\E"
+    return files.withColumn("rel", F.regexp_extract("path", r"\A(?:file:/*|[a-z0-9]+://[^/]*)?/?" + quoted + r"/(.*)\z", 1))
+
+
 def index_files(files: DataFrame, root: str, keywords: Sequence[tuple[str, str]] = ()) -> DataFrame:
     """Index rows of binary files: place in the corpus, metadata of the head, status and track.
 
     Files that are not UTF-8 and files below the first folder level are left out.
     """
-    relative = F.regexp_extract("path", r"\A(?:file:/*|[a-z0-9]+://[^/]*)?/?\Q" + root.strip("/") + r"\E/(.*)\z", 1)
-    rows = files.select(relative.alias("rel"), "modificationTime", "length", decode_utf8("content").alias("text"))
+    rows = relative_path(files, root).select("rel", "modificationTime", "length", decode_utf8("content").alias("text"))
     rows = rows.where("text IS NOT NULL AND rel <> '' AND size(split(rel, '/')) <= 2")
     name = F.substring_index("rel", "/", -1)
     docs = rows.select(
@@ -84,18 +89,15 @@ def build_index(spark: SparkSession, root: str, keywords: Sequence[tuple[str, st
 
 
 def write_index(docs: DataFrame, path: str) -> None:
-    """Store the index by category, so category queries read only their folder."""
-    docs.withColumn("part", F.col("category_key")).write.mode("overwrite").partitionBy("part").parquet(path)
+    """Store the index by category, so category queries read only their folder. The former index
+    stays in force until the new one is complete."""
+    rows = docs.withColumn("part", F.col("category_key"))
+    versions.publish(docs.sparkSession, path, lambda aside: rows.write.partitionBy("part").parquet(aside))
 
 
 def load_index(spark: SparkSession, root: str, path: str, force: bool = False,
                keywords: Sequence[tuple[str, str]] = ()) -> DataFrame:
-    """The stored index, built first when it is missing, unreadable or ``force`` is set."""
-    if not force and _exists(spark, path):
-        try:
-            return spark.read.parquet(path).drop("part")
-        except Exception as error:  # unreadable files: build the index again
-            if "UNABLE_TO_INFER_SCHEMA" not in str(error) and "CANNOT_READ" not in str(error):
-                raise
-    write_index(build_index(spark, root, keywords), path)
-    return spark.read.parquet(path).drop("part")
+    """The stored index, built first when no complete one is published or ``force`` is set."""
+    if force or versions.latest(spark, path) is None:
+        write_index(build_index(spark, root, keywords), path)
+    return versions.read(spark, path).drop("part")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expr import is_blank, strip
+from . import versions
 
 COST_SCHEMA = ("ts STRING, feature STRING, model STRING, prompt_tokens BIGINT, completion_tokens BIGINT, "
                "cost DOUBLE, estimated BOOLEAN")
@@ -53,6 +54,11 @@ def append_log(rows: DataFrame, path: str) -> None:
 
 
 def save_state(rows: DataFrame, path: str) -> None:
-    """Replace a state table. The committer publishes the new files only when all are complete; the
-    rows must not be read from ``path`` itself."""
-    rows.write.mode("overwrite").parquet(path)
+    """Replace a state table as a whole. The rows may come from the version in force; if the write
+    fails, that version stays."""
+    versions.publish(rows.sparkSession, path, rows.write.parquet)
+
+
+def load_state(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """The state saved last; with a schema, an empty table before the first."""
+    return versions.read(spark, path, schema)

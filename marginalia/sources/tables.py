@@ -15,12 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use the cores on an input with fewer splits than cores (one small file), at most eight parts
-    per split; larger inputs, which have enough splits of their own, are returned as they are.
-    Hashing a unique key keeps the placement the same when a task is run again."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(min(cores, 8 * splits), key) if 0 < splits < cores else df
+    """Deal the rows out by a unique key into as many parts as ``marginalia.input.partitions`` says;
+    without the setting the input keeps its own splits. It is meant for runs on one file of a single
+    row group, such as the benchmark's, and never depends on the data."""
+    parts = df.sparkSession.conf.get("marginalia.input.partitions", None)
+    return df.repartition(int(parts), key) if parts else df
 
 
 def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

@@ -1,30 +1,36 @@
-"""Incremental corpus index: only new files are read, the latest version of a path wins."""
+"""Incremental corpus index: only files that differ from the stored index are read."""
 
 from __future__ import annotations
 
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators.ordered import keep_last
 from ..session import shared_dir
 from ..sources import corpus_files as S
-from .sinks import batch_path, run_available
+from ..sources import versions
 
 
 def incremental_index(spark: SparkSession, root: str, work: str | None = None) -> DataFrame:
-    """Scan new or changed Markdown files below ``root`` into the index and return it.
+    """Bring the index in ``work`` up to date with the Markdown files below ``root`` and return it.
 
-    Run again with the same ``work`` folder, it reads only files it has not seen.
+    The listing (path, time, length; no content is read for it) is compared with what the last run
+    has seen. New and changed files are read, whatever their modification time; the rows of changed
+    and removed files go. The new index is published as a whole, so a failed run changes nothing.
     """
     work = work or shared_dir(spark, "index")
-    table = os.path.join(work, "docs")
-    files = (spark.readStream.schema(S.BINARY_SCHEMA).format("binaryFile")
-             .option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).load(root))
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        S.index_files(batch, root).write.mode("overwrite").parquet(batch_path(table, batch_id))
-
-    run_available(files, work, each)
-    docs = spark.read.parquet(table)
-    return keep_last(docs.drop("batch_id"), ["path"], ["modified"])
+    table, seen = os.path.join(work, "docs"), os.path.join(work, "seen")
+    reader = spark.read.schema(S.BINARY_SCHEMA).format("binaryFile").option("pathGlobFilter", "*.md").option(
+        "recursiveFileLookup", True)
+    key = ["path", "modificationTime", "length"]
+    listing = reader.load(root).select(*key)
+    known = versions.read(spark, seen, listing.schema)
+    differing = [r["path"] for r in listing.join(known, key, "left_anti").select("path").collect()]  # a file listing, as Spark keeps one
+    fresh = S.index_files(reader.load(differing) if differing else reader.load(root).limit(0), root)
+    stored = versions.read(spark, table, fresh.schema)
+    stays = S.relative_path(listing.join(known, key, "left_semi"), root).select(F.col("rel").alias("path"))
+    docs = stored.join(stays, "path", "left_semi").select(*fresh.columns).unionByName(fresh)
+    versions.publish(spark, table, docs.write.parquet)
+    versions.publish(spark, seen, listing.write.parquet)
+    return versions.read(spark, table, fresh.schema)

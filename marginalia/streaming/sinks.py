@@ -10,13 +10,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import shared_dir
+from ..sources import versions
+
+
+# Files count whatever their modification time; the source's own default drops those a week older
+# than the newest one.
+MAX_FILE_AGE = "36500d"
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str, **options: str) -> DataFrame:
     """A parquet table of the folder as a file stream."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return (spark.readStream.schema(schema).options(**options)
-            .option("pathGlobFilter", f"{name}*.parquet").parquet(sf_dir))
+    return (spark.readStream.schema(schema).option("maxFileAge", MAX_FILE_AGE).options(**options)
+            .option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir))
 
 
 def batch_path(table: str, batch_id: int) -> str:
@@ -44,5 +50,5 @@ def run_to_table(stream: DataFrame, name: str) -> DataFrame:
     spark = stream.sparkSession
     work = shared_dir(spark, name)
     table = os.path.join(work, "table")
-    run_available(stream, work, lambda df, i: df.write.mode("overwrite").parquet(table), "complete")
-    return spark.read.schema(stream.schema).parquet(table)
+    run_available(stream, work, lambda df, i: versions.publish(df.sparkSession, table, df.write.parquet), "complete")
+    return versions.read(spark, table, stream.schema)

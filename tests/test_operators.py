@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from marginalia.operators import chat, corpus, costs, enrich, jobs, lookup, narratives, ordered, pages, signals
@@ -11,31 +13,25 @@ def test_neighbours_of_a_hot_group(spark):
     rng = random.Random(1)
     rows = [("hot" if rng.random() < 0.5 else f"g{i % 7}", f"n{rng.random():.9f}") for i in range(6000)]
     frame = spark.createDataFrame(rows, "g string, name string")
-    hot = ordered.hot_groups(frame, ["g"], 1000)
-    assert [r.g for r in hot.collect()] == ["hot"] and ordered.hot_groups(frame, ["g"]) is None
-    df = ordered.with_order_bucket(frame, ["g"], ["name"], hot)
-    buckets = {r.g: r.n for r in df.groupBy("g").agg(F.countDistinct("_bucket").alias("n")).collect()}
-    assert buckets["hot"] > 1000 and buckets["g1"] == 1
-    assert df.where("g = 'hot'").groupBy("_bucket").count().agg(F.max("count")).first()[0] < 60
+    df = ordered.with_order_bucket(frame, ["g"], ["name"])
+    assert df.groupBy("g", "_bucket").count().agg(F.max("count")).first()[0] < 60
     groups = {}
     for g, name in sorted(rows):
         groups.setdefault(g, []).append(name)
     want = {(g, x): (ns[i - 1] if i else None, ns[i + 1] if i + 1 < len(ns) else None)
             for g, ns in groups.items() for i, x in enumerate(ns)}
-    for limit in (1000, 10_000):
-        out = ordered.neighbours(frame, ["g"], ["name"], "name", prev="p", next_="n", rows=limit).collect()
-        assert {(r.g, r.name): (r.p, r.n) for r in out} == want
+    out = ordered.neighbours(frame, ["g"], ["name"], "name", prev="p", next_="n").collect()
+    assert {(r.g, r.name): (r.p, r.n) for r in out} == want
 
 
-def test_row_numbers_across_buckets(spark):
-    rows = [("a" if i % 3 else "b", i) for i in range(500)]
-    df = spark.createDataFrame(rows, "g string, seq long")
-    for limit in (50, 200, 1000):
-        got = {(r.g, r.seq): r.n for r in ordered.number_rows(df, ["g"], "seq", "n", limit).collect()}
-        seen = {}
-        for g, i in rows:
-            seen[g] = seen.get(g, 0) + 1
-            assert got[g, i] == seen[g]
+def test_no_job_while_a_plan_is_built(spark, monkeypatch):
+    new = spark.createDataFrame([("a", 1)], "base string, seq long")
+    used = spark.createDataFrame([("a", 1)], "base string, suffix int")
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup())
+    ordered.unique_names(new, used)
+    ordered.neighbours(new, ["base"], ["seq"], "seq", prev="p")
+    assert len(tracker.getJobIdsForGroup()) == before
 
 
 def test_unique_names_against_brute_force(spark):
@@ -212,3 +208,21 @@ def test_enrich_retries_empty_replies(spark):
 
     got = {r.i: (r.reply, r.failed) for r in enrich.enrich(df, "prompt", service, parallelism=1).collect()}
     assert got[0] == ("P0", False) and got[1] == ("P1", False) and got[3] == ("", True)
+
+
+def test_enrich_keeps_going_after_a_failure(spark):
+    df = spark.createDataFrame([(1, "ok"), (2, "fine")], "i int, prompt string")
+
+    def down(prompts):
+        raise TimeoutError("slow")
+
+    def short(prompts):
+        return prompts[:1]
+
+    def unset(prompts):
+        raise enrich.ConfigurationError("no key")
+
+    assert {(r.failed, r.error) for r in enrich.enrich(df, "prompt", down).collect()} == {(True, "TimeoutError: slow")}
+    assert all(r.failed and "replies to" in r.error for r in enrich.enrich(df.coalesce(1), "prompt", short, retries=0).collect())
+    with pytest.raises(Exception, match="no key"):
+        enrich.enrich(df, "prompt", unset).collect()

@@ -1,12 +1,13 @@
 """File sources, sinks and streams on temporary folders."""
 
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from marginalia.session import shared_dir
-from marginalia.sources import articles, corpus_files, logs
+from marginalia.sources import articles, corpus_files, logs, versions
 from marginalia.streaming import index, jobs, narratives, signals
 
 DOC = "# Title {0}\n> tag\n**Status**: 已投资\nTags: a,b | x\n\nbody"
@@ -34,7 +35,7 @@ def test_scan_and_index(spark, corpus, tmp_path):
     os.remove(os.path.join(corpus, "root.md"))
     assert corpus_files.load_index(spark, corpus, path).count() == 4
     assert corpus_files.load_index(spark, corpus, path, force=True).count() == 3
-    one = spark.read.parquet(path).where("part = '02_deals'")
+    one = versions.read(spark, path).where("part = '02_deals'")
     assert "PartitionFilters: [isnotnull(part" in one._jdf.queryExecution().explainString(
         spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")) and one.count() == 2
 
@@ -76,7 +77,18 @@ def test_save_state_replaces(spark, tmp_path):
     path = str(tmp_path / "state")
     logs.save_state(spark.range(5), path)
     logs.save_state(spark.range(2), path)
-    assert spark.read.parquet(path).count() == 2
+    logs.save_state(logs.load_state(spark, path).limit(1), path)
+    assert logs.load_state(spark, path).count() == 1 and versions.versions(spark, path) == [2, 3]
+
+
+def test_failed_write_keeps_the_state(spark, tmp_path):
+    path = str(tmp_path / "state")
+    assert logs.load_state(spark, path, "id long").count() == 0
+    logs.save_state(spark.range(5), path)
+    broken = spark.range(0, 4, 1, 4).select(F.when(F.col("id") == 3, F.raise_error(F.lit("no"))).otherwise(F.col("id")).cast("long").alias("id"))
+    with pytest.raises(Exception):
+        logs.save_state(broken, path)
+    assert logs.load_state(spark, path).count() == 5 and os.listdir(path) == ["v0000000001"]
 
 
 PAGE = ('<meta property="og:title" content="标题 &amp; x"/><meta content="作者" name="author">{}'
@@ -147,6 +159,15 @@ def test_incremental_index(spark, corpus, tmp_path):
         f.write("# New")
     docs = {r.path: r.title for r in index.incremental_index(spark, corpus, work).collect()}
     assert len(docs) == 5 and docs["zz/new.md"] == "New"
+    for name, text in (("new.md", "# Newer"), ("old.md", "# Old")):
+        with open(os.path.join(corpus, "zz", name), "w") as f:
+            f.write(text)
+    os.utime(os.path.join(corpus, "zz", "old.md"), (1, time.time() - 30 * 86400))
+    os.remove(os.path.join(corpus, "root.md"))
+    docs = {r.path: r.title for r in index.incremental_index(spark, corpus, work).collect()}
+    assert len(docs) == 5 and docs["zz/new.md"] == "Newer" and docs["zz/old.md"] == "Old" and "root.md" not in docs
+    again = {r.path: r.title for r in index.incremental_index(spark, corpus, work).collect()}
+    assert again == docs
 
 
 def test_shared_dir_follows_the_cluster_setting(spark):
