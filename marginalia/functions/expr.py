@@ -42,6 +42,11 @@ def each_present(value: Column) -> Column:
     return F.explode(F.filter(F.array(value), lambda v: v.isNotNull()))
 
 
+def quoted(text: str) -> str:
+    """Regular expression that matches exactly this text."""
+    return r"\Q" + text.replace(r"\E", r"\E\\E\Q") + r"\E"
+
+
 def strip(c: str | Column) -> Column:
     return F.btrim(col(c), F.lit(WHITESPACE))
 
@@ -68,9 +73,7 @@ def first_nonempty(*cols: Column) -> Column:
 
 
 def lookup(c: Column, table: dict[str, str], default: Column | str) -> Column:
-    """Constant map lookup with a default; the table lives in the plan, so it must stay small."""
-    if len(table) > 1000:
-        raise ValueError("use a join for tables this large")
+    """Constant map lookup with a default; the table is part of the plan."""
     pairs = [F.lit(x) for kv in table.items() for x in kv]
     return F.coalesce(F.try_element_at(F.create_map(*pairs), c),
                       F.lit(default) if isinstance(default, str) else default)

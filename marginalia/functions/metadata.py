@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .expr import NON_WS, WS, WS_CHARS, col, first_nonempty, let, lines_of, lookup, or_else, strip
+from .expr import NON_WS, WS, WS_CHARS, col, first_nonempty, let, lines_of, lookup, or_else, quoted, strip
 from .text import squeeze, stem
 
 HEAD_LINES = 30
@@ -108,7 +108,7 @@ def doc_profile(content: str | Column, name: str | Column, section: str = "技
     """Title, one-line tagline and the gist of one named section, from the first 5000 characters."""
     text = F.left(col(content), F.lit(PROFILE_CHARS))
     body = F.regexp_extract(
-        text, rf"(?dms)^##{WS}*\Q{section}\E{WS}*\n(.+?)(?=^##{WS}|\z)", 1)
+        text, rf"(?dms)^##{WS}*{quoted(section)}{WS}*\n(.+?)(?=^##{WS}|\z)", 1)
     return {
         "title": or_else(strip(F.regexp_extract(text, TITLE, 1)), stem(col(name))),
         "tagline": strip(F.regexp_extract(text, rf"(?dm)^>{WS}*(.+)$", 1)),

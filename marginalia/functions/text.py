@@ -125,8 +125,6 @@ def unescape(c: Column) -> Column:
 # Display labels of stored codes.
 EVENT_LABELS = {"Technology": "技术", "Market": "市场", "Capital": "资本",
                 "Competitive": "竞争", "Policy": "政策"}
-VARIABLE_LABELS = {"Technology": "技术", "Demand": "需求", "Capital": "资本",
-                   "Competitive": "竞争", "Regulatory": "监管"}
 FEATURE_LABELS = {"battle": "论文之战", "review": "新项目评审", "radar": "投资雷达",
                   "ingest": "文件归档", "tech": "技术提取", "unknown": "其他"}
 

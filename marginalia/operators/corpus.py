@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import lines as L
 from ..functions import metadata as M
-from ..functions.expr import first_nonempty, let, or_else
-from ..functions.text import base_name, words
+from ..functions.expr import let, or_else, quoted
+from ..functions.text import words
 from .ordered import neighbours, top_per_group
 
 # Category folders with name, icon and description; unknown ones show as 其他.
@@ -105,17 +105,16 @@ def filter_deals(docs: DataFrame, key: str, track: str | None = None, status: st
                  by_name: bool = False) -> DataFrame:
     """Deals by track and status, with the counts ``shown`` and ``total`` of the page head.
 
-    The counts are two scalar subqueries over pre-aggregated counts, not a global window.
+    Both counts come from one scalar subquery, not from a global window.
     """
     category = by_category(docs, key)
-    hits = category
-    if track is not None:
-        hits = hits.where(F.col("track") == track)
-    if status is not None:
-        hits = hits.where(F.col("status") == status)
-    shown, total = hits.agg(F.count(F.lit(1))).scalar(), category.agg(F.count(F.lit(1))).scalar()
+    wanted = F.lit(True)
+    for name, value in (("track", track), ("status", status)):
+        wanted = wanted if value is None else wanted & (F.col(name) == value)
+    counts = category.agg(F.struct(F.count_if(wanted).alias("shown"), F.count(F.lit(1)).alias("total"))).scalar()
+    hits = category.where(wanted)
     order = ([M.display_title("title", "name"), "name"] if by_name else [F.desc("modified"), "name"])
-    return hits.withColumns({"shown": shown, "total": total}).orderBy(*order)
+    return hits.withColumn("_n", counts).select(*docs.columns, "_n.shown", "_n.total").orderBy(*order)
 
 
 def newest(docs: DataFrame, n: int | None = 10) -> DataFrame:
@@ -129,7 +128,7 @@ def reports(docs: DataFrame, key: str, word: str = "周报", n: int = 10) -> Dat
 
 def with_section(docs: DataFrame, heading: str) -> DataFrame:
     """Documents that have the section ``## heading``, newest first."""
-    return newest(docs.where(F.col("content").rlike(rf"(?dm)^## \Q{heading}\E\n")), None)
+    return newest(docs.where(F.col("content").rlike(rf"(?dm)^## {quoted(heading)}\n")), None)
 
 
 def nonempty_text(docs: DataFrame) -> DataFrame:
@@ -168,10 +167,20 @@ def search(docs: DataFrame, text: str, limit: int | None = SEARCH_SHOWN) -> Data
     return (ranked if limit is None else ranked.limit(limit)).where("score > 0")
 
 
-def search_many(docs: DataFrame, texts: Sequence[str], limit: int = SEARCH_SHOWN) -> DataFrame:
+def search_many(docs: DataFrame, texts: Sequence[str] | DataFrame, limit: int = SEARCH_SHOWN) -> DataFrame:
     """Search for several texts in one pass over the corpus: each document is scored against the
-    list in place, and the ranked window keeps at most ``limit`` rows per text before the shuffle."""
-    asked = F.array(*[F.lit(t.lower()) for t in texts])
+    list in place, and the ranked window keeps at most ``limit`` rows per text before the shuffle.
+
+    ``texts`` is a list, or a table of users' queries whose first column holds them: it is the stated
+    query set, reaches every task as one array, and blank, missing and repeated texts count once or not.
+    """
+    if isinstance(texts, DataFrame):
+        q = F.lower(F.col(texts.columns[0]))
+        asked = texts.where(q != "").agg(F.sort_array(F.collect_set(q))).scalar()
+    else:
+        asked = F.array(*[F.lit(t.lower()) for t in texts])
+    columns = [c for c in docs.columns if c != "content"]
+    docs = docs.withColumn("_asked", asked)
     f = _fields(docs)
     lowered = F.struct(*[(F.transform(c, F.lower) if n == "tags" else F.lower(F.coalesce(c, F.lit("")))).alias(n)
                          for n, c in f.items()])
@@ -184,9 +193,9 @@ def search_many(docs: DataFrame, texts: Sequence[str], limit: int = SEARCH_SHOWN
         return total
 
     hits = let(lowered, lambda v: F.filter(
-        F.transform(asked, lambda q: F.struct(q.alias("q"), score(v, q).alias("score"))),
+        F.transform("_asked", lambda q: F.struct(q.alias("q"), score(v, q).alias("score"))),
         lambda h: h["score"] > 0))
-    flat = docs.select(*[c for c in docs.columns if c != "content"], F.inline(hits))
+    flat = docs.select(*columns, F.inline(hits))
     return top_per_group(flat, ["q"], [F.desc("score"), F.col("category_key"), F.col("name")], limit)
 
 
@@ -196,10 +205,6 @@ def escape_html(c: Column) -> Column:
     return c
 
 
-def _quoted(text: str) -> str:
-    return r"\Q" + text.replace(r"\E", r"\E\\E\Q") + r"\E"
-
-
 def explain_hits(results: DataFrame, text: str, width: int = 140) -> DataFrame:
     """Which fields matched, and a highlighted snippet around the first hit in the content."""
     q = F.lit(text.lower())
@@ -213,7 +218,7 @@ def explain_hits(results: DataFrame, text: str, width: int = 140) -> DataFrame:
     escaped_q = text
     for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         escaped_q = escaped_q.replace(raw, safe)
-    marked = F.regexp_replace(escape_html(piece), "(?iu)" + _quoted(escaped_q), "<mark>$0</mark>")
+    marked = F.regexp_replace(escape_html(piece), "(?iu)" + quoted(escaped_q), "<mark>$0</mark>")
     snippet = F.when(at > 0, F.concat(F.when(start > 0, "…").otherwise(""), marked, F.lit("…"))).otherwise("")
     return results.withColumns({"matched": F.array_join(where, ","), "snippet": snippet})
 
@@ -349,8 +354,3 @@ def provenance(content: Column, title: Column, source: Column, day: str) -> Colu
     rest = F.when(F.contains(content, F.lit("\n")), F.concat(F.lit("\n"), L.after_head(content))).otherwise("")
     return F.when(content.startswith("# "), F.concat(first, F.lit("\n"), line, rest)).otherwise(
         F.concat(F.lit("# "), title, F.lit("\n"), line, F.lit("\n\n"), content))
-
-
-def session_label(doc_path: Column, key: Column) -> Column:
-    """Document name of a session, or the first six characters of its key."""
-    return first_nonempty(F.replace(base_name(doc_path), F.lit(".md"), F.lit("")), F.left(key, F.lit(6)))

@@ -9,6 +9,7 @@ from ..functions.expr import first_nonempty, lookup, or_else
 from ..functions.text import base_name
 
 STALE_SECS, STALE_SECS_CHAT = 600, 120
+CHAT_KINDS = ("battle", "review")
 SHOWN_SECS = 6 * 3600
 # Order of a job list, and the labels of radar stages.
 STATUS_RANK = {"running": 0, "interrupted": 1, "error": 2, "done": 3}
@@ -17,7 +18,7 @@ FAILED = "任务失败"
 
 
 def norm_status(status: Column, idle_secs: Column, cancel: Column | None = None,
-                stale_secs: int = STALE_SECS) -> Column:
+                stale_secs: int | Column = STALE_SECS) -> Column:
     """Running without an update for too long, or cancelled, is interrupted; blank is done."""
     raw = F.coalesce(status, F.lit(""))
     known = F.when((raw == "running") & (idle_secs > stale_secs), "interrupted").when(
@@ -25,6 +26,11 @@ def norm_status(status: Column, idle_secs: Column, cancel: Column | None = None,
     return known if cancel is None else F.when(F.coalesce(cancel, F.lit(False)), "interrupted").otherwise(known)
 
 
+def stale_after(kind: Column) -> Column:
+    """Seconds without an update after which a job of this kind counts as interrupted."""
+    return F.when(kind.isin(*CHAT_KINDS), STALE_SECS_CHAT).otherwise(STALE_SECS)
+
+
 def elapsed_secs(started: Column, finished: Column, now: str) -> Column:
     """Seconds from start to finish (or now), at least 0; null when the start is unreadable."""
     t0 = F.try_to_timestamp(started)
@@ -100,6 +106,12 @@ def job_list(jobs: DataFrame) -> DataFrame:
     return jobs.withColumn("rank", job_order(F.col("status"))).orderBy("rank", F.desc("started"), "job")
 
 
+def of_pairs(drafts: DataFrame, pairs: DataFrame, first: str, second: str) -> DataFrame:
+    """Drafts kept under ``pair_key`` (first|second) whose two documents are a pair of ``pairs``."""
+    chosen = pairs.select(F.concat(F.col(first).cast("string"), F.lit("|"), F.col(second).cast("string")).alias("pair_key"))
+    return drafts.join(chosen, "pair_key", "left_semi")
+
+
 def summary(c: dict[str, Column]) -> Column:
     """One line per job by kind and status."""
     def text(x):

@@ -7,14 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A configured keyword map up to this size becomes one CASE expression (no join at all).
-INLINE_KEYWORDS = 200
-
 
 def first_keyword(text: Column, keywords: Sequence[tuple[str, str]], default: str) -> Column:
-    """Label of the first keyword contained in ``text``; CASE order is keyword order."""
-    if len(keywords) > INLINE_KEYWORDS:
-        raise ValueError("use contained_in() with a keyword table")
+    """Label of the first keyword contained in ``text``; CASE order is keyword order. For configured
+    maps; a keyword table goes through ``track_by_table``."""
     out = None
     for keyword, name in keywords:
         hit = F.contains(text, F.lit(keyword))
@@ -43,7 +39,8 @@ def track_by_table(docs: DataFrame, keywords: DataFrame, key: str = "path",
                    default: str = "未分类") -> DataFrame:
     """Track of a document from a keyword table (keyword, track, prio) of any size."""
     texts = docs.select(key, F.concat_ws(" ", "name", "title").alias("_text"))
-    hits = contained_in(texts, "_text", keywords, "keyword").groupBy(key).agg(
+    words = keywords.groupBy("keyword").agg(F.min("prio").alias("prio"), F.min_by("track", "prio").alias("track"))
+    hits = contained_in(texts, "_text", words, "keyword").groupBy(key).agg(
         F.min_by("track", "prio").alias("track"))
     return docs.join(hits, key, "left").withColumn("track", F.coalesce("track", F.lit(default)))
 
@@ -72,10 +69,11 @@ def default_industry(projects: DataFrame, industries: DataFrame) -> DataFrame:
         "pos", F.col("path").alias("industry"),
         F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.col("name"))).alias("_hay"),
         F.lower(F.btrim(F.regexp_replace(shown, r"（.*?）|\(.*?\)|\.md", ""))).alias("_core"))
+    cores = ind.groupBy("_core").agg(F.min("pos").alias("pos"), F.min_by("industry", "pos").alias("industry"))
     forward = contained_in(ind.select("pos", "industry", "_hay"), "_hay", tracks, "_t").select(
         "_t", F.lit(0).alias("_phase"), "pos", "industry")
     backward = contained_in(tracks.select("_t", F.col("_t").alias("_text")), "_text",
-                            ind.select("pos", "industry", "_core"), "_core").select(
+                            cores, "_core").select(
         "_t", F.lit(1).alias("_phase"), "pos", "industry")
     best = forward.unionByName(backward).groupBy("_t").agg(
         F.min_by("industry", F.struct("_phase", "pos")).alias("industry"))

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import WS, WS_CHARS, col, each_present, first_nonempty, let, lines_of, rstrip, strip
+from ..functions.expr import WS, WS_CHARS, col, each_present, first_nonempty, let, lines_of, quoted, rstrip, strip
 from ..functions.lines import IMAGE_TOKEN
 from ..functions.text import squeeze
 
@@ -29,7 +29,7 @@ SEPARATOR_ROW = rf"\A{WS}*\|[\-|{WS_CHARS}]+\|{WS}*\z"
 
 def section_pattern(heading: str) -> str:
     """From a ``## `` heading to the next one or the end."""
-    return rf"(?dms)^## \Q{heading}\E\n.*?(?=^## |\z)"
+    return rf"(?dms)^## {quoted(heading)}\n.*?(?=^## |\z)"
 
 
 def section_text(content: str | Column, heading: str) -> Column:
@@ -152,7 +152,7 @@ def change_preview(docs: DataFrame, updates: DataFrame, key: str, heading: str =
 
 def table_rows(text: Column, header: str) -> Column:
     """Rows of the Markdown table whose first column is ``header``, as array of cell arrays."""
-    body = F.regexp_extract(text, rf"\| *\Q{header}\E *\|[^\n]*\n\|[\-|{WS_CHARS}]+\|\n((?:\|[^\n]*\|\n?)++)", 1)
+    body = F.regexp_extract(text, rf"\| *{quoted(header)} *\|[^\n]*\n\|[\-|{WS_CHARS}]+\|\n((?:\|[^\n]*\|\n?)++)", 1)
     cells = F.transform(lines_of(strip(body)), lambda s: F.transform(
         F.split(F.btrim(strip(s), F.lit("|")), r"\|"),
         lambda c: F.replace(strip(c), F.lit("\\|"), F.lit("|"))))
@@ -232,9 +232,9 @@ def inline_images(content: Column, images: Column, folder: Column) -> Column:
         page = F.regexp_extract(name, r"\Ap(\d+)_", 1)
         caption = F.when(page != "", F.concat(F.lit("p."), page)).otherwise("")
         link = F.concat(F.lit("!["), caption, F.lit(" 图表]("), folder, F.lit("/"), name, F.lit(")"))
-        quoted = F.regexp_replace(link, r"([\\$])", r"\\$1")
+        shown = F.regexp_replace(link, r"([\\$])", r"\\$1")
         token = F.concat(F.lit(rf"\[\[图{WS}*[:：]{WS}*\Q"), name, F.lit(rf"\E{WS}*\]\]"))
-        return F.regexp_replace(text, token, quoted)
+        return F.regexp_replace(text, token, shown)
     return F.aggregate(used_images(content, images), content, swap)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions.expr import col, each_present, first_nonempty, let, one_of, strip
 from ..functions.text import norm_title, safe_name, strip_fence
@@ -20,6 +21,7 @@ MAX_PER_THEME, MAX_PER_QUERY = 10, 4
 MAX_AGE_DAYS, RECENT_DAYS = 10, 7
 KEY_POINTS = 6
 ARTICLES_PER_CALL, ARTICLE_CHARS = 8, 4000
+ARTICLE_RANGE = 4096  # sequence numbers
 ISO_DATE = r"\A\d{4}-\d{2}-\d{2}"
 
 
@@ -94,19 +96,6 @@ def parse_article_items(replies: DataFrame, text: str, limit: int = 20) -> DataF
         "origin": F.lit("wechat"), "auto": F.lit(False)}).drop("_it")
 
 
-def conform_signal(raw: DataFrame, theme: Column | None = None) -> DataFrame:
-    """Hand-edited or external rows brought to the signal schema; rows without a title are dropped."""
-    have = set(raw.columns)
-    out = {"title": strip("title"), "date": F.left(F.coalesce("date", F.lit("")), F.lit(10)),
-           "source_type": one_of(F.col("source_type"), SOURCE_TYPES, "产业信息")}
-    if "event_type" in have:
-        out["event_type"] = one_of(F.col("event_type"), EVENT_TYPES, "Market")
-    if "importance" in have:
-        out["importance"] = one_of(F.col("importance"), IMPORTANCES, "中")
-    out["theme"] = theme if theme is not None else one_of(F.col("theme"), THEMES, "其他")
-    return raw.withColumns(out).where("title <> ''")
-
-
 def conform_extraction(replies: DataFrame, text: str) -> DataFrame:
     """Extraction reply to columns: trimmed fields and lists, and the source line."""
     v = F.col("_v")
@@ -132,17 +121,21 @@ def route_target(target: Column, new_title: Column, one_liner: Column) -> Column
 
 
 def article_payload(articles: DataFrame, seq: str) -> DataFrame:
-    """Request rows of at most eight articles. A batch is a range of eight sequence numbers, so
-    no global numbering is needed; each text is cut to what the service accepts."""
+    """Request rows of at most eight articles, whatever gaps or repeats the sequence has. Articles are
+    numbered inside ranges of ``ARTICLE_RANGE`` sequence numbers, so no global numbering is needed and
+    at most one request per range is not full; each text is cut to what the service accepts."""
+    start = F.floor(F.col(seq) / ARTICLE_RANGE) * ARTICLE_RANGE
     item = F.to_json(F.struct(
         strip("title").alias("title"), strip("account").alias("account"),
         F.left("date", F.lit(10)).alias("date"), F.left("text", F.lit(ARTICLE_CHARS)).alias("text")))
-    return (articles.withColumn("batch", F.floor(F.col(seq) / ARTICLES_PER_CALL)).withColumn("_item", item)
-            .groupBy("batch").agg(
+    at = F.row_number().over(W.partitionBy("start").orderBy(seq, "_item"))
+    return (articles.select(start.alias("start"), seq, item.alias("_item"))
+            .withColumn("batch", F.floor((at - 1) / ARTICLES_PER_CALL))
+            .groupBy("start", "batch").agg(
                 F.count(F.lit(1)).alias("n_articles"),
                 F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(seq, "_item"))),
                                          lambda x: x["_item"]), ",").alias("_items"))
-            .select("batch", "n_articles", F.concat(F.lit("["), "_items", F.lit("]")).alias("payload")))
+            .select("start", "batch", "n_articles", F.concat(F.lit("["), "_items", F.lit("]")).alias("payload")))
 
 
 # ---- date predicates --------------------------------------------------------------------------

@@ -15,9 +15,7 @@ from .oracle_views import with_
 from .registry import query
 
 # The provided sources stand for the category folders.
-KEYS = {real: key for (key, _), real in zip(V.CATEGORY_ROWS, [
-    "02_deals", "01_industry", "03_frameworks", "04_comparables", "05_tracking", "06_strategy",
-    "07_learnings", "08_funds", "09_tech"], strict=True)}
+KEYS = {row[0]: f"src{i}" for i, row in enumerate(C.CATEGORIES)}
 DEALS, INDUSTRY, TRACKING = KEYS["02_deals"], KEYS["01_industry"], KEYS["05_tracking"]
 KEYWORDS = [("che", "T1"), ("tion", "T2"), ("ent", "T3")]
 QUERY, TAG, SEED = "tion", "t3", "src7/d00000007.md"
@@ -44,7 +42,6 @@ KT = with_(V.K)
 
 MD = with_(V.K, f"D AS (SELECT * REPLACE ({S.FRONT.replace('STRING', 'VARCHAR')} AS content) FROM K)",
            "H AS (SELECT *, array_to_string(list_slice(string_split(content, chr(10)), 1, 30), chr(10)) AS head FROM D)")
-WS = r"[\s]"
 
 
 def _meta(spark, sf, **cols):
@@ -135,6 +132,13 @@ def _(spark, sf):
     return S.spread(S.table(spark, sf, "documents"), "doc_id").select("doc_id", T.safe_name("text", "none").alias("safe_name"))
 
 
+@query("met11_slug", r"""SELECT doc_id, coalesce(nullif(left(regexp_replace(regexp_replace(regexp_replace(concat('a/b/', text, '.md'), '(?s)^.*/', ''),
+ '(?s)^(\.*[^.].*)\.[^.]*$', '\1'), '[^\p{L}\p{M}\p{Nd}\p{Pc}.-]', '_', 'g'), 60), ''), 'doc') AS slug FROM documents""")
+def _(spark, sf):
+    return S.spread(S.table(spark, sf, "documents"), "doc_id").select(
+        "doc_id", T.slug(F.concat(F.lit("a/b/"), F.col("text"), F.lit(".md"))).alias("slug"))
+
+
 @query("met12_route_target", with_(V.S) + r"""SELECT seq, CASE WHEN seq % 3 = 0 THEN concat('t', CAST(sub_query AS VARCHAR), '.md')
  ELSE concat(left(coalesce(nullif(trim(regexp_replace(trim(coalesce(nullif(CASE WHEN seq % 7 = 1 THEN '' ELSE title END, ''), theme)),
    '[\\/:*?"<>|\s]+', '_', 'g'), '_'), ''), '未命名技术'), 60), '.md') END AS target FROM S""")
@@ -383,6 +387,15 @@ def _(spark, sf):
     return C.search_many(docs(spark, sf), QUERIES).select("q", "path", "score", "rank")
 
 
+@query("top02_search_table", KT + f""", Q AS (SELECT K.*, q FROM K, (SELECT DISTINCT lower(left(n_name, 2)) AS q FROM nation))
+ SELECT q, path, CAST(score AS BIGINT) AS score, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, category_key, name) AS BIGINT) AS rank
+ FROM (SELECT *, {SCORE_SQL} AS score FROM Q) WHERE score > 0
+ QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, category_key, name) <= 40""")
+def _(spark, sf):
+    asked = S.table(spark, sf, "nation").selectExpr("left(n_name, 2) AS asked")
+    return C.search_many(docs(spark, sf), asked).select("q", "path", "score", "rank")
+
+
 ESC = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
 
 

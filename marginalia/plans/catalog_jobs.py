@@ -26,6 +26,13 @@ def _(spark, sf):
     return normed(spark, sf).select("job", "status")
 
 
+@query("sca15_kind_staleness", Q + """SELECT job, CASE WHEN status = 'running' AND idle_secs > CASE WHEN kind IN ('battle', 'review') THEN 120 ELSE 600 END
+ THEN 'interrupted' ELSE status END AS status FROM J""")
+def _(spark, sf):
+    status = B.norm_status(F.col("status"), F.col("idle_secs"), stale_secs=B.stale_after(F.col("kind")))
+    return S.jobs(spark, sf).select("job", status.alias("status"))
+
+
 @query("sca16_elapsed", Q + f"""SELECT job, CAST(greatest(0, epoch(CASE WHEN finished = '' THEN TIMESTAMP '{NOW}' ELSE CAST(finished AS TIMESTAMP) END)
  - epoch(CAST(started AS TIMESTAMP))) AS BIGINT) AS secs FROM J WHERE job % 11 <> 0 UNION ALL SELECT job, NULL FROM J WHERE job % 11 = 0""")
 def _(spark, sf):
@@ -123,8 +130,8 @@ def _(spark, sf):
     drafts = S.table(spark, sf, "orders").selectExpr(
         "o_orderkey AS job", "concat('p', CAST(o_custkey AS STRING), '|i', CAST(o_orderkey % 25 AS STRING)) AS pair_key")
     chosen = S.table(spark, sf, "customer").selectExpr(
-        "concat('p', CAST(c_custkey AS STRING), '|i', CAST(c_nationkey AS STRING)) AS pair_key")
-    return drafts.join(chosen, "pair_key", "left_semi").select("job", "pair_key")
+        "concat('p', CAST(c_custkey AS STRING)) AS project", "concat('i', CAST(c_nationkey AS STRING)) AS industry")
+    return B.of_pairs(drafts, chosen, "project", "industry").select("job", "pair_key")
 
 
 # ---- chat -------------------------------------------------------------------------------------

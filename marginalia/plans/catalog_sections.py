@@ -151,12 +151,18 @@ def _(spark, sf):
 
 # ---- scalar functions over lines --------------------------------------------------------------
 
-@query("sca02_norm_heading", lines_sql(S.HEADED) + f"""SELECT doc_id, CAST(pos AS BIGINT) AS pos, lower(replace(replace(regexp_replace(trim(concat('##  模块', CAST(pos AS VARCHAR), '：', substr(line, 4)), {V.BLANKS}), '^#+\\s*', ''), '：', ':'), ' ', '')) AS key,
- lower(replace(replace(trim(substr(line, 4), {V.BLANKS}), '：', ':'), ' ', '')) AS bare FROM L WHERE pos % 5 = 0""")
+@query("sca02_norm_heading", lines_sql(S.HEADED) + f"""SELECT doc_id, CAST(pos AS BIGINT) AS pos, lower(replace(replace(regexp_replace(trim(line, {V.BLANKS}), '^#+\\s*', ''), '：', ':'), ' ', '')) AS key
+ FROM L WHERE regexp_matches(line, '^#{{1,6}} ')""")
 def _(spark, sf):
-    rows = text(spark, sf, S.HEADED).select("doc_id", F.posexplode(F.split("content", "\n")).alias("pos", "line")).where("pos % 5 = 0")
+    rows = text(spark, sf, S.HEADED).select("doc_id", F.posexplode(F.split("content", "\n")).alias("pos", "line"))
+    return rows.where(F.col("line").rlike("^#{1,6} ")).select("doc_id", "pos", T.norm_heading("line").alias("key"))
+
+
+@query("sca02_unnumbered", lines_sql(S.HEADED) + f"""SELECT doc_id, CAST(pos AS BIGINT) AS pos, lower(replace(replace(trim(substr(line, 4), {V.BLANKS}), '：', ':'), ' ', '')) AS bare FROM L WHERE length(line) > 3""")
+def _(spark, sf):
+    rows = text(spark, sf, S.HEADED).select("doc_id", F.posexplode(F.split("content", "\n")).alias("pos", "line"))
     key = T.norm_heading(F.concat(F.lit("##  模块"), F.col("pos").cast("string"), F.lit("："), F.substr("line", F.lit(4))))
-    return rows.select("doc_id", "pos", key.alias("key"), T.unnumbered(key).alias("bare"))
+    return rows.where(F.length("line") > 3).select("doc_id", "pos", T.unnumbered(key).alias("bare"))
 
 
 @query("src06_url_list_read", """WITH X AS (SELECT doc_id, pos, CASE WHEN pos % 4 = 0 THEN concat('#', line) WHEN pos % 4 = 1 THEN concat('  # ', line) WHEN pos % 4 = 2 THEN '  ' ELSE line END AS v

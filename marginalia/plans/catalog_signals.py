@@ -81,6 +81,15 @@ def _(spark, sf):
         "event_id", "target", F.array_join("key_points", "|").alias("key_points"), F.array_join("metrics", "|").alias("metrics"))
 
 
+@query("sca07_source_line", """SELECT doc_id, concat('2024-02-01 ', CASE WHEN doc_id % 4 = 0 THEN '公众号' ELSE source END, '《',
+ coalesce(nullif(trim(text, """ + V.BLANKS + """), ''), '未命名文章'), '》') AS line FROM documents""")
+def _(spark, sf):
+    account = F.when(F.col("doc_id") % 4 != 0, F.col("source"))
+    date = F.when(F.col("doc_id") % 3 == 0, "").otherwise("2024-02-01T09:00")
+    return S.table(spark, sf, "documents").select(
+        "doc_id", G.source_line(date, account, F.col("text"), "2024-02-01").alias("line"))
+
+
 @query("sca03_strip_fence", f"SELECT event_id, trim(regexp_replace({DUCK_REPLY}, '```\\w*', '', 'g'), {V.BLANKS}) AS t FROM events")
 def _(spark, sf):
     return replies(spark, sf).select("event_id", T.strip_fence("reply").alias("t"))
@@ -205,13 +214,15 @@ def _(spark, sf):
     return G.fetch_stats(asked, s.where("seq % 3 <> 0"))
 
 
-@query("udf02_request_build", """SELECT CAST(event_id // 8 AS BIGINT) AS batch, CAST(count(*) AS BIGINT) AS n_articles,
- concat('[', string_agg(concat('{"title":"', event_type, '","account":"u', CAST(user_id AS VARCHAR), '","date":"', CAST(CAST(ts AS DATE) AS VARCHAR),
-  '","text":"', repeat('x', least(4000, 300 * (user_id % 20))), '"}'), ',' ORDER BY event_id), ']') AS payload FROM events GROUP BY 1""")
+@query("udf02_request_build", """WITH X AS (SELECT doc_id // 4096 * 4096 AS start, doc_id, to_json({title: trim(split_part(text, chr(10), 1), """ + V.BLANKS + """),
+  account: source, date: '2024-02-01', text: left(text, 4000)}) AS item FROM documents),
+ Y AS (SELECT *, (row_number() OVER (PARTITION BY start ORDER BY doc_id) - 1) // 8 AS batch FROM X)
+ SELECT CAST(start AS BIGINT) AS start, CAST(batch AS BIGINT) AS batch, CAST(count(*) AS BIGINT) AS n_articles,
+  concat('[', string_agg(item, ',' ORDER BY doc_id), ']') AS payload FROM Y GROUP BY start, batch""")
 def _(spark, sf):
-    a = S.table(spark, sf, "events").selectExpr(
-        "event_id AS seq", "concat(' ', event_type) AS title", "concat('u', user_id) AS account",
-        "CAST(ts AS STRING) AS date", "repeat('x', CAST(300 * (user_id % 20) AS INT)) AS text")
+    a = S.table(spark, sf, "documents").selectExpr(
+        "doc_id AS seq", "substring_index(text, '\n', 1) AS title", "source AS account",
+        "'2024-02-01T09:00' AS date", "text")
     return G.article_payload(a, "seq")
 
 
@@ -302,7 +313,6 @@ def _(spark, sf):
  FROM orders GROUP BY 1""")
 def _(spark, sf):
     from ..operators.sections import confidence_level, unresolved
-    a = S.narratives(spark, sf).selectExpr("theme", "seq", "CASE narrative WHEN 'F' THEN '未验证' WHEN 'P' THEN '部分验证' ELSE narrative END AS v")
     o = S.table(spark, sf, "orders").selectExpr(
         "concat('c', CAST(o_custkey AS STRING)) AS theme", "o_orderkey AS seq", "o_orderkey % 100 AS confidence",
         "CASE o_orderstatus WHEN 'F' THEN '未验证' WHEN 'P' THEN '部分验证' ELSE '已验证' END AS verification")

@@ -116,8 +116,11 @@ def _(spark, sf):
     return corpus_files.decode_text(files).select("doc_id", "text")
 
 
-@query("udf04_unescape", """SELECT doc_id, concat(replace(text, '&', '+'), CASE WHEN doc_id % 4 = 0 THEN 'é中…' ELSE '<&amp;"' END) AS text FROM documents""")
+@query("udf04_unescape", """SELECT doc_id, concat(text, CASE WHEN doc_id % 4 = 0 THEN 'é中…' ELSE '<&amp;"' END) AS text FROM documents""")
 def _(spark, sf):
+    escaped = F.col("text")
+    for raw, reference in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&#34;"), ("é", "&eacute;"), ("ñ", "&#xf1;")):
+        escaped = F.replace(escaped, F.lit(raw), F.lit(reference))
     tail = F.when(F.col("doc_id") % 4 == 0, "&eacute;&#x4e2d;&hellip;").otherwise("&lt;&amp;amp;&quot;")
-    raw = F.concat(F.replace("text", F.lit("&"), F.lit("+")), tail)
-    return S.spread(S.table(spark, sf, "documents"), "doc_id").select("doc_id", unescape_all(raw).alias("text"))
+    return S.spread(S.table(spark, sf, "documents"), "doc_id").select(
+        "doc_id", unescape_all(F.concat(escaped, tail)).alias("text"))

@@ -3,7 +3,7 @@
 KEY = "CASE WHEN doc_id % 50 = 0 THEN '' ELSE source END"
 
 CATEGORY_ROWS = [
-    ("src1", "项目解剖"), ("src0", "行业认知"), ("src2", "方法论"), ("src3", "横向比较"), ("src4", "动态追踪"),
+    ("src0", "行业认知"), ("src1", "项目解剖"), ("src2", "方法论"), ("src3", "横向比较"), ("src4", "动态追踪"),
     ("src5", "投资策略"), ("src6", "经验沉淀"), ("src7", "被投基金"), ("src8", "技术沉淀"),
 ]
 _CATS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in CATEGORY_ROWS)

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..functions import metadata as M
-from ..functions.expr import col
+from ..functions.expr import col, quoted
 from ..operators.corpus import NO_TRACK
 from ..operators.lookup import first_keyword
 from . import versions
@@ -64,8 +64,8 @@ def _exists_glob(spark: SparkSession, pattern: str) -> bool:
 
 def relative_path(files: DataFrame, root: str) -> DataFrame:
     """Add ``rel``, the path below the root folder."""
-    quoted = r"\Q" + root.strip("/").replace(r"\E", r"\E\\E\Q") + r"\E"
-    return files.withColumn("rel", F.regexp_extract("path", r"\A(?:file:/*|[a-z0-9]+://[^/]*)?/?" + quoted + r"/(.*)\z", 1))
+    quoted_root = quoted(root.strip("/"))
+    return files.withColumn("rel", F.regexp_extract("path", r"\A(?:file:/*|[a-z0-9]+://[^/]*)?/?" + quoted_root + r"/(.*)\z", 1))
 
 
 def index_files(files: DataFrame, root: str, keywords: Sequence[tuple[str, str]] = ()) -> DataFrame:

@@ -24,8 +24,6 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A constant dimension as a local relation: it is part of the plan, so its size is known."""
-    if len(rows) > 1000:
-        raise ValueError("write larger dimensions as a table")
     def lit(v):
         if v is None:
             return "NULL"
