@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import strip
-from .ordered import keep_last, neighbours, top_per_group
+from .ordered import NUMBER_RANGE, keep_last, neighbours, top_per_group
 from .signals import in_range, since, theme_distribution
 
 FIRST = "（首次建立）"
@@ -20,18 +20,31 @@ def _told(feed: DataFrame) -> DataFrame:
 def history(feed: DataFrame, current: DataFrame | None = None) -> DataFrame:
     """One row per change of a theme's narrative.
 
-    ``feed`` holds (theme, seq, date, narrative, trigger) with ``seq`` unique per theme. The first
-    narrative of a theme is a transition; ``current`` gives the narratives known before the feed.
+    ``feed`` holds (theme, seq, date, narrative, trigger) with ``seq`` the append number of an update,
+    unique per theme. The first narrative of a theme is a transition; ``current`` gives the narratives
+    known before the feed.
     """
-    feed = _told(feed)
-    if "is_transition" not in feed.columns:
-        feed = feed.withColumn("is_transition", F.lit(False))
-    rows = neighbours(feed, ["theme"], ["seq"], "narrative", prev="prev")
+    rows = _with_previous(feed)
     if current is not None:
         known = current.select("theme", F.col("narrative").alias("_known"))
         rows = rows.join(known, "theme", "left").withColumn("prev", F.coalesce("prev", "_known"))
+    return _changes(rows)
+
+
+def _with_previous(feed: DataFrame) -> DataFrame:
+    feed = _told(feed)
+    if "is_transition" not in feed.columns:
+        feed = feed.withColumn("is_transition", F.lit(False))
+    return neighbours(feed, ["theme"], ["seq"], "narrative", prev="prev", rows=NUMBER_RANGE)
+
+
+def _is_change() -> Column:
+    return F.col("prev").isNull() | (F.col("prev") != F.col("narrative"))
+
+
+def _changes(rows: DataFrame) -> DataFrame:
     first = F.col("prev").isNull()
-    return rows.where(first | (F.col("prev") != F.col("narrative"))).select(
+    return rows.where(_is_change()).select(
         "theme", "seq", "date", F.coalesce("prev", F.lit(FIRST)).alias("previous"),
         F.col("narrative").alias("new_narrative"),
         F.when(first, "").otherwise(strip("trigger")).alias("trigger"),
@@ -73,7 +86,11 @@ def week_kpis(signals: DataFrame, hist: DataFrame, cur: DataFrame, variables: Da
 def weekly_report(signals: DataFrame, feed: DataFrame, variables: DataFrame, start: str, end: str,
                   questions: list[str]) -> DataFrame:
     """The five data sets of the weekly report in long form (section, theme, field, value, n)."""
-    hist, cur = history(feed), current(feed)
+    told = _with_previous(feed)
+    changed = F.coalesce(F.max(_is_change() & in_range("date", start, end)), F.lit(False))
+    cur = told.groupBy("theme").agg(F.max_by(F.struct("narrative", "trigger", "date"), "seq").alias("_row"),
+                                    changed.alias("_changed"))
+    touched = cur.where(F.col("_changed") | in_range(F.col("_row.date"), start, end)).select("theme", "_row.*")
 
     def rows(df: DataFrame, section: str, theme, fields: dict, n=None) -> DataFrame:
         pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("field"), F.coalesce(v, F.lit("—")).alias("value"))
@@ -84,10 +101,9 @@ def weekly_report(signals: DataFrame, feed: DataFrame, variables: DataFrame, sta
 
     spread = theme_distribution(signals, start, end)
     parts = rows(spread, "distribution", F.col("theme"), {"signals": F.col("theme")}, F.col("n"))
-    touched = cur.join(updated_themes(hist, cur, start, end), "theme", "left_semi")
     parts = parts.unionByName(rows(touched, "review", F.col("theme"), {
         "narrative": F.col("narrative"), "evidence": F.col("trigger")}))
-    moved = hist.where(in_range("date", start, end) & F.col("is_transition"))
+    moved = _changes(told).where(in_range("date", start, end) & F.col("is_transition"))
     parts = parts.unionByName(rows(moved, "evolution", F.col("theme"), {
         "previous": F.col("previous"), "new": F.col("new_narrative"), "date": F.col("date")}))
     parts = parts.unionByName(rows(variables.where(in_range("date", start, end)), "variables", F.col("theme"), {

@@ -1,9 +1,11 @@
 """Order-sensitive operators that stay safe when one group holds a large share of all rows.
 
 ``lag() OVER (PARTITION BY group ORDER BY seq)`` sorts a whole group in one task. Here the rows are
-cut into order-preserving buckets at quantiles of (group, order), so a bucket holds about one part in
-``CUT_POINTS`` of the table, whichever group it belongs to, and one summary row per group and bucket
-carries values across bucket borders. The plan is the same for every table.
+cut into order-preserving buckets, and one summary row per group and bucket carries values across
+bucket borders. Append numbers are cut into ranges, so a bucket holds at most that many rows of unique
+numbers and no statistics are needed; any other order is cut at quantiles of (group, order), so a
+bucket holds about one part in ``CUT_POINTS`` of the table, whichever group it belongs to. The caller
+says which it is; the plan never depends on the table.
 """
 
 from __future__ import annotations
@@ -16,8 +18,9 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import let
 
-# Numbers of a base that fall into one bucket of names.
-NAME_RANGE = 1_000_000
+# Append numbers (or name suffixes) that fall into one bucket.
+NUMBER_RANGE = 1_000_000
+LOWEST = -2 ** 63  # bucket of rows without a number; they come first, as nulls do
 # Cut points between buckets of any other order; a power of two.
 CUT_POINTS = 4096
 # Rows looked at per cut point; the sample is this many times the number of cut points.
@@ -78,14 +81,21 @@ def with_order_bucket(df: DataFrame, group: Sequence[str], order: Sequence[str])
     return df.withColumn("_cuts", cut_points(df, cols)).withColumn("_bucket", let(bound, search)).drop("_cuts")
 
 
+def with_number_bucket(df: DataFrame, number: str, rows: int = NUMBER_RANGE) -> DataFrame:
+    """Order-preserving ``_bucket`` number from an append number: its range of ``rows`` numbers."""
+    return df.withColumn("_bucket", F.coalesce(F.floor(F.col(number) / rows), F.lit(LOWEST)))
+
+
 def neighbours(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str,
-               prev: str | None = None, next_: str | None = None) -> DataFrame:
-    """Value of the previous and/or next row of the group.
+               prev: str | None = None, next_: str | None = None, rows: int | None = None) -> DataFrame:
+    """Value of the previous and/or next row of the group. ``rows`` says that ``order`` is one append
+    number, to be cut into ranges of that many.
 
     The edge rows of the buckets are found by a pre-aggregated group-by. Edges and rows meet on
     (group, bucket), the keys the window uses, so the rows are shuffled once.
     """
-    df = with_order_bucket(df.withColumn("_v", F.col(value)), group, order)
+    df = df.withColumn("_v", F.col(value))
+    df = with_number_bucket(df, *order, rows) if rows else with_order_bucket(df, group, order)
     by = F.struct(*order)
     edges = df.groupBy(*group, "_bucket").agg(
         F.min_by("_v", by).alias("_first"), F.max_by("_v", by).alias("_last"))
@@ -115,28 +125,25 @@ def running_sum(df: DataFrame, group: Sequence[str], order: Sequence[str], amoun
 
 
 def unique_names(new: DataFrame, existing: DataFrame, base: str = "base", seq: str = "seq",
-                 suffix: str = "suffix", rows: int = NAME_RANGE) -> DataFrame:
+                 suffix: str = "suffix", rows: int = NUMBER_RANGE) -> DataFrame:
     """Collision-free names: the k-th new row of a base gets the k-th suffix that is still free.
 
     ``existing`` holds (base, suffix) with suffix 1 for the bare name. With the used suffixes
     u_1 < u_2 < ... there are u_j - j free ones below u_j, hence the k-th free suffix is k plus the
-    number of j with u_j - j < k: a running count over both inputs, no per-base arrays. The numbers
-    of a base are unique, so ranges of them make bounded buckets.
+    number of j with u_j - j < k: a running count over both inputs, no per-base arrays. ``seq`` is the
+    append number of a row; it and the suffixes of a base are unique, so ranges make bounded buckets.
     """
     used = existing.select(base, F.col(suffix).cast("long").alias("_u")).distinct()
     payload = [c for c in new.columns if c != base]
 
-    def bucket(df: DataFrame, number: str) -> DataFrame:
-        return df.withColumn("_bucket", F.floor(F.col(number) / rows))
-
-    ranked = running_sum(bucket(used, "_u"), [base], ["_u"], F.lit(1), "_j")
+    ranked = running_sum(with_number_bucket(used, "_u", rows), [base], ["_u"], F.lit(1), "_j")
     steps = ranked.groupBy(base, (F.col("_u") - F.col("_j") + 1).alias("_at")).agg(
         F.count(F.lit(1)).alias("_cnt"))
-    numbered = running_sum(with_order_bucket(new, [base], [seq]), [base], [seq], F.lit(1), "_k")
+    numbered = running_sum(with_number_bucket(new, seq, rows), [base], [seq], F.lit(1), "_k")
     both = numbered.select(base, F.col("_k").alias("_at"), F.lit(0).cast("long").alias("_cnt"),
                            F.struct(*payload).alias("_row")).unionByName(
         steps.select(base, "_at", "_cnt"), allowMissingColumns=True)
-    both = bucket(both.withColumn("_new", F.col("_row").isNotNull().cast("int")), "_at")
+    both = with_number_bucket(both.withColumn("_new", F.col("_row").isNotNull().cast("int")), "_at", rows)
     counted = running_sum(both, [base], ["_at", "_new"], F.col("_cnt"), "_skip")
     n = F.col("_at") + F.col("_skip")
     return counted.where(F.col("_new") == 1).select(

@@ -6,6 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from marginalia.functions.expr import quoted
 from marginalia.operators import chat, corpus, costs, enrich, jobs, lookup, narratives, ordered, pages, signals
 
 
@@ -24,6 +25,42 @@ def test_neighbours_of_a_hot_group(spark):
     assert {(r.g, r.name): (r.p, r.n) for r in out} == want
 
 
+def test_neighbours_by_append_number(spark):
+    rng = random.Random(2)
+    numbers = [*rng.sample(range(-50, 4000), 900), None]
+    rows = [("hot" if rng.random() < 0.5 else f"g{i % 5}", n) for i, n in enumerate(numbers)]
+    frame = spark.createDataFrame(rows, "g string, n long")
+    groups = {}
+    for g, n in sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or 0)):
+        groups.setdefault(g, []).append(n)
+    want = {(g, x): (ns[i - 1] if i else None, ns[i + 1] if i + 1 < len(ns) else None)
+            for g, ns in groups.items() for i, x in enumerate(ns)}
+    for size in (16, 10_000):
+        out = ordered.neighbours(frame, ["g"], ["n"], "n", prev="p", next_="q", rows=size).collect()
+        assert {(r.g, r.n): (r.p, r.q) for r in out} == want
+
+
+def test_request_sizes(spark):
+    rows = [(5, f"t{i}") for i in range(19)] + [(9000, "far"), (-1, "below")]
+    frame = spark.createDataFrame(rows, "seq long, title string").selectExpr("*", "'a' AS account", "'d' AS date", "'x' AS text")
+    got = sorted((r.start, r.n_articles) for r in signals.article_payload(frame, "seq").collect())
+    assert got == [(-4096, 1), (0, 3), (0, 8), (0, 8), (8192, 1)]
+
+
+def test_search_with_a_table_of_queries(spark):
+    docs = spark.createDataFrame([("k", "a.md", "Alpha", "x"), ("k", "b.md", "beta", "alpha")],
+                                 "category_key string, name string, title string, content string")
+    asked = spark.createDataFrame([("ALPHA",), ("alpha",), ("",), (None,), ("zz",)], "q string")
+    got = [(r.q, r.name, r.score) for r in corpus.search_many(docs, asked).orderBy("rank").collect()]
+    assert got == [("alpha", "a.md", 10), ("alpha", "b.md", 3)]
+    assert corpus.search_many(docs, asked.limit(0)).count() == 0
+
+
+def test_quoted_ends_in_a_heading(spark, one):
+    assert one(F.col("c").rlike("^" + quoted(r"a\Eb.") + "$"), c=r"a\Eb.")
+    assert not one(F.col("c").rlike("^" + quoted(r"a\Eb.") + "$"), c=r"a\EbX")
+
+
 def test_no_job_while_a_plan_is_built(spark, monkeypatch):
     new = spark.createDataFrame([("a", 1)], "base string, seq long")
     used = spark.createDataFrame([("a", 1)], "base string, suffix int")
