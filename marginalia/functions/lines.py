@@ -37,6 +37,7 @@ DIGEST_CAP = 3
 BOX = "│┼├┤┬┴┃╋╂╞╡╪"
 _BOX_LINE = rf"(?!{WS_INLINE}*```)[^\n{BOX}]*+[{BOX}][^\n{BOX}]*+[{BOX}][^\n]*+"
 BOX_RUN = rf"(?dm)^{_BOX_LINE}(?:\n{_BOX_LINE}){{2,}}+$"
+BOX_OPEN, BOX_CLOSE = "```text\n", "\n```"
 IMAGE_TOKEN = rf"\[\[图{WS}*[:：]{WS}*([^\]]+?){WS}*\]\]"
 DETAILS = rf"(?s)\n?<details>.*?</details>{WS}*"
 
@@ -224,12 +225,15 @@ def toc_sections(content: str | Column) -> Column:
 
 def wrap_box_tables(content: str | Column) -> Column:
     """Put runs of at least three box-drawing lines outside fences into a text fence."""
-    return fenced_replace(content, BOX_RUN, "```text\n$0\n```")
+    return fenced_replace(content, BOX_RUN, f"{BOX_OPEN}$0{BOX_CLOSE}")
 
 
-def box_table_count(content: str | Column) -> Column:
-    return F.aggregate(F.transform(fence_pieces(content), lambda p: F.when(p["fenced"], 0).otherwise(
-        F.regexp_count(p["text"], F.lit(BOX_RUN)))), F.lit(0), lambda a, x: a + x)
+def box_tables(content: str | Column) -> Column:
+    """The text with its box tables wrapped, and their number, as (wrapped, tables). The pattern runs
+    once: every table makes the text longer by the same marks."""
+    marks = len(BOX_OPEN + BOX_CLOSE)
+    return let(col(content), lambda c: let(wrap_box_tables(c), lambda w: F.struct(
+        w.alias("wrapped"), ((F.length(w) - F.length(c)) / marks).cast("int").alias("tables"))))
 
 
 def split_details(content: str | Column) -> dict[str, Column]:

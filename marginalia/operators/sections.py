@@ -132,6 +132,14 @@ def industry_update(content: Column, day: str, position: Column, variable_rows:
             "ok_position": placed.isNotNull(), "ok_variables": all_found, "ok_archive": has_archive}
 
 
+def update_industries(docs: DataFrame, updates: DataFrame, key: str, day: str, position: Column,
+                      variable_rows: list[Column], entry: Column) -> DataFrame:
+    """The updated industry documents with a report of what was found in each; the columns given may
+    be those of ``updates``. A part that is not found leaves the document as it is there."""
+    done = industry_update(F.col("content"), day, position, variable_rows, entry)
+    return docs.join(updates, key).select(key, *[c.alias(n) for n, c in done.items()])
+
+
 def change_preview(docs: DataFrame, updates: DataFrame, key: str, heading: str = REVIEW) -> DataFrame:
     """What an update would do: the section is added or replaced, table rows and archive entry are
     added, the header date is set. ``updates`` carries ``n_variables``."""

@@ -118,8 +118,7 @@ def _(spark, sf):
   CASE WHEN box AND len >= 3 AND pos = lo THEN concat('```text', {NL}) ELSE '' END, line,
   CASE WHEN box AND len >= 3 AND pos = hi THEN concat({NL}, '```') ELSE '' END), {NL} ORDER BY pos) AS wrapped FROM R GROUP BY doc_id""")
 def _(spark, sf):
-    return text(spark, sf, S.BOXED).select("doc_id", L.box_table_count("content").alias("tables"),
-                                           L.wrap_box_tables("content").alias("wrapped"))
+    return text(spark, sf, S.BOXED).select("doc_id", F.inline(F.array(L.box_tables("content"))))
 
 
 # The packing once more, as a recursion over sections (kind S) and the paragraphs of sections that
@@ -305,6 +304,14 @@ def _(spark, sf):
     return dated.select("doc_id", F.col("dated").isNotNull().alias("found"), F.md5(F.coalesce("dated", "content")).alias("h"))
 
 
+@query("upd06_update_report", lines_sql(S.FILED, "T AS (SELECT doc_id, max(pos) AS top FROM L GROUP BY doc_id)") + """SELECT doc_id, top >= 1 AS ok_date, top >= 4 AS ok_position,
+ false AS ok_variables, top >= 8 AS ok_archive FROM T JOIN labels USING (doc_id)""")
+def _(spark, sf):
+    done = U.update_industries(text(spark, sf, S.FILED), updates(spark, sf), "doc_id", "2024-02-01",
+                               F.expr(POS_ROW.format(s="STRING")), [F.lit("| v | w |")], F.col("entry"))
+    return done.select("doc_id", "ok_date", "ok_position", "ok_variables", "ok_archive")
+
+
 @query("upd06_change_preview", lines_sql(S.BATTLED, section_sql(HEAD)) + """SELECT l.doc_id, target, CASE WHEN target = 'date' OR (target = 'section' AND h IS NOT NULL) THEN 'mod' ELSE 'add' END AS action,
  CAST(CASE WHEN target = 'variables' THEN toxic + quality ELSE 1 END AS BIGINT) AS n
  FROM labels l LEFT JOIN H ON H.doc_id = l.doc_id, (VALUES ('section'), ('position'), ('variables'), ('archive'), ('date')) t(target)
