@@ -65,7 +65,8 @@ def with_framework(docs: DataFrame, frameworks: dict[str, str], limit: int = FRA
     """
     path_of = F.create_map(*[F.lit(x) for kv in frameworks.items() for x in kv])
     texts = docs.where(F.col("path").isin(*frameworks.values())).select(
-        F.col("path").alias("_fw"), F.left("content", F.lit(limit)).alias("framework"))
+        F.col("path").alias("_fw"), F.left("content", F.lit(limit)).alias("framework")).groupBy("_fw").agg(
+        F.min("framework").alias("framework"))
     return (docs.withColumn("_fw", F.try_element_at(path_of, F.col("category_key")))
             .join(F.broadcast(texts), "_fw", "left")
             .withColumn("framework", F.coalesce("framework", F.lit(""))).drop("_fw"))
