@@ -60,15 +60,18 @@ def _forward(table: P.PieceTable, words: np.ndarray, prob: np.ndarray):
     alpha = [np.ones((n, prob.shape[1]))] + [np.zeros((n, prob.shape[1])) for _ in range(length)]
     spans = []
     known = np.zeros((n, length + 1), dtype=bool)
+    done = 0
     for start, end, rows, ids in table.matches(words):
-        if end > 1:
-            _unknown(alpha, known, end - 1)
+        while done < end - 1:  # columns where no piece ends are closed too, each before a later one reads it
+            done += 1
+            _unknown(alpha, known, done)
         alpha[end][rows] += alpha[start][rows] * prob[ids]
         if end == start + 1:
             known[rows, end] = True
         spans.append((start, end, rows, ids))
-    for end in range(1, length + 1):
-        _unknown(alpha, known, end)
+    while done < length:
+        done += 1
+        _unknown(alpha, known, done)
     return alpha, spans, known
 
 
@@ -108,7 +111,7 @@ def expected_counts(seg: Segments, rows: np.ndarray, weight: np.ndarray, table:
             if end == start + 1:
                 single[r, end] = True
         beta = [np.zeros_like(alpha[0]) for _ in range(length + 1)] + [np.ones_like(alpha[0])]
-        scale = weight[at] / np.maximum(alpha[-1], 1e-300)
+        scale = np.where(alpha[-1] >= 1e-300, weight[at] / np.maximum(alpha[-1], 1e-300), 0.0)  # 0: nothing to learn from
         by_end: dict[int, list] = {}
         for span in spans:
             by_end.setdefault(span[1], []).append(span)

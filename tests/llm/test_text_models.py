@@ -95,6 +95,29 @@ def test_forward_sums_all_segmentations():
         np.testing.assert_allclose(got[k], np.log(total[-1]))
 
 
+@pytest.mark.parametrize("word", ["㐀㐁x", "㐀㐁㐂the", "a㐀㐁㐂", "㐀㐁"])
+def test_forward_over_neighbouring_unknown_letters(word):
+    found = pieces.piece_table(pieces.default_model())
+    assert not {"㐀", "㐁", "㐂"} & {p for p, _, _ in pieces.load_model(pieces.default_model())[0]}
+    prob = np.random.default_rng(4).random((pieces.load_model(pieces.default_model())[2], 2)) * 1e-3
+    scores, counts = [], []
+    for mates in ("", " " + "e" * len(word)):  # alone in its group of equally long words, and beside a known word
+        seg = language._letter_runs([word + mates])
+        scores.append(language.word_scores(seg, np.array([0]), found, prob)[0])
+        weight = np.zeros((len(seg.start), 2))
+        weight[0] = 1.0
+        counts.append(language.expected_counts(seg, np.arange(len(seg.start)), weight, found, prob))
+    normal = {p: i for p, _, i in pieces.load_model(pieces.default_model())[0]}
+    marked, total = pieces.MARK + word, [np.ones(2)]
+    for end in range(1, len(marked) + 1):
+        total.append(sum((total[a] * (prob[normal[marked[a:end]]] if marked[a:end] in normal else language.FLOOR * (end == a + 1))
+                          for a in range(end)), np.zeros(2)))
+    for got in scores:
+        np.testing.assert_allclose(got, np.log(total[-1]))
+    np.testing.assert_allclose(counts[0], counts[1])
+    assert counts[0].sum(axis=0).max() <= len(marked)
+
+
 def test_language_on_held_out_rows_and_odd_rows(spark, odd):
     rows = QUERIES["op1_language_id"](spark, DATA).join(table(spark, DATA, "documents").select("doc_id", "lang"), "doc_id").collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
