@@ -19,11 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pieces as P
-from .common import sampled, text_batches
+from .common import text_batches
 from .words import ListCache, Segments, char_table, codepoints
 
 BLOCK = 24
-FIT_ROWS = 12_000  # documents the piece probabilities are fitted on, at most (about)
+FIT_ROWS = 12_000  # documents the piece probabilities are fitted on (about), dealt by the languages' shares
+LANG_ROWS = 1_000  # documents of every language in the fit at least (about), or all that it has
 ROUNDS = 2
 FLOOR = 1e-7  # probability of a letter that no piece holds
 
@@ -125,21 +126,33 @@ def expected_counts(seg: Segments, rows: np.ndarray, weight: np.ndarray, table:
     return out
 
 
+def _sampled(docs: DataFrame, held: dict[str, int], rows: int, lang_rows: int, lang: str, key: str) -> DataFrame:
+    """About ``rows`` rows dealt by the languages' shares, and of each language about ``lang_rows`` at
+    least (all if it has no more): those whose key's hash is below the language's bound. ``held``:
+    rows of every language. The same rows are taken every time."""
+    share = rows / max(sum(held.values()), 1)
+    bounds = [x for name, n in held.items() for x in (name, int(2**30 * min(1.0, max(share, lang_rows / n))))]
+    bound = F.element_at(F.create_map(*map(F.lit, bounds)), F.col(lang))
+    return docs.filter(F.pmod(F.xxhash64(key), F.lit(2**30)) < bound)
+
+
 def fit(docs: DataFrame, rows: int = FIT_ROWS, rounds: int = ROUNDS, model: str | None = None,
-        text: str = "text", lang: str = "lang", key: str = "doc_id") -> tuple[list[str], np.ndarray]:
+        text: str = "text", lang: str = "lang", key: str = "doc_id", lang_rows: int = LANG_ROWS) -> tuple[list[str], np.ndarray]:
     """(languages, probabilities: a row per vocabulary id, a column per language).
 
-    Every round is one Spark job over the sample that sums expected piece counts; the driver gets a
-    number per piece and language, however many documents there are. Rows without text or language
-    are skipped; with nothing to learn from, the list of languages is empty.
+    The languages and their counts are taken over all rows, the probabilities over a sample that
+    holds rows of each. Every round is one Spark job over the sample that sums expected piece counts;
+    the driver gets a number per piece and language, however many documents there are. Rows without
+    text or language are skipped; with nothing to learn from, the list of languages is empty.
     """
     model = model or P.default_model()
     size = P.load_model(model)[2]
     docs = docs.select(F.col(key), F.col(text), F.col(lang)).filter(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    sample = sampled(docs, rows, key).select(F.col(text).alias("_text"), F.col(lang).alias("lang"))
-    langs = sorted(r[0] for r in sample.select("lang").distinct().collect())
+    held = {r[0]: r[1] for r in docs.groupBy(lang).agg(F.count("*")).collect()}
+    langs = sorted(held)
     if not langs:
         return [], np.zeros((size, 0))
+    sample = _sampled(docs, held, rows, lang_rows, lang, key).select(F.col(text).alias("_text"), F.col(lang).alias("lang"))
     prob = np.full((size, len(langs)), 1.0 / size)
     column = {name: k for k, name in enumerate(langs)}
 

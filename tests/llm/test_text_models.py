@@ -130,6 +130,17 @@ def test_language_on_held_out_rows_and_odd_rows(spark, odd):
     assert {r.lang_pred for r in language.identify(odd, [], np.zeros((1, 0))).collect()} == {"und"}
 
 
+def test_rare_languages_are_learned(spark):
+    words = {"en": "the house and the garden with this water", "fi": "talossa yöllä järvellä kuitenkin syksyllä"}
+    docs = spark.createDataFrame([(i, f"{words['fi' if i in (7, 305) else 'en']} {i}", "fi" if i in (7, 305) else "en")
+                                  for i in range(400)], "doc_id long, text string, lang string")
+    langs, prob = language.fit(docs, rows=20)
+    assert langs == ["en", "fi"]
+    assert {(r.doc_id in (7, 305), r.lang_pred) for r in language.identify(docs, langs, prob).collect()} == {(True, "fi"), (False, "en")}
+    sizes = {r[0]: r[1] for r in language._sampled(docs, {"en": 398, "fi": 2}, 20, 50, "lang", "doc_id").groupBy("lang").count().collect()}
+    assert sizes["fi"] == 2 and 25 <= sizes["en"] <= 75
+
+
 def test_toxicity_folds_and_spares():
     lexicon = toxicity.Lexicon({"idiot": 3.0, "loser": 3.0, "trash": 3.0, "lowei*": 2.0})
     weigh = lambda t: lexicon.weigh(toxicity.fold(t))
