@@ -5,6 +5,10 @@ A text keeps its distinct lexicon terms in sorted order; each of several randomi
 lexicon (a term is in a subset by its hash) gives one hash of the terms left. The fingerprint is the
 list of these hashes. Subsets of different sparsity make likeness gradual: broad ones only agree on
 texts with the same terms, sparse ones still agree when part of the text has changed.
+
+A bounded number of terms from outside the lexicon is always added, so a text of a small language or
+topic, which has few lexicon terms or none, is told by its own words, and one lexicon term more or
+less never changes which terms a text is told by.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from .common import partitions
 # The first finds texts with the same terms; the sparse ones tell how much two texts have in common.
 FAMILIES = ((683, 4), (16, 8), (4, 8), (4, 8), (1, 8))
 LEAST_SHARE, MOST_SHARE = 0.005, 0.2  # documents that hold a lexicon term; idf 5.3 down to 1.6
+EXTRA = 32  # terms below the band that a text adds at most
 NOT_TERM = r"[^\p{L}\p{N}]+"
 
 
@@ -27,23 +32,39 @@ def all_terms(text: Column) -> Column:
     return F.array_distinct(F.split(F.lower(text), NOT_TERM))
 
 
-def lexicon(docs: DataFrame, text: str = "text", least: float = LEAST_SHARE, most: float = MOST_SHARE) -> list[str]:
-    """Terms of the band, sorted. Every document counts. A document has a bounded mean of m distinct
-    terms, so there are at most m / least terms, however many documents there are."""
+def bands(docs: DataFrame, text: str = "text", least: float = LEAST_SHARE, most: float = MOST_SHARE) -> tuple[list[str], list[str]]:
+    """(terms of the band, terms above it), sorted. Every document counts. A document has a bounded mean
+    of m distinct terms, so there are at most m / least terms in both, however many documents there are."""
     body = docs.select(F.coalesce(F.col(text), F.lit("")).alias("_t"))
     n = docs.count()
     counted = body.select(F.explode(all_terms(F.col("_t"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    kept = counted.filter((F.col("df") >= max(2.0, least * n)) & (F.col("df") <= most * n) & (F.col("term") != ""))
-    return sorted(r[0] for r in kept.collect())
+    kept = counted.filter((F.col("df") >= max(2.0, least * n)) & (F.col("term") != "")).select("term", (F.col("df") <= most * n).alias("within"))
+    found = kept.collect()
+    return sorted(r.term for r in found if r.within), sorted(r.term for r in found if not r.within)
+
+
+def lexicon(docs: DataFrame, text: str = "text", least: float = LEAST_SHARE, most: float = MOST_SHARE) -> list[str]:
+    """Terms of the band, sorted."""
+    return bands(docs, text, least, most)[0]
 
 
-def with_fingerprint(df: DataFrame, text: str, out: str, terms: list[str]) -> DataFrame:
-    """Add the fingerprint of a text column as an array of int, null for a subset without a term. A
-    text without lexicon terms uses all of its terms instead; a null or blank one has only nulls."""
-    quoted = ",".join("'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'" for t in terms) or "''"
+def _quoted(terms: list[str]) -> str:
+    return ",".join("'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'" for t in terms) or "''"
+
+
+def with_fingerprint(df: DataFrame, text: str, out: str, terms: list[str], above: list[str] = ()) -> DataFrame:
+    """Add the fingerprint of a text column as an array of int, null for a subset without a term; a null
+    or blank text has only nulls.
+
+    The terms are those of the lexicon, up to ``EXTRA`` below the band (the first by a hash, so that
+    near copies take the same) and, only where both are fewer than ``EXTRA``, so many from ``above``.
+    """
     df = df.withColumn("_all", F.filter(all_terms(F.coalesce(F.col(text), F.lit(""))), lambda t: t != ""))
-    df = df.withColumn("_in", F.expr(f"filter(_all, _w -> _w IN ({quoted}))"))
-    df = df.withColumn("_terms", F.sort_array(F.when(F.size("_in") > 0, F.col("_in")).otherwise(F.col("_all")))).drop("_all", "_in")
+    df = df.withColumn("_in", F.expr(f"filter(_all, _w -> _w IN ({_quoted(terms)}))"))
+    df = df.withColumn("_out", F.expr(f"sort_array(transform(array_except(_all, _in), _w -> struct(_w IN ({_quoted(above)}) AS above, "
+                                      f"xxhash64(_w, {len(FAMILIES)}) AS h, _w AS t)))"))
+    df = df.withColumn("_n", F.expr(f"least({EXTRA}, greatest(size(filter(_out, x -> NOT x.above)), {EXTRA} - size(_in)))"))
+    df = df.withColumn("_terms", F.expr("sort_array(concat(_in, slice(_out, 1, _n).t))")).drop("_all", "_in", "_out", "_n")
     for g in range(len(FAMILIES)):
         df = df.withColumn(f"_h{g}", F.expr(f"transform(_terms, t -> xxhash64(t, {g}))"))
     hashed = [F.expr(f"transform(array(filter(_h{g}, h -> (shiftrightunsigned(h, {7 * j}) & 1023) < {share})), "
@@ -97,7 +118,7 @@ def with_next(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return both.select(*[c for c in df.columns if c != "_range"], *[F.col(f"_next.{c}").alias(f"next_{c}") for c in columns])
 
 
-def fingerprints(docs: DataFrame, terms: list[str], text: str = "text", key: str = "doc_id") -> DataFrame:
+def fingerprints(docs: DataFrame, terms: list[str], text: str = "text", key: str = "doc_id", above: list[str] = ()) -> DataFrame:
     """(key, text, fingerprint) of every document; a null text counts as an empty one."""
     body = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return with_fingerprint(body, "text", "fingerprint", terms)
+    return with_fingerprint(body, "text", "fingerprint", terms, above)

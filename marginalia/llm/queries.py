@@ -37,12 +37,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    terms = fingerprints.lexicon(docs)
-    marked = fingerprints.with_next(fingerprints.fingerprints(docs, terms), "doc_id", ["text", "fingerprint"])
+    terms, above = fingerprints.bands(docs)
+    marked = fingerprints.with_next(fingerprints.fingerprints(docs, terms, above=above), "doc_id", ["text", "fingerprint"])
     edited = F.concat(F.expr("left(text, length(text) - CAST(floor(length(text) / 2) AS INT))"),
                       F.expr("left(next_text, CAST(floor(length(text) / 2) AS INT))"))
     marked = marked.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", edited).drop("next_text")
-    both = fingerprints.with_fingerprint(marked, "edited", "edited_fp", terms)
+    both = fingerprints.with_fingerprint(marked, "edited", "edited_fp", terms, above)
     return both.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprints.shown(F.col("fingerprint")).alias("fingerprint"),
         fingerprints.shown(F.col("edited_fp")).alias("edited_fingerprint"),

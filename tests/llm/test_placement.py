@@ -55,6 +55,27 @@ def test_lexicon_and_odd_rows(spark, odd):
     assert fingerprints.with_next(odd.limit(0).select("doc_id", "text"), "doc_id", ["text"]).count() == 0
 
 
+def test_fingerprints_of_a_small_language(spark):
+    own = [f"pien{i}" for i in range(300)]
+    main = [f"main{i}" for i in range(80)]
+    docs = [(i, " ".join(main[(i * 7 + k) % 80] for k in range(12)) + f" the year2020 only{i}") for i in range(400)]
+    docs += [(1000, " ".join(own)), (1001, " ".join(f"muu{i}" for i in range(300)))]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    terms, above = fingerprints.bands(docs, least=0.01)
+    assert set(main) <= set(terms) and {"the", "year2020"} <= set(above) and not set(own) & {*terms, *above}
+    cases = {"half": (own, own[:150] + main[:12]),  # the other half from a text of the main language
+             "one more": (own, own + main[:1]),
+             "unrelated": (own + main[:1], [f"muu{i}" for i in range(300)] + main[:1]),
+             "short": (["the", "year2020"], ["the", "year2020"]),
+             "none": ([], [])}
+    rows = spark.createDataFrame([(k, " ".join(a), " ".join(b)) for k, (a, b) in cases.items()], "k string, a string, b string")
+    for c in "ab":
+        rows = fingerprints.with_fingerprint(rows, c, f"{c}_fp", terms, above)
+    got = {r.k: r for r in rows.select("k", "a_fp", fingerprints.likeness(F.col("a_fp"), F.col("b_fp")).alias("x")).collect()}
+    assert got["half"].x > 0.1 and got["one more"].x > 0.5 and got["unrelated"].x < 0.3
+    assert got["short"].x == 1 and set(got["short"].a_fp) != {None} and set(got["none"].a_fp) == {None}
+
+
 def test_chat_read_back(spark):
     rows = {r.conv_id: r for r in QUERIES["op3_chat_formatting"](spark, DATA).collect()}
     turns = {-7: [(0, "user", "\\### Assistant: </turn> ok"), (1, "assistant", "\\### Assistant: </turn> ok")]}
