@@ -21,14 +21,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import sampled, text_batches
 
 FIT_ROWS = 20_000  # labelled documents to learn from, at most (about)
 TERMS = 400  # learned terms, at most
-CANDIDATES = 20_000  # terms looked at, those with the strongest evidence
+CANDIDATES = 20_000  # terms looked at, at most: those with the strongest evidence
 EVIDENCE = 20.0  # least log-likelihood ratio of a term (by chance: about 8e-6)
 SUPPORT = 4  # toxic documents that must hold a term
 STEMS = range(4, 9)  # letters of the word beginnings that may become terms
@@ -144,6 +144,14 @@ def _ratio(a, b, toxic, clean):
     return np.where(a / max(toxic, 1) > b / max(clean, 1), 2 * (left + right), 0.0)
 
 
+def _evidence(toxic: float, clean: float) -> Column:
+    """``_ratio`` of the columns a (over 0) and b."""
+    a, b, share = F.col("a"), F.col("b"), toxic / (toxic + clean)
+    left = a * F.log(a / ((a + b) * share))
+    right = F.when(b > 0, b * F.log(b / ((a + b) * (1 - share)))).otherwise(0.0)
+    return F.when(a / toxic > b / clean, 2 * (left + right)).otherwise(0.0)
+
+
 def _odds(a, b, toxic, clean):
     return np.log((a + 0.5) / (toxic - a + 0.5)) - np.log((b + 0.5) / (clean - b + 0.5))
 
@@ -172,28 +180,22 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, text: str = "t
                     yield pa.record_batch({"term": list(tally), "y": [y] * len(tally), "n": list(tally.values())})
                     tally.clear()
 
-        n = [0, 0]
         for batch, texts in text_batches(batches):
             for y, t in zip(batch.column("_y").to_pylist(), texts):
                 tallies[y].update(terms_of(t))
-                n[y] += 1
             if sum(map(len, tallies.values())) > 400_000:
                 yield from emit()
-        tallies[0][""], tallies[1][""] = n
         yield from emit()
 
-    counted = data.mapInArrow(count, "term string, y long, n long").groupBy("term").agg(
-        F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("b"))
-    counted = counted.filter((F.col("term") == "") | (F.col("a") >= SUPPORT))
-    found = counted.orderBy(F.col("term") != "", F.desc(F.col("a") / (F.col("b") + 1)), F.desc("a"), "term").limit(CANDIDATES + 1).toPandas()
     weights = {w: SEED_WEIGHT for w in INSULTS}
-    whole = found[found.term == ""]
-    if not len(whole) or not whole.a.iloc[0] or not whole.b.iloc[0]:
+    whole = {r["_y"]: float(r["n"]) for r in data.groupBy("_y").agg(F.count("*").alias("n")).collect()}
+    n_toxic, n_clean = whole.get(1, 0.0), whole.get(0, 0.0)
+    if not n_toxic or not n_clean:
         return Lexicon(weights)
-    n_toxic, n_clean = float(whole.a.iloc[0]), float(whole.b.iloc[0])
-    found = found[found.term != ""].reset_index(drop=True)
-    strong = _ratio(found.a.to_numpy(float), found.b.to_numpy(float), n_toxic, n_clean) >= EVIDENCE
-    found = found[strong].reset_index(drop=True)
+    counted = data.mapInArrow(count, "term string, y long, n long").groupBy("term").agg(
+        F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("b"))
+    strong = counted.filter(F.col("a") >= SUPPORT).withColumn("evidence", _evidence(n_toxic, n_clean)).filter(F.col("evidence") >= EVIDENCE)
+    found = strong.orderBy(F.desc("evidence"), F.desc("a"), "term").limit(CANDIDATES).toPandas()
     number = {t: i for i, t in enumerate(found.term)}
 
     def occur(batches):

@@ -172,6 +172,20 @@ def test_toxic_terms_are_learned(spark):
     assert p[0] > 0.7 > 0.3 > p[1]
 
 
+def test_toxic_terms_are_not_crowded_out_by_copies(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "CANDIDATES", 40)
+    copied = " ".join(a + b + "xyzw" for a in "bcdfghkl" for b in "mnpqrstv")
+    texts = [(copied, 1)] * 40 + [(f"plain {'abcdefgh'[i % 8]} grumbelig", 1) for i in range(100)]
+    texts += [("plain text" + (" grumbelig" if i < 5 else ""), 0) for i in range(400)]
+    docs = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(texts)], "doc_id long, text string, toxic int")
+    lexicon = toxicity.fit(docs.drop("toxic"), docs.drop("text"))
+    assert any("grumbelig".startswith(w.rstrip("*")) for w in set(lexicon.weights) - set(toxicity.INSULTS))
+    rows = [(100, 5), (40, 0), (4, 399), (1, 1)]
+    got = spark.createDataFrame(rows, "a long, b long").select("a", "b", toxicity._evidence(140.0, 400.0).alias("e")).collect()
+    for r in got:
+        np.testing.assert_allclose(r.e, toxicity._ratio(np.array(float(r.a)), np.array(float(r.b)), 140.0, 400.0))
+
+
 def test_quality_gradient_and_grades(spark, odd):
     rng = np.random.default_rng(5)
     x = np.zeros(quality.SIZE + 2)
