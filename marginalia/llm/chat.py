@@ -46,6 +46,7 @@ class Flattener:
 
     def __init__(self) -> None:
         self.out: list[str] = []
+        self.run: list[str] = []  # neighbouring texts, escaped as one: a control string may span them
         self.attachments: list[dict] = []
 
     def visit(self, part: dict) -> None:
@@ -57,7 +58,15 @@ class Flattener:
             visitor(part)
 
     def visit_text(self, part: dict) -> None:
-        self.out.append(escape(part.get("text") or ""))
+        self.run.append(part.get("text") or "")
+
+    def body(self) -> str:
+        self._close_run()
+        return "".join(self.out)
+
+    def _close_run(self) -> None:
+        self.out.append(escape("".join(self.run)))
+        self.run.clear()
 
     def visit_image(self, part: dict) -> None:
         across, down = (math.ceil((part.get(side) or 0) / PATCH) for side in ("width", "height"))
@@ -71,6 +80,7 @@ class Flattener:
 
     def _attach(self, kind: str, part: dict, tokens: int) -> None:
         n = len(self.attachments)
+        self._close_run()
         self.out.append(f"<|{kind}:{n}|>")
         self.attachments.append({"position": n, "kind": kind, "ref": part.get("ref"), "tokens": tokens})
 
@@ -82,7 +92,7 @@ def format_message(role: str | None, parts: list[dict] | None) -> tuple[str, int
     for part in parts or ():
         if part is not None:
             visitor.visit(part)
-    body = "".join(visitor.out)
+    body = visitor.body()
     head = f"{TURN}{escape(role or '')}{SAYS}"
     start = len(head)
     return (head + body + END, start, start + len(body) if role == "assistant" else start, visitor.attachments)

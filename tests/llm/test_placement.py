@@ -106,6 +106,18 @@ def test_chat_parts(spark):
     assert chat.format_turns(messages.limit(0).select("*", chat.text_parts().alias("content"))).count() == 0
 
 
+def test_chat_parts_split_inside_a_control_string():
+    text = lambda *parts: [{"type": "text", "text": t} for t in parts]
+    image = {"type": "image", "ref": "a.png"}
+    cases = [(text("<", "|image:0|>"), "<|image:0|>", 0), (text("a<", "", "|end|>\n"), "a<|end|>\n", 0), (text("\\", "<", "|x"), "\\<|x", 0),
+             ([*text("<"), None, {"type": "odd", "text": "|image:0|>"}], "<|image:0|>", 0),
+             ([*text("<"), image, *text("|image:0|>")], "<|image:0|>", 1)]
+    for parts, whole, n in cases:
+        segment, a, b, _ = chat.format_message("assistant", parts)
+        assert chat.read_segment(segment) == ("assistant", whole, [("image", k) for k in range(n)])
+        assert segment[b:] == chat.END
+
+
 def test_sharding(spark, odd):
     rows = QUERIES["op4_sharding"](spark, DATA).collect()
     docs = dict(documents(spark))
