@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,3 +79,24 @@ def text_batches(batches: Iterator[pa.RecordBatch], text: str = "_text",
                 size += len(t)
             if start < len(texts):
                 yield batch.slice(start), texts[start:]
+
+
+def byte_slices(batches: Iterator[pa.RecordBatch], text: str = "_text",
+                limit: int = BATCH_CHARS) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of the batches of about ``limit`` bytes of text (a longer one alone), with the bytes of
+    the slice and where each text starts in them (one entry more at the end). Null counts as empty."""
+    for whole in batches:
+        lengths = np.nan_to_num(pc.binary_length(whole.column(text)).to_numpy(zero_copy_only=False)).astype(np.int64)
+        ends = np.cumsum(lengths)
+        start = 0
+        while start < whole.num_rows:
+            base = ends[start] - lengths[start]
+            stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
+            batch = whole.slice(start, stop - start)
+            column = batch.column(text)
+            wide = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
+            _, offsets, data = column.buffers()
+            begin = np.frombuffer(offsets, dtype=wide)[column.offset:column.offset + len(column) + 1]
+            raw = np.frombuffer(data, dtype=np.uint8)[begin[0]:begin[-1]] if data is not None else np.zeros(0, dtype=np.uint8)
+            yield batch, raw, np.concatenate([[0], ends[start:stop] - base])
+            start = stop
