@@ -14,6 +14,7 @@ from ..functions import lines as L
 from ..functions import metadata as M
 from ..functions.expr import let, or_else, quoted
 from ..functions.text import words
+from .anchors import candidates
 from .ordered import neighbours, top_per_group
 
 # Category folders with name, icon and description; unknown ones show as 其他.
@@ -169,19 +170,14 @@ def search(docs: DataFrame, text: str, limit: int | None = SEARCH_SHOWN) -> Data
 
 
 def search_many(docs: DataFrame, texts: Sequence[str] | DataFrame, limit: int = SEARCH_SHOWN) -> DataFrame:
-    """Search for several texts in one pass over the corpus: each document is scored against the
-    list in place, and the ranked window keeps at most ``limit`` rows per text before the shuffle.
-
-    ``texts`` is a list, or a table of users' queries whose first column holds them: it is the stated
-    query set, reaches every task as one array, and blank, missing and repeated texts count once or not.
-    """
+    """Search for several texts at once; the ranked window keeps at most ``limit`` rows per text before
+    the shuffle. ``texts`` is a list, which is scored in place while the corpus is read once, or a table
+    of any size whose first column holds the queries. Blank, missing and repeated texts count once or
+    not."""
     if isinstance(texts, DataFrame):
-        q = F.lower(F.col(texts.columns[0]))
-        asked = texts.where(q != "").agg(F.sort_array(F.collect_set(q))).scalar()
-    else:
-        asked = F.array(*[F.lit(t.lower()) for t in texts])
+        return _search_table(docs, texts, limit)
     columns = [c for c in docs.columns if c != "content"]
-    docs = docs.withColumn("_asked", asked)
+    docs = docs.withColumn("_asked", F.array(*[F.lit(t.lower()) for t in texts]))
     f = _fields(docs)
     lowered = F.struct(*[(F.transform(c, F.lower) if n == "tags" else F.lower(F.coalesce(c, F.lit("")))).alias(n)
                          for n, c in f.items()])
@@ -200,6 +196,29 @@ def search_many(docs: DataFrame, texts: Sequence[str] | DataFrame, limit: int =
     return top_per_group(flat, ["q"], [F.desc("score"), F.col("category_key"), F.col("name")], limit)
 
 
+def _search_table(docs: DataFrame, texts: DataFrame, limit: int) -> DataFrame:
+    """Queries and fields meet on the query's rarest gram (see ``anchors``): a document emits, for each
+    field, the anchors it holds, and only those pairs are verified against the field's text. Rows are
+    known by a hash of all their columns; equal rows are ranked each."""
+    asked = texts.select(F.lower(F.col(texts.columns[0])).alias("q")).where("q <> ''").distinct()
+    known = docs.withColumn("_id", F.struct(F.xxhash64(*docs.columns), F.xxhash64(F.lit(1), *docs.columns)))
+
+    def weighted(name: str, c: Column) -> Column:  # the weights tell the fields apart
+        own = F.coalesce(c, F.array().cast("array<string>")) if name == "tags" else F.array(c)
+        return F.transform(own, lambda t: F.struct(F.lit(WEIGHTS[name]).alias("_w"), F.lower(F.coalesce(t, F.lit(""))).alias("_v")))
+
+    values = [weighted(n, c) for n, c in _fields(docs).items()]
+    fields = known.select("_id", *ORDER, F.inline(F.concat(*values))).where("_v <> ''")
+    maybe = candidates(fields, "_v", ["_id", "_w"], asked, "q").distinct()
+    hit = fields.join(maybe, ["_id", "_w"]).where(F.contains("_v", "q")).groupBy("q", "_id", *ORDER, "_w").agg(F.lit(1))
+    scored = hit.groupBy("q", "_id", *ORDER).agg(F.sum("_w").cast("int").alias("score"))
+    by = [F.desc("score"), *[F.col(c) for c in ORDER]]
+    best = top_per_group(scored, ["q"], by, limit).select("q", "_id", "score")
+    columns = [c for c in docs.columns if c != "content"]
+    found = known.select("_id", *columns).join(best, "_id").select("q", *columns, "score")
+    return top_per_group(found, ["q"], by, limit)
+
+
 def escape_html(c: Column) -> Column:
     for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         c = F.replace(c, F.lit(raw), F.lit(safe))

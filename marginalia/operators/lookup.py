@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .anchors import candidates, staged
+
 
 def first_keyword(text: Column, keywords: Sequence[tuple[str, str]], default: str) -> Column:
     """Label of the first keyword contained in ``text``; CASE order is keyword order. For configured
@@ -19,20 +21,14 @@ def first_keyword(text: Column, keywords: Sequence[tuple[str, str]], default: st
 
 
 def contained_in(texts: DataFrame, text: str, needles: DataFrame, needle: str) -> DataFrame:
-    """Pairs (text row, needle row) where the needle occurs in the text, as an equi-join.
+    """Pairs (text row, needle row) where the needle occurs in the text; an empty needle has none.
 
-    Each text is expanded into its distinct substrings of the lengths that needles have, and these
-    are joined on equality; there is no nested loop over all needles, so both sides may be large.
-    Meant for short texts (titles, labels).
+    A text meets the needles whose anchor it holds (see ``anchors``), and the pair is then verified;
+    both sides may be large. The text travels with every pair, so it is meant for titles and labels.
     """
     some = needles.where(F.col(needle) != "")
-    lengths = some.agg(F.collect_set(F.length(needle))).scalar()
-    t = F.col(text)
-    grams = F.array_distinct(F.flatten(F.transform("_lengths", lambda n: F.when(
-        F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substr(t, i, n)))
-        .otherwise(F.array().cast("array<string>")))))
-    expanded = texts.withColumn("_lengths", lengths).withColumn("_gram", F.explode(grams)).drop("_lengths")
-    return expanded.join(some.withColumnRenamed(needle, "_gram"), "_gram").withColumnRenamed("_gram", needle)
+    pairs = candidates(texts, text, texts.columns, some.select(needle).distinct(), needle)
+    return pairs.where(F.contains(text, needle)).join(some, needle)
 
 
 def track_by_table(docs: DataFrame, keywords: DataFrame, key: str = "path",
@@ -63,20 +59,22 @@ def default_industry(projects: DataFrame, industries: DataFrame) -> DataFrame:
     distinct track, then joined back. Industries carry their list position ``pos``.
     """
     wanted = F.lower(F.btrim("track"))
-    tracks = projects.select(wanted.alias("_t")).where("_t <> ''").distinct()
+    tracks = staged(projects.select(wanted.alias("_t")).where("_t <> ''").distinct(), "tracks")
     shown = F.coalesce(F.nullif("title", F.lit("")), F.col("name"))
-    ind = industries.select(
+    ind = staged(industries.select(
         "pos", F.col("path").alias("industry"),
         F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.col("name"))).alias("_hay"),
-        F.lower(F.btrim(F.regexp_replace(shown, r"（.*?）|\(.*?\)|\.md", ""))).alias("_core"))
+        F.lower(F.btrim(F.regexp_replace(shown, r"（.*?）|\(.*?\)|\.md", ""))).alias("_core")), "industries")
     cores = ind.groupBy("_core").agg(F.min("pos").alias("pos"), F.min_by("industry", "pos").alias("industry"))
-    forward = contained_in(ind.select("pos", "industry", "_hay"), "_hay", tracks, "_t").select(
-        "_t", F.lit(0).alias("_phase"), "pos", "industry")
-    backward = contained_in(tracks.select("_t", F.col("_t").alias("_text")), "_text",
-                            cores, "_core").select(
-        "_t", F.lit(1).alias("_phase"), "pos", "industry")
-    best = forward.unionByName(backward).groupBy("_t").agg(
-        F.min_by("industry", F.struct("_phase", "pos")).alias("industry"))
+    none = F.lit(None)
+    # Both ways at once: tracks in industries, and industries in tracks.
+    texts = ind.select(F.lit(0).alias("_way"), "_hay", F.col("pos").alias("_pos"), F.col("industry").alias("_industry")).union(
+        tracks.select(F.lit(1), "_t", none, none))
+    needles = tracks.select(F.col("_t").alias("_needle"), F.lit(0).alias("_phase"), none.cast(ind.schema["pos"].dataType).alias("pos"), none.cast("string").alias("industry")).union(
+        cores.select("_core", F.lit(1), "pos", "industry"))
+    hits = contained_in(texts, "_hay", needles, "_needle").where("_way = _phase")
+    best = hits.groupBy(F.when(F.col("_phase") == 0, F.col("_needle")).otherwise(F.col("_hay")).alias("_t")).agg(
+        F.min_by(F.coalesce("_industry", "industry"), F.struct("_phase", F.coalesce("_pos", "pos"))).alias("industry"))
     fallback = ind.agg(F.min_by("industry", "pos")).scalar()
     return (projects.withColumn("_t", wanted).join(best, "_t", "left")
             .withColumn("industry", F.coalesce("industry", fallback)).drop("_t"))

@@ -144,10 +144,15 @@ def days_before(as_of: str, days: int) -> Column:
     return F.date_sub(F.lit(as_of).cast("date"), days).cast("string")
 
 
+def is_fresh(as_of: str, days: int = MAX_AGE_DAYS) -> Column:
+    """Not older than ``days``; a missing or unreadable date counts as fresh."""
+    d = F.coalesce("date", F.lit(""))
+    return ~d.rlike(ISO_DATE) | (F.left(d, F.lit(10)) >= days_before(as_of, days))
+
+
 def fresh(items: DataFrame, as_of: str, days: int = MAX_AGE_DAYS) -> DataFrame:
     """Drop items older than ``days``; a missing or unreadable date is kept."""
-    d = F.coalesce("date", F.lit(""))
-    return items.where(~d.rlike(ISO_DATE) | (F.left(d, F.lit(10)) >= days_before(as_of, days)))
+    return items.where(is_fresh(as_of, days))
 
 
 def since(items: DataFrame, as_of: str, days: int, date: str = "date") -> DataFrame:

@@ -40,18 +40,22 @@ def _(spark, sf):
 
 
 def theme_stream(spark, sf):
-    return stream_table(spark, sf, "events").select("ts", F.col("event_type").alias("theme"))
+    return stream_table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("theme"))
+
+
+def by_start(windows, name):
+    return windows.select(F.date_format("start", "yyyy-MM-dd").alias(name), "theme", "n")
 
 
 @query("str04_rolling_7d", """SELECT CAST(CAST(CAST(ts AS DATE) - CAST(i AS INTEGER) AS DATE) AS VARCHAR) AS from_day, event_type AS theme, CAST(count(*) AS BIGINT) AS n
  FROM events, range(0, 7) g(i) GROUP BY 1, 2""")
 def _(spark, sf):
-    return run_to_table(signals.rolling_counts(theme_stream(spark, sf), F.col("ts")), "rolling")
+    return by_start(signals.run_windows(signals.rolling_counts(theme_stream(spark, sf), "ts"), "rolling"), "from_day")
 
 
 @query("str05_weekly_tumbling", """SELECT CAST(CAST(date_trunc('week', ts) AS DATE) AS VARCHAR) AS monday, event_type AS theme, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2""")
 def _(spark, sf):
-    return run_to_table(signals.weekly_counts(theme_stream(spark, sf), F.col("ts")), "weekly")
+    return by_start(signals.run_windows(signals.weekly_counts(theme_stream(spark, sf), "ts"), "weekly"), "monday")
 
 
 @query("str06_stale_detection", """SELECT user_id AS job, CASE WHEN arg_max(event_type, ts) = 'view' THEN CASE WHEN max(ts) < TIMESTAMP '2024-01-30 23:59:00' - INTERVAL 600 SECOND
@@ -60,15 +64,14 @@ def _(spark, sf):
     beats = stream_table(spark, sf, "events").select(
         F.col("user_id").alias("job"), F.col("ts").cast("timestamp").alias("ts"),
         F.when(F.col("event_type") == "view", "running").otherwise(F.col("event_type")).alias("status"))
-    last = run_to_table(jobs.last_heartbeats(beats), "heartbeats")
-    return jobs.with_staleness(last, "2024-01-30 23:59:00").select("job", "status")
+    return jobs.run_statuses(beats, until="2024-01-30 23:59:00").select("job", "status")
 
 
 @query("str07_cost_stream", with_(V.C) + """SELECT day, feature, CAST(count(*) AS BIGINT) AS calls, CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) AS tokens,
  CAST(sum(CAST(cost AS DECIMAL(18,4))) AS DOUBLE) AS cost FROM CP GROUP BY day, feature""")
 def _(spark, sf):
     log = S.cost_log(spark, sf, stream_table(spark, sf, "events"))
-    return run_to_table(costs.cost_totals(log), "costs")
+    return run_to_table(costs.cost_totals(log), "costs", ["day", "feature"])
 
 
 @query("udf01_enrich_hook", """SELECT doc_id, md5(concat('reply: ', text)) AS h, false AS failed FROM documents""")

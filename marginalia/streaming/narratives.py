@@ -5,20 +5,20 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..operators import narratives as N
-from ..operators.ordered import keep_last
 from ..session import shared_dir
-from .sinks import batch_path, read_before, run_available
+from ..sources import upserts
+from .sinks import batch_path, read_batches, run_available
 
 
 def narrative_history(stream: DataFrame, work: str | None = None) -> DataFrame:
     """History rows of a stream of updates that arrives in sequence order.
 
-    Each micro-batch runs the batch operator, started from the narratives known so far. The state
-    is a small table (one row per theme and batch that changed it), so a theme with a third of all
-    updates is processed like in batch, not by one stateful task.
+    Each micro-batch runs the batch operator, started from the narratives known so far. These lie in
+    a keyed table: a batch reads and rewrites the buckets of its own themes. A theme with a third of
+    all updates is processed like in batch, not by one stateful task. The table is changed last, so a
+    batch that is repeated starts from the same state, or finds that all of it has been done.
     """
     spark = stream.sparkSession
     work = work or shared_dir(spark, "narratives")
@@ -26,12 +26,16 @@ def narrative_history(stream: DataFrame, work: str | None = None) -> DataFrame:
     hist_schema = N.history(spark.createDataFrame([], stream.schema)).schema
 
     def each(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        if batch_id <= upserts.applied(session, state):
+            return
         batch = batch.persist()
-        now = N.current(batch).select("theme", "seq", "narrative")
-        before = keep_last(read_before(batch.sparkSession, state, batch_id, now.schema), ["theme"], ["seq"])
+        now = N.current(batch).select("theme", "seq", "narrative").persist()
+        before = upserts.lookup(session, state, now.schema, now, ["theme"])
         N.history(batch, before).write.mode("overwrite").parquet(batch_path(log, batch_id))
-        now.write.mode("overwrite").parquet(batch_path(state, batch_id))
+        upserts.upsert(now, state, ["theme"], batch_id)
+        now.unpersist()
         batch.unpersist()
 
     run_available(stream, work, each)
-    return spark.read.schema(hist_schema).parquet(log).drop("batch_id").select(*[F.col(c) for c in hist_schema.names])
+    return read_batches(spark, log, hist_schema)

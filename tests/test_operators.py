@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.functions.expr import quoted
-from marginalia.operators import chat, corpus, costs, enrich, jobs, lookup, narratives, ordered, pages, signals
+from marginalia.operators import anchors, chat, corpus, costs, enrich, jobs, lookup, narratives, ordered, pages, signals
 
 
 def test_neighbours_of_a_hot_group(spark):
@@ -115,6 +115,50 @@ def test_contained_in(spark):
     assert got == {(1, "abc"), (1, "b")}
 
 
+@pytest.mark.parametrize("count", [10, 10_000])
+def test_containment_against_brute_force(spark, count):
+    rng = random.Random(count)
+    letters = ["a", "b", "c", "é", "你", " "]
+    texts = [(i, "hot " * (i % 3 == 0) + "".join(rng.choice(letters) for _ in range(rng.randint(0, 14)))) for i in range(300)] + [(300, None), (300, "ab")]
+    needles = ["a", "é", "hot", " ", ""] + ["".join(rng.choice(letters) for _ in range(rng.randint(1, 8))) for _ in range(count)]
+    frame = spark.createDataFrame(texts, "id int, t string")
+    got = lookup.contained_in(frame, "t", spark.createDataFrame([(n, len(n)) for n in needles], "w string, size int"), "w")
+    want = sorted((i, t, w) for i, t in texts for w in needles if t and w and w in t)
+    assert sorted((r.id, r.t, r.w) for r in got.collect()) == want
+
+
+def test_texts_emit_their_anchors_only(spark):
+    texts = spark.createDataFrame([(i, f"a common title of number {i}") for i in range(2000)], "id int, t string")
+    needles = spark.createDataFrame([(f"number {i}77",) for i in range(10)] + [("common title of zzz",)], "w string")
+    maybe = anchors.candidates(texts, "t", ["id"], needles, "w").count()
+    hits = lookup.contained_in(texts, "t", needles, "w").count()
+    assert hits == 9 + 10 and maybe <= 4 * 200  # every text has 25 grams; only texts with a 77 in them emit one
+
+
+def test_search_table_is_like_the_list(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abAé你") for _ in range(rng.randint(1, 5)))
+    rows = [(rng.choice(["", "k"]), f"n{i}.md", f"n{i}.md", word(), [word(), None] if i % 3 else None, word(), rng.choice(["c", "d"]),
+             " ".join(word() for _ in range(30)) if i % 4 else None) for i in range(120)]
+    rows.append(rows[7])
+    docs = spark.createDataFrame(rows, "category_key string, name string, path string, title string, tags array<string>, "
+                                       "project string, category string, content string")
+    asked = ["a", "É", "ab", "你", "aba", "zz", "ab a", ".md", "n1"]
+    for limit in (3, 1000):
+        listed, table = corpus.search_many(docs, asked, limit), corpus.search_many(
+            docs, spark.createDataFrame([(q,) for q in [*asked, "A", "", None]], "q string"), limit)
+        shown = lambda df: sorted((r.q, r.path, r.score, r["rank"], str(r.tags)) for r in df.collect())
+        assert shown(table) == shown(listed) and sorted(table.columns) == sorted(listed.columns)
+
+
+def test_search_with_very_many_queries(spark):
+    docs = spark.createDataFrame([("k", f"n{i}.md", f"title {i}", f"body of {i * 37 % 1000}") for i in range(300)],
+                                 "category_key string, name string, title string, content string")
+    asked = spark.range(100_000).selectExpr("concat('title ', id) AS q")
+    got = corpus.search_many(docs, asked).where("rank = 1").collect()
+    assert {r.q for r in got} == {f"title {i}" for i in range(300)} and all(r.score == 10 for r in got)
+
+
 SIGNAL = '{"title": " T1 ", "date": "2024-01-02T10", "source_type": "小道消息", "event_type": "八卦", "theme": "火星产业", "importance": "爆表"}'
 
 

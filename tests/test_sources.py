@@ -2,13 +2,15 @@
 
 import os
 import time
+from concurrent.futures import ThreadPoolExecutor
+from datetime import datetime as D
 
 import pytest
 from pyspark.sql import functions as F
 
 from marginalia.session import shared_dir
-from marginalia.sources import articles, corpus_files, logs, versions
-from marginalia.streaming import index, jobs, narratives, signals
+from marginalia.sources import articles, corpus_files, logs, upserts, versions
+from marginalia.streaming import costs, index, jobs, narratives, signals, sinks
 
 DOC = "# Title {0}\n> tag\n**Status**: 已投资\nTags: a,b | x\n\nbody"
 
@@ -140,7 +142,6 @@ def test_narrative_stream_keeps_state(spark, tmp_path):
 
 def test_watermark_dedup_and_stale_jobs(spark, tmp_path):
     schema, src = "ts timestamp, title string, job long, status string", str(tmp_path / "in")
-    from datetime import datetime as D
     staged(spark, src, [(D(2024, 1, 1), "A", 1, "running"), (D(2024, 1, 1), "a!", 2, "running"),
                         (D(2024, 1, 1, 0, 9), "B", 2, "running"), (D(2024, 1, 1), "C", 3, "done")], schema)
     q = (signals.dedup_within_watermark(stream(spark, src, schema), "ts").writeStream.format("memory")
@@ -152,6 +153,127 @@ def test_watermark_dedup_and_stale_jobs(spark, tmp_path):
     assert got == {1: "interrupted", 2: "running", 3: "done"}
 
 
+def test_signal_stream_reads_only_its_own_input(spark, tmp_path):
+    schema, src, work = "seq long, date string, title string", str(tmp_path / "in"), str(tmp_path / "work")
+    rows = [(100 * b + i, "2024-01-30" if i % 7 else "2023-01-01", f"t{(b * 31 + i * i) % 200}") for b in range(10) for i in range(40)]
+    for b in range(10):
+        staged(spark, src, rows[40 * b:40 * b + 40][::-1], schema)
+        if b in (3, 9):  # the set of titles outlives a restart
+            pool = signals.dedup_append(stream(spark, src, schema), work, as_of="2024-01-31")
+    first = {}
+    for seq, date, title in rows:
+        if date == "2024-01-30":
+            first.setdefault(title, seq)
+    assert {r.title: r.seq for r in pool.collect()} == first and pool.count() == len(first)
+    report = sinks.report(spark, work).orderBy("batch_id").collect()
+    assert [r.batch_id for r in report] == list(range(10)) and all(r.rows_read == 40 for r in report)
+    assert report[-1].state_rows == len(first)
+    assert sum(r.observed["late"] for r in report) == sum(d != "2024-01-30" for _, d, _ in rows)
+
+
+def test_windows_leave_the_state(spark, tmp_path):
+    schema, src, work = "ts timestamp, theme string", str(tmp_path / "in"), str(tmp_path / "work")
+    days = [D(2024, 1 + d // 28, 1 + d % 28) for d in range(0, 280, 7)]
+    for k in range(0, len(days), 4):
+        staged(spark, src, [(d, t) for d in days[k:k + 4] for t in "ab"] + ([(D(2024, 1, 1), "late")] if k > 8 else []), schema)
+    got = signals.run_windows(signals.weekly_counts(stream(spark, src, schema), "ts"), "weekly", work).collect()
+    seen = {(r.start, r.theme): r.n for r in got}
+    assert len(seen) == len(got) and sum(n for (_, t), n in seen.items() if t != "late") == 2 * len(days)
+    assert all(t != "late" for _, t in seen) and {r.closed for r in got} == {True, False}
+    report = sinks.report(spark, work).collect()
+    assert max(r.state_rows for r in report) <= 16 and sum(r.late_in_state for r in report) > 0
+
+
+def test_totals_in_update_mode(spark, tmp_path):
+    schema = "day string, feature string, model string, prompt_tokens long, completion_tokens long"
+    src, work = str(tmp_path / "in"), str(tmp_path / "work")
+    for b in range(4):
+        staged(spark, src, [(f"d{b}", "x", "qwen-plus", 1, 1), ("d0", "y", "qwen-plus", 10, b)], schema)
+        totals = sinks.run_to_table(costs.cost_totals(stream(spark, src, schema)), "costs", ["day", "feature"], work)
+    assert {(r.day, r.feature): (r.calls, r.tokens) for r in totals.collect()} == {
+        **{(f"d{b}", "x"): (1, 2) for b in range(4)}, ("d0", "y"): (4, 46)}
+
+
+def test_stale_jobs_are_reported_without_input(spark, tmp_path):
+    schema, src, out = "ts timestamp, job long, status string, kind string", str(tmp_path / "in"), str(tmp_path / "out")
+    now = D.now()
+    staged(spark, src, [(now, 1, "running", "x"), (now, 2, "done", "x"), (D(2024, 1, 1), 3, "running", "x"), (now, 4, "running", "x")], schema)
+    secs = F.when(F.col("job") == 1, 3).otherwise(600)
+    query = (jobs.status_changes(stream(spark, src, schema), stale=secs).writeStream.outputMode("update")
+             .foreachBatch(sinks.write_batch(out)).option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start())
+    try:
+        last = {}
+        until = time.time() + 90
+        while last.get(1) != "interrupted" and time.time() < until:
+            time.sleep(1)
+            if query.lastProgress and os.path.exists(out):
+                last = {r.job: r.status for r in spark.read.schema("job long, at long, status string").parquet(out).orderBy("at").collect()}
+    finally:
+        query.stop()
+    assert last == {1: "interrupted", 2: "done", 3: "interrupted", 4: "running"}
+    assert {p["numInputRows"] for p in query.recentProgress} == {0, 4}
+
+
+def test_stale_jobs_of_a_log(spark, tmp_path):
+    schema, src, work = "ts timestamp, job long, status string, kind string", str(tmp_path / "in"), str(tmp_path / "work")
+    at = lambda m, s=0: D(2024, 1, 1, 0, m, s)
+    staged(spark, src, [(at(0), 1, "running", "x"), (at(0), 2, "running", "battle"), (at(0), 3, "done", "x"), (at(5), 4, "running", "x"),
+                        (at(0), 5, "running", "x"), (None, 6, "running", "x")], schema)
+    staged(spark, src, [(at(9), 5, "running", "x"), (at(1), 3, "running", "x"), (at(8), 4, "error", "x"), (at(1), 5, "done", "x")], schema)
+    got = jobs.run_statuses(stream(spark, src, schema), until="2024-01-01 00:10:01", work=work).collect()
+    assert {r.job: r.status for r in got} == {1: "interrupted", 2: "interrupted", 3: "running", 4: "error", 5: "running"}
+
+
+def test_upserts_touch_their_buckets_only(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "k long, v long"
+    def put(changes, change, **how):
+        upserts.upsert(spark.createDataFrame(changes, schema), path, ["k"], change, **how)
+    def whole():
+        df = upserts.read(spark, path, spark.createDataFrame([], schema).schema)
+        return {r.k: r.v for r in df.collect()}
+    put([(k, 0) for k in range(200)], 0, buckets=8)
+    parts = versions.last(spark, path)[1]["parts"]
+    put([(5, 1), (1000, 1)], 1)
+    after = versions.last(spark, path)[1]["parts"]
+    assert sum(parts[b][0] != after[b][0] for b in parts) <= 2 and whole() == {**{k: 0 for k in range(200)}, 5: 1, 1000: 1}
+    put([(7, 9)], 1)  # repeated after a failure: nothing happens
+    assert whole()[7] == 0 and upserts.applied(spark, path) == 1
+    put([], 2)
+    put([(7, 9)], 3, rows=5)  # too many rows a bucket: more of them
+    content = versions.last(spark, path)[1]
+    assert content["buckets"] == 64 and whole() == {**{k: 0 for k in range(200)}, 5: 1, 7: 9, 1000: 1}
+    keys = spark.createDataFrame([(5, 0), (6, 0), (4000, 0)], schema)
+    found = upserts.lookup(spark, path, keys.schema, keys, ["k"])
+    assert {r.k: r.v for r in found.collect()} == {5: 1, 6: 0}
+    with pytest.raises(Exception):
+        upserts.upsert(spark.range(1).select(F.col("id").alias("k"), F.raise_error(F.lit("no")).cast("long").alias("v")), path, ["k"], 4)
+    assert upserts.applied(spark, path) == 3 and whole()[0] == 0
+
+
+def test_one_of_two_writers_wins(spark, tmp_path):
+    path = str(tmp_path / "t")
+    versions.publish(spark, path, spark.range(3).write.parquet)
+    def write(n):
+        try:
+            versions.publish(spark, path, spark.range(n).write.parquet)
+            return n
+        except versions.Conflict:
+            return None
+    with ThreadPoolExecutor(2) as pool:
+        for _ in range(3):
+            number = versions.versions(spark, path)[-1]
+            won = [n for n in pool.map(write, (5, 7)) if n]
+            assert won and versions.versions(spark, path)[-1] == number + len(won) and versions.read(spark, path).count() in won
+    number, content = versions.last(spark, path)
+    with pytest.raises(versions.Conflict):
+        versions.commit(spark, path, number, content)
+    with open(versions.version_path(path, number + 1), "w") as f:  # a writer that died in the middle of its record
+        f.write('{"fol')
+    assert versions.latest(spark, path) == content["folder"]
+    versions.publish(spark, path, spark.range(9).write.parquet)
+    assert versions.read(spark, path).count() == 9
+
+
 def test_incremental_index(spark, corpus, tmp_path):
     work = str(tmp_path / "work")
     assert index.incremental_index(spark, corpus, work).count() == 4
