@@ -10,6 +10,7 @@ document after another. The tail of a range is cut at powers of two, which need
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from functools import cache
 
@@ -24,6 +25,7 @@ from .words import ListCache, Segments, char_table, codepoints, ragged
 LENGTH = 1024
 DIMENSIONS, BITS = 3, 10
 STOP = 0  # the id after a document
+SPECIAL = "<|endoftext|>"  # the one special string of the vocabulary
 
 
 @cache
@@ -34,7 +36,7 @@ def tokenizer(ranks_path: str):
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
     return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
-                             special_tokens={"<|endoftext|>": len(ranks)})
+                             special_tokens={SPECIAL: len(ranks)})
 
 
 def default_ranks() -> str:
@@ -42,12 +44,44 @@ def default_ranks() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+@cache
+def _token_bytes(ranks_path: str) -> np.ndarray:
+    """Number of bytes of every id."""
+    bpe = tokenizer(ranks_path)
+    return np.array([len(bpe.decode_single_token_bytes(i)) for i in range(bpe.n_vocab)], dtype=np.int64)
+
+
+def _encode_parts(parts: list[str], alone: np.ndarray, ranks_path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all parts one after another, and their number for each. Parts that are not ``alone``
+    keep their tokens when they are laid end to end, so one call encodes them all, and the bytes of
+    the tokens tell where a part ends."""
+    bpe = tokenizer(ranks_path)
+    lists: list[np.ndarray] = [np.zeros(0, dtype=np.uint16)] * len(parts)
+    together = np.flatnonzero(~alone).tolist()
+    if together:
+        joined = "".join([parts[i] for i in together])
+        ids = bpe.encode_to_numpy(joined, disallowed_special=())
+        if joined.isascii():
+            sizes = np.array([len(parts[i]) for i in together])
+        else:
+            sizes = np.array([len(parts[i].encode("utf-8", "surrogatepass")) for i in together])
+        ends = np.searchsorted(np.cumsum(_token_bytes(ranks_path)[ids]), np.cumsum(sizes)) + 1
+        for i, one in zip(together, np.split(ids.astype(np.uint16), ends[:-1])):
+            lists[i] = one
+    for i in np.flatnonzero(alone).tolist():
+        special = SPECIAL in parts[i]
+        lists[i] = np.array(bpe.encode(parts[i], allowed_special="all") if special else bpe.encode_ordinary(parts[i]), dtype=np.uint16)
+    lengths = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+    return np.concatenate(lists), lengths
+
+
 def tokenize(texts: list[str], ranks_path: str, cache_: ListCache) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after another, and their number for each text.
 
     A single space between two characters that are no white space always starts a token of this
     vocabulary's pattern and ends the one before, so the parts between are encoded alone, each
-    different part once per task.
+    different part once per task. Parts that begin with such a space and end with no white space may
+    be encoded in one string.
     """
     cp, starts = codepoints(texts)
     if not len(cp):
@@ -57,13 +91,17 @@ def tokenize(texts: list[str], ranks_path: str, cache_: ListCache) -> tuple[np.n
     begins[1:-1] = (cp[1:-1] == 0x20) & solid[:-2] & solid[2:]
     seg = Segments(cp, starts, begins)
     codes, first = seg.classes()
-    bpe = tokenizer(ranks_path)
+    whole = "".join(texts)
+    alone = ~(begins[seg.start] & solid[seg.start + seg.length - 1])
+    alone[np.isin(seg.start, starts)] = True  # the first part of a text has no space of its own to begin with
+    if SPECIAL in whole:
+        at = np.array([m.start() for m in re.finditer(re.escape(SPECIAL), whole)])
+        alone[np.searchsorted(seg.start, at, side="right") - 1] = True
 
     def work(new):
-        lists = [bpe.encode(seg.string(i), allowed_special="all") for i in first[new].tolist()]
-        lengths = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-        flat = np.fromiter((x for one in lists for x in one), dtype=np.uint16, count=int(lengths.sum()))
-        return flat, lengths
+        rows = first[new]
+        parts = [whole[a:b] for a, b in zip(seg.start[rows].tolist(), (seg.start[rows] + seg.length[rows]).tolist())]
+        return _encode_parts(parts, alone[rows], ranks_path)
 
     at = cache_.rows(seg.hash[first], work)
     ids, lengths = ragged(cache_.offsets, cache_.data, at[codes])
