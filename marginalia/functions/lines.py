@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -118,10 +119,10 @@ def trim_boilerplate(content: str | Column) -> Column:
 
 # ---- section merge ----------------------------------------------------------------------------
 
-def merged_sections(content: str | Column, whitelist: list[str] | None = None) -> Column:
+def merged_sections(content: str | Column, whitelist: list[str] | Column | None = None) -> Column:
     """Sections with equal headings reduced to the longest, in order of first occurrence.
 
-    With a whitelist the sections follow its order and others are dropped, unless nothing matches.
+    With a whitelist (a list, or an array such as the headings of a framework document) the sections follow its order and others are dropped, unless nothing matches.
     Returns array of (ord, head, body, key).
     """
     def longest(secs: Column) -> Column:
@@ -137,13 +138,19 @@ def merged_sections(content: str | Column, whitelist: list[str] | None = None) -
 
     secs = F.filter(h2_pieces(content), lambda p: p["is_section"])
     merged = let(secs, longest)
-    return let(merged, lambda m: align(m, whitelist)) if whitelist else merged
+    if whitelist is None or isinstance(whitelist, list) and not whitelist:
+        return merged
+    return let(merged, lambda m: align(m, whitelist))
 
 
-def align(secs: Column, whitelist: list[str]) -> Column:
+def align(secs: Column, whitelist: list[str] | Column) -> Column:
     """Match sections to whitelist headings: the exact one first, else the first substring either way."""
-    allowed = F.array(*[F.struct(F.lit(i).alias("pos"), unnumbered(norm_heading(F.lit(h))).alias("w"))
-                        for i, h in enumerate(whitelist)])
+    names = F.array(*[F.lit(h) for h in whitelist]) if isinstance(whitelist, list) else whitelist
+    return let(F.transform(names, lambda h, i: F.struct(i.alias("pos"), unnumbered(norm_heading(h)).alias("w"))),
+               lambda allowed: _aligned(secs, allowed))
+
+
+def _aligned(secs: Column, allowed: Column) -> Column:
 
     def position(key: Column) -> Column:
         def pick(k: Column) -> Column:
@@ -161,7 +168,7 @@ def align(secs: Column, whitelist: list[str]) -> Column:
             lambda x: x["sec"])).otherwise(F.transform(r, lambda x: x["sec"]))))
 
 
-def dedupe_sections(content: str | Column, whitelist: list[str] | None = None) -> Column:
+def dedupe_sections(content: str | Column, whitelist: list[str] | Column | None = None) -> Column:
     """Whole text with merged sections; a text without sections stays as it is."""
     def render(text: Column, secs: Column) -> Column:
         first = F.get(F.split(text, H2_CUT), F.lit(0))
@@ -245,46 +252,40 @@ def split_details(content: str | Column) -> dict[str, Column]:
 
 # ---- chunking ---------------------------------------------------------------------------------
 
-def _hard_cuts(paragraphs: Sequence[int], base: int, limit: int) -> Iterator[tuple[int, int]]:
-    """Spans of an oversized section: packed paragraphs, and plain cuts of longer paragraphs."""
-    start = end = at = base
-    for length in paragraphs:
-        is_open = end > start
-        if is_open and end - start + length + 2 > limit:
-            yield start, end
-            is_open = False
-        start, end = start if is_open else at, at + length
-        while end - start > limit:
-            yield start, start + limit
-            start += limit
-        at = end + 2
-    if end > start:
-        yield start, end
-
-
-def _spans(lengths: Sequence[int], paragraphs: Sequence[Sequence[int] | None], limit: int) -> Iterator[tuple[int, int]]:
-    """Half-open character spans of chunks: sections packed greedily up to ``limit``, oversized ones
-    cut at blank lines and, as a last resort, by length."""
-    start = end = at = 0
-    for length, inner in zip(lengths, paragraphs, strict=True):
-        big, is_open = length > limit, end > start
-        if is_open and (big or end - start + length + 1 > limit):
-            yield start, end
-            is_open = False
-        if big:
-            yield from _hard_cuts(inner, at, limit)
-        start, end = at + length if big else start if is_open else at, at + length
-        at = end + 1
-    if end > start:
-        yield start, end
-
-
-@pandas_udf(T.ArrayType(T.StringType()))
-def _cut(text: pd.Series, lengths: pd.Series, paragraphs: pd.Series, limit: pd.Series) -> pd.Series:
-    """The chunks of each text. The greedy packing has to look at one section after another and
-    gives a result at some of them; a fold in the plan would copy all of them at every step."""
-    return pd.Series([None if t is None else [t[s:e] for s, e in _spans(n, p, int(m))]
-                      for t, n, p, m in zip(text, lengths, paragraphs, limit)], dtype=object)
+def _reach(lengths: np.ndarray, gap: int, base: int, limit: int) -> Iterator[tuple[int, int]]:
+    """Spans over parts that lie ``gap`` characters apart from ``base`` on. A span begins at the first
+    part that is not empty and reaches to the last end within ``limit``, found by binary search over
+    the prefix sums; a part that is longer is cut every ``limit`` characters."""
+    ends = np.cumsum(lengths + gap) - gap + base
+    filled = np.flatnonzero(lengths)
+    part = 0
+    while (nth := np.searchsorted(filled, part)) < len(filled):
+        part = filled[nth]
+        cuts = np.arange(ends[part] - lengths[part], ends[part], limit)
+        yield from zip(cuts[:-1], cuts[1:])
+        part = np.searchsorted(ends, cuts[-1] + limit, side="right")
+        yield cuts[-1], ends[part - 1]
+
+
+def _plan(sections: np.ndarray, paragraphs: Sequence[np.ndarray | None], limit: int) -> list[dict[str, int]]:
+    """Chunks of a text as (at, size). Sections longer than ``limit`` are planned by their paragraphs and
+    part the others into runs."""
+    begins = np.cumsum(sections + 1) - 1 - sections
+    spans: list[tuple[int, int]] = []
+    run = 0
+    for big in [*np.flatnonzero(sections > limit), len(sections)]:
+        if big > run:
+            spans += _reach(sections[run:big], 1, begins[run], limit)
+        if big < len(sections):
+            spans += _reach(np.asarray(paragraphs[big]), 2, begins[big], limit)
+        run = big + 1
+    return [{"at": int(a), "size": int(b - a)} for a, b in spans]
+
+
+@pandas_udf(T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("size", T.IntegerType())])))
+def _plans(sections: pd.Series, paragraphs: pd.Series, limit: pd.Series) -> pd.Series:
+    """The plans of the texts, from lengths alone: the texts stay in the JVM."""
+    return pd.Series([None if n is None else _plan(np.asarray(n), p, int(m)) for n, p, m in zip(sections, paragraphs, limit)], dtype=object)
 
 
 def chunks(content: str | Column, limit: int = 15000) -> Column:
@@ -292,4 +293,5 @@ def chunks(content: str | Column, limit: int = 15000) -> Column:
     up to ``limit`` characters, oversized sections cut at blank lines or, as a last resort, by length."""
     sections = F.split(col(content), rf"\n(?=#{{1,6}}{WS_INLINE})")
     inner = F.transform(sections, lambda s: F.when(F.length(s) > limit, F.transform(F.split(s, "\n\n"), F.length)))
-    return F.filter(_cut(col(content), F.transform(sections, F.length), inner, F.lit(limit)), lambda t: ~is_blank(t))
+    plan = _plans(F.transform(sections, F.length), inner, F.lit(limit))
+    return F.filter(F.transform(plan, lambda c: F.substr(col(content), c["at"] + 1, c["size"])), lambda t: ~is_blank(t))

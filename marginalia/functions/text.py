@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .expr import WS, WS_CHARS, col, is_blank, lines_of, lookup, or_else, strip
 
 NAME_LIMIT = 60
+# What stands for the rest of a long document, and for an empty one.
 TRUNCATED = "\n……（文档过长，已截断）"
 EMPTY_DOC = "（文档为空）"
 

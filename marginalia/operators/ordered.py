@@ -23,8 +23,6 @@ NUMBER_RANGE = 1_000_000
 LOWEST = -2 ** 63  # bucket of rows without a number; they come first, as nulls do
 # Cut points between buckets of any other order; a power of two.
 CUT_POINTS = 4096
-# Rows looked at per cut point; the sample is this many times the number of cut points.
-OVERSAMPLE = 16
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
@@ -54,17 +52,11 @@ def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
 
 
 def cut_points(df: DataFrame, cols: Sequence[str]) -> Column:
-    """Sorted sample of at most ``CUT_POINTS`` ordering keys, as a scalar subquery.
-
-    Rows are thinned out by their hash, then those with the smallest second hash are taken. The
-    sample depends on the data only, so a retried task sees the same cut points, and its size does
-    not grow with the table.
-    """
+    """Sorted sample of at most ``CUT_POINTS`` ordering keys, as a scalar subquery: the keys with the
+    smallest hashes, taken in one scan. The sample depends on the data only, so a retried task sees
+    the same cut points, and its size does not grow with the table."""
     keys = df.select(F.struct(*cols).alias("_k"))
-    every = F.greatest(F.floor(keys.agg(F.count(F.lit(1))).scalar() / (CUT_POINTS * OVERSAMPLE)), F.lit(1))
-    sample = (keys.where(F.pmod(F.xxhash64("_k"), every) == 0)
-              .orderBy(F.xxhash64("_k", F.lit(1)), "_k").limit(CUT_POINTS)
-              .agg(F.sort_array(F.collect_set("_k"))))
+    sample = keys.orderBy(F.xxhash64("_k"), "_k").limit(CUT_POINTS).agg(F.sort_array(F.collect_set("_k")))
     return sample.scalar()
 
 
@@ -91,25 +83,24 @@ def neighbours(df: DataFrame, group: Sequence[str], order: Sequence[str], value:
     """Value of the previous and/or next row of the group. ``rows`` says that ``order`` is one append
     number, to be cut into ranges of that many.
 
-    The edge rows of the buckets are found by a pre-aggregated group-by. Edges and rows meet on
-    (group, bucket), the keys the window uses, so the rows are shuffled once.
+    The rows are shuffled once, to (group, bucket), and get their neighbours there; only the first and
+    the last row of a bucket go further, to their group, where they meet those of the next buckets.
     """
     df = df.withColumn("_v", F.col(value))
     df = with_number_bucket(df, *order, rows) if rows else with_order_bucket(df, group, order)
-    by = F.struct(*order)
-    edges = df.groupBy(*group, "_bucket").agg(
-        F.min_by("_v", by).alias("_first"), F.max_by("_v", by).alias("_last"))
+    inside = W.partitionBy(*group, "_bucket").orderBy(*order)
+    placed = df.select("*", F.lag("_v").over(inside).alias("_prev"), F.lead("_v").over(inside).alias("_next"),
+                       F.row_number().over(inside).alias("_at"), F.count(F.lit(1)).over(W.partitionBy(*group, "_bucket")).alias("_size"))
+    first, last = F.col("_at") == 1, F.col("_at") == F.col("_size")
+    edges = placed.where(first | last).groupBy(*group, "_bucket").agg(
+        F.max_by("_v", first.cast("int")).alias("_first"), F.max_by("_v", last.cast("int")).alias("_last"))
     across = W.partitionBy(*group).orderBy("_bucket")
     edges = edges.select(*group, "_bucket", F.lag("_last").over(across).alias("_before"),
                          F.lead("_first").over(across).alias("_after"))
-    joined = df.join(edges, [*group, "_bucket"], "left")
-    inside = W.partitionBy(*group, "_bucket").orderBy(*order)
-    down = W.partitionBy(*group, "_bucket").orderBy(*[F.desc(c) for c in order])
-
-    def step(w, edge: str) -> Column:
-        return F.coalesce(F.lag("_v").over(w), F.when(F.row_number().over(w) == 1, F.col(edge)))
-    extra = {**({prev: step(inside, "_before")} if prev else {}), **({next_: step(down, "_after")} if next_ else {})}
-    return joined.withColumns(extra).drop("_v", "_before", "_after", "_bucket")
+    joined = placed.join(edges, [*group, "_bucket"], "left")
+    extra = {**({prev: F.when(first, F.col("_before")).otherwise(F.col("_prev"))} if prev else {}),
+             **({next_: F.when(last, F.col("_after")).otherwise(F.col("_next"))} if next_ else {})}
+    return joined.withColumns(extra).drop("_v", "_before", "_after", "_bucket", "_prev", "_next", "_at", "_size")
 
 
 def running_sum(df: DataFrame, group: Sequence[str], order: Sequence[str], amount: Column, out: str) -> DataFrame:

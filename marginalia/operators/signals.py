@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.expr import col, each_present, first_nonempty, let, one_of, strip
+from ..functions.expr import col, each_present, first_nonempty, let, one_of, or_else, strip
 from ..functions.text import norm_title, safe_name, strip_fence
-from .ordered import keep_first, top_per_group
+from .ordered import keep_first, running_sum, top_per_group, with_number_bucket
 
 # Themes and enums of the signal schema, with the limits of a run.
 THEMES = ["AI Infrastructure", "Foundation Model", "AI Agent", "Robotics", "AI4S",
@@ -22,6 +22,8 @@ MAX_AGE_DAYS, RECENT_DAYS = 10, 7
 KEY_POINTS = 6
 ARTICLES_PER_CALL, ARTICLE_CHARS = 8, 4000
 ARTICLE_RANGE = 4096  # sequence numbers
+DOC_LIST = 2000  # documents a request can list
+NO_DOCS = "（空，暂无技术文档）"
 ISO_DATE = r"\A\d{4}-\d{2}-\d{2}"
 
 
@@ -138,6 +140,51 @@ def article_payload(articles: DataFrame, seq: str) -> DataFrame:
             .select("start", "batch", "n_articles", F.concat(F.lit("["), "_items", F.lit("]")).alias("payload")))
 
 
+def _request_text(articles: DataFrame) -> Column:
+    """An article as the service gets it, each field cut to what it accepts."""
+    return F.to_json(F.struct(
+        strip("title").alias("title"), strip("account").alias("account"),
+        F.left("date", F.lit(10)).alias("date"), F.left("text", F.lit(ARTICLE_CHARS)).alias("text")))
+
+
+def article_requests(articles: DataFrame, seq: str) -> DataFrame:
+    """(batch, n_articles, payload): requests of eight articles in order of the sequence number, of
+    which only the last may hold fewer, whatever gaps the numbers have. Articles without a number are
+    left out.
+
+    Articles are counted per range of ``ARTICLE_RANGE`` numbers, the counts are summed up in two levels, and
+    an article's place is that of its range plus its place in it, so no task sees more than a range or
+    a million counts.
+    """
+    rows = articles.where(F.col(seq).isNotNull()).select(F.floor(F.col(seq) / ARTICLE_RANGE).alias("_range"), F.col(seq).alias("_seq"), _request_text(articles).alias("_item"))
+    counts = with_number_bucket(rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_all", F.lit(0)), "_range")
+    before = running_sum(counts, ["_all"], ["_range"], F.col("_n"), "_upto").select("_range", (F.col("_upto") - F.col("_n")).alias("_before"))
+    at = F.row_number().over(W.partitionBy("_range").orderBy("_seq", "_item"))
+    placed = rows.withColumn("_at", at).join(before, "_range").withColumn("_at", F.col("_before") + F.col("_at") - 1)
+    return placed.groupBy(F.floor(F.col("_at") / ARTICLES_PER_CALL).alias("batch")).agg(
+        F.count(F.lit(1)).alias("n_articles"),
+        F.concat(F.lit("["), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_at", "_item"))),
+                                                      lambda x: x["_item"]), ","), F.lit("]")).alias("payload"))
+
+
+def doc_list(docs: DataFrame) -> Column:
+    """The known documents as the text a request carries, a line each in order of name, as a scalar
+    subquery. ``docs`` holds (name, title, tagline, gist) of one folder; more than ``DOC_LIST`` of them are an
+    error, as no request could hold them."""
+    line = F.concat(F.lit("- "), "name", F.lit(" | "), "title", F.lit(" — "), F.left("tagline", F.lit(60)),
+                    F.lit(" | 内容："), F.left(F.coalesce("gist", F.lit("")), F.lit(100)))
+    some = docs.select("name", line.alias("line")).limit(DOC_LIST + 1)
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("name", "line"))), lambda x: x["line"])
+    text = F.when(F.count(F.lit(1)) > DOC_LIST, F.raise_error(F.lit(f"more than {DOC_LIST} documents in the list"))).otherwise(
+        or_else(F.array_join(lines, "\n"), NO_DOCS))
+    return some.agg(text).scalar()
+
+
+def extraction_requests(articles: DataFrame, docs: DataFrame, key: str) -> DataFrame:
+    """(key, doc_list, payload): one request per article, with the list of documents it may be filed in."""
+    return articles.select(key, doc_list(docs).alias("doc_list"), _request_text(articles).alias("payload"))
+
+
 # ---- date predicates --------------------------------------------------------------------------
 
 def days_before(as_of: str, days: int) -> Column:

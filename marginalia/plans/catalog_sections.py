@@ -79,6 +79,25 @@ def _(spark, sf):
         "doc_id", F.posexplode(L.merged_sections("content", WHITELIST)).alias("pos", "s")).select("doc_id", "s.head", "pos")
 
 
+FRAMEWORK = 3  # doc_id of the framework document
+UNNUMBERED = "regexp_replace({}, '^(?:\\d+[.、]|[一二三四五六七八九十]+[、.]|模块\\d+[:：]|附录[a-z][:：])', '')"
+
+
+@query("joi13_framework_whitelist", lines_sql(S.HEADED, SECS, f"""FW AS (SELECT row_number() OVER (ORDER BY pos) AS p, {UNNUMBERED.format(
+   "lower(replace(replace(regexp_replace(trim(line, " + V.BLANKS + "), '^#{1,6}\\s*', ''), '：', ':'), ' ', ''))")} AS w
+  FROM L WHERE doc_id = {FRAMEWORK} AND regexp_matches(trim(line, {V.BLANKS}), '^#{{1,6}}\\s')),
+ BARE AS (SELECT *, {UNNUMBERED.format("key")} AS k FROM BEST),
+ HIT AS (SELECT BARE.*, (SELECT coalesce(min(CASE WHEN w = k THEN p END), min(p)) FROM FW WHERE k <> '' AND w <> '' AND (contains(k, w) OR contains(w, k))) AS p FROM BARE),
+ HIT2 AS (SELECT *, count(p) OVER (PARTITION BY doc_id) AS hits FROM HIT)""") + """
+ SELECT doc_id, head, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN hits > 0 THEN p ELSE 0 END, first) - 1 AS BIGINT) AS pos
+ FROM HIT2 WHERE hits = 0 OR p IS NOT NULL""")
+def _(spark, sf):
+    docs = text(spark, sf, S.HEADED)
+    framework = docs.where(F.col("doc_id") == FRAMEWORK).select(U.headings("content")).scalar()
+    docs = docs.withColumn("names", framework)
+    return docs.select("doc_id", F.posexplode(L.merged_sections("content", F.col("names"))).alias("pos", "s")).select("doc_id", "s.head", "pos")
+
+
 @query("win07_merged_text", lines_sql(S.HEADED, SECS) + f"""SELECT doc_id, md5(string_agg(concat(head, {NL}, trim(body, {NL})), concat({NL}, {NL}) ORDER BY first)) AS h FROM BEST GROUP BY doc_id""")
 def _(spark, sf):
     return text(spark, sf, S.HEADED).select("doc_id", F.md5(L.dedupe_sections("content")).alias("h"))

@@ -226,6 +226,28 @@ def _(spark, sf):
     return G.article_payload(a, "seq")
 
 
+ARTICLES = f"""A AS (SELECT doc_id, to_json({{title: trim(split_part(text, chr(10), 1), {V.BLANKS}), account: source, date: '2024-02-01', text: left(text, 4000)}}) AS item FROM documents)"""
+
+
+def articles(spark, sf):
+    return S.table(spark, sf, "documents").selectExpr(
+        "doc_id AS seq", "substring_index(text, '\n', 1) AS title", "source AS account", "'2024-02-01T09:00' AS date", "text")
+
+
+@query("udf02_full_requests", with_(ARTICLES, "B AS (SELECT *, (row_number() OVER (ORDER BY doc_id) - 1) // 8 AS batch FROM A)") + """
+ SELECT CAST(batch AS BIGINT) AS batch, CAST(count(*) AS BIGINT) AS n_articles, concat('[', string_agg(item, ',' ORDER BY doc_id), ']') AS payload FROM B GROUP BY batch""")
+def _(spark, sf):
+    return G.article_requests(articles(spark, sf), "seq")
+
+
+@query("udf02_extraction_requests", with_(V.K, ARTICLES, """T AS (SELECT string_agg(concat('- ', name, ' | ', title, ' — ', left(subtitle, 60), ' | 内容：', left(content, 100)), chr(10) ORDER BY name) AS docs
+  FROM K WHERE category_key = 'src8')""") + """ SELECT doc_id AS seq, md5(docs) AS docs, CAST(item AS VARCHAR) AS payload FROM A, T""")
+def _(spark, sf):
+    known = S.kb_docs(spark, sf).where("category_key = 'src8'").select("name", "title", F.col("subtitle").alias("tagline"), F.col("content").alias("gist"))
+    asked = G.extraction_requests(articles(spark, sf), known, "seq")
+    return asked.select("seq", F.md5("doc_list").alias("docs"), "payload")
+
+
 # ---- lists and counts -------------------------------------------------------------------------
 
 @query("agg05_theme_distribution", Q + f"""SELECT theme, CAST(count(*) AS BIGINT) AS n, min(seq) AS first_seq FROM S

@@ -83,11 +83,11 @@ def _(spark, sf):
 
 # ---- sinks and decoders: write to the shared folder, read back --------------------------------
 
-@query("snk01_index_write", with_(V.K) + "SELECT path, name, size, content FROM K WHERE category_key = 'src3'")
+@query("snk01_index_write", with_(V.K) + "SELECT path, name, size, content FROM K")
 def _(spark, sf):
     path = shared_dir(spark, "index")
     corpus_files.write_index(S.kb_docs(spark, sf), path)
-    return versions.read(spark, path).where("part = 'src3'").select("path", "name", "size", "content")
+    return versions.read(spark, path).select("path", "name", "size", "content")
 
 
 @query("snk02_atomic_overwrite", with_(V.S) + "SELECT seq, title FROM SK WHERE seq IN (SELECT min(seq) FROM SK WHERE key <> '' GROUP BY key)")
@@ -107,15 +107,17 @@ def _(spark, sf):
         "ts", "feature", "model", "prompt_tokens", "completion_tokens")
 
 
-ASCII = "regexp_replace(text, '[^ -~\\\\n]', ''{g})"
+# A third of the texts as they are, a third in GBK (whole, other signs than ASCII as one that GBK has),
+# a third with a byte behind them that neither encoding has.
+WIDE = "regexp_replace(text, '[^ -~\\n]', '测'{g})"
 
 
-@query("src02_text_decode", f"""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN concat({ASCII.format(g=", 'g'")}, '测试')
- ELSE concat({ASCII.format(g=", 'g'")}, chr(65533)) END AS text FROM documents""".replace("\\\\n", "\\n"))
+@query("src02_text_decode", f"""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN concat({WIDE.format(g=", 'g'")}, '测')
+ ELSE concat(text, chr(65533)) END AS text FROM documents""".replace("\\\\n", "\\n"))
 def _(spark, sf):
+    gbk = f"unhex(replace(hex(CAST(concat({WIDE.format(g='')}, '测') AS BINARY)), 'E6B58B', 'B2E2'))"
     files = S.spread(S.table(spark, sf, "documents"), "doc_id").selectExpr(
-        "doc_id", f"CASE doc_id % 3 WHEN 0 THEN CAST(text AS BINARY) WHEN 1 THEN concat(CAST({ASCII.format(g='')} AS BINARY), X'B2E2CAD4') "
-        f"ELSE concat(CAST({ASCII.format(g='')} AS BINARY), X'FF') END AS content")
+        "doc_id", f"CASE doc_id % 3 WHEN 0 THEN CAST(text AS BINARY) WHEN 1 THEN {gbk} ELSE concat(CAST(text AS BINARY), X'FF') END AS content")
     return corpus_files.decode_text(files).select("doc_id", "text")
 
 

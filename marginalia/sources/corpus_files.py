@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,6 +64,69 @@ def _exists_glob(spark: SparkSession, pattern: str) -> bool:
     return found is not None and len(found) > 0
 
 
+LISTING = T.StructType(BINARY_SCHEMA.fields[:3])
+LISTED_AT_ONCE, READ_AT_ONCE = 10_000, 32_000_000  # files of a listing, and bytes of contents, held by a task
+
+
+def _opened(path: str) -> tuple[fs.FileSystem, str, str]:
+    """File system of a path, the path in it, and what stands before such paths."""
+    if "://" not in path and not path.startswith("file:"):
+        return fs.LocalFileSystem(), path, ""
+    system, inner = fs.FileSystem.from_uri(path)
+    return system, inner, path[:path.index(inner)] if inner in path else ""
+
+
+def _entries(folders: DataFrame) -> DataFrame:
+    """(path, is_folder, modificationTime, length) of what lies in the folders, listed by the tasks.
+    Hidden names are left out, as Spark's own sources do."""
+    def run(batches):
+        for batch in batches:
+            for folder in batch.column("folder").to_pylist():
+                system, inner, before = _opened(folder)
+                infos = [x for x in system.get_file_info(fs.FileSelector(inner, allow_not_found=True)) if x.base_name[:1] not in "._"]
+                for k in range(0, len(infos), LISTED_AT_ONCE):
+                    part = infos[k:k + LISTED_AT_ONCE]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([before + x.path for x in part], pa.string()), pa.array([x.type == fs.FileType.Directory for x in part], pa.bool_()),
+                        pa.array([x.mtime for x in part], pa.timestamp("us", "UTC")), pa.array([x.size or 0 for x in part], pa.int64())],
+                        names=["path", "is_folder", "modificationTime", "length"])
+
+    return folders.mapInArrow(run, "path string, is_folder boolean, modificationTime timestamp, length long")
+
+
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, modificationTime, length) of the Markdown files in the root folder and one level below
+    it. Folders are listed by tasks, one row each; no path comes to the driver."""
+    top = _entries(spark.createDataFrame([(root,)], "folder string"))
+    folders = top.where("is_folder").select(F.col("path").alias("folder"))
+    below = _entries(folders.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "folder"))
+    return top.union(below).where("NOT is_folder AND path LIKE '%.md'").select(*LISTING.names)
+
+
+def read_listed(files: DataFrame) -> DataFrame:
+    """The listed files with their contents, opened by the tasks that the rows are dealt to. A file
+    that has gone since it was listed has null content."""
+    spark = files.sparkSession
+
+    def run(batches):
+        for batch in batches:
+            held, at = [], 0
+            for i, path in enumerate(batch.column("path").to_pylist()):
+                system, inner, _ = _opened(path)
+                try:
+                    with system.open_input_stream(inner) as f:
+                        held.append(f.read())
+                except FileNotFoundError:
+                    held.append(None)
+                if i + 1 == batch.num_rows or sum(len(x) for x in held if x) >= READ_AT_ONCE:
+                    part = batch.slice(at, len(held))
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(held, pa.binary())], names=BINARY_SCHEMA.names)
+                    held, at = [], i + 1
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return files.select(*LISTING.names).repartition(parts, "path").mapInArrow(run, BINARY_SCHEMA)
+
+
 def relative_path(files: DataFrame, root: str) -> DataFrame:
     """Add ``rel``, the path below the root folder."""
     quoted_root = quoted(root.strip("/"))

@@ -1,5 +1,6 @@
 """Operators on small frames, with hot groups and tiny buckets."""
 
+import json
 import random
 
 import pytest
@@ -47,6 +48,28 @@ def test_request_sizes(spark):
     assert got == [(-4096, 1), (0, 3), (0, 8), (0, 8), (8192, 1)]
 
 
+def test_full_requests(spark):
+    numbers = [*range(0, 9000, 700), *range(5000, 5013), 10**9, -3, None]
+    rows = [(n, f"t{n}") for n in numbers]
+    frame = spark.createDataFrame(rows, "seq long, title string").selectExpr("*", "'a' AS account", "'d' AS date", "'x' AS text")
+    got = sorted((r.batch, r.n_articles, r.payload) for r in signals.article_requests(frame, "seq").collect())
+    order = sorted(n for n in numbers if n is not None)
+    assert [n for _, n, _ in got] == [8] * (len(order) // 8) + [len(order) % 8][:len(order) % 8]
+    assert [x["title"] for _, _, p in got for x in json.loads(p)] == [f"t{n}" for n in order]
+
+
+def test_document_list_of_a_request(spark):
+    articles = spark.createDataFrame([(1, " T ", "a", "2024-02-01T1", "x" * 5000)], "seq long, title string, account string, date string, text string")
+    docs = spark.createDataFrame([("b.md", "B", "t" * 70, None), ("a.md", "A", "", "g" * 120)], "name string, title string, tagline string, gist string")
+    r = signals.extraction_requests(articles, docs, "seq").first()
+    assert r.doc_list == f"- a.md | A —  | 内容：{'g' * 100}\n- b.md | B — {'t' * 60} | 内容："
+    assert json.loads(r.payload) == {"title": "T", "account": "a", "date": "2024-02-01", "text": "x" * 4000}
+    assert signals.extraction_requests(articles, docs.limit(0), "seq").first().doc_list == signals.NO_DOCS
+    many = spark.range(signals.DOC_LIST + 1).selectExpr("CAST(id AS STRING) AS name", "'t' AS title", "'l' AS tagline", "'g' AS gist")
+    with pytest.raises(Exception, match="documents in the list"):
+        signals.extraction_requests(articles, many, "seq").collect()
+
+
 def test_search_with_a_table_of_queries(spark):
     docs = spark.createDataFrame([("k", "a.md", "Alpha", "x"), ("k", "b.md", "beta", "alpha")],
                                  "category_key string, name string, title string, content string")
