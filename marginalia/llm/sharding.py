@@ -1,76 +1,112 @@
 """Sharding by longest-processing-time scheduling: groups that must stay together go, largest first,
 to the shard with the least load so far.
 
-The heap runs on the driver over a bounded list of items. A group larger than ``1 / (shards * FINE)``
-of all bytes is an item of its own (there can be no more than ``shards * FINE`` of them); all other
-groups are gathered by the hash of their key into ``shards * BINS`` bins, and a bin is an item. So
-every row is placed by the same rule at every size, and the loads differ by at most one item.
+The heap runs on the driver over the sizes of the groups with the number of groups of each: sizes add
+up to all bytes, so there are at most the square root of twice the bytes of different ones (14 million
+for 100 TB, in flat arrays). Groups of one size are dealt at once: the shards whose loads are less than a size
+apart take turns in a fixed order until the next shard joins them. A group's rank among those of its
+size then tells its shard. Every group is placed by this one rule, whatever its size and their number.
 """
 
 from __future__ import annotations
 
 import heapq
+from array import array
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import staged
 
-FINE = 250  # a group with more than this part of a shard is scheduled on its own
-BINS = 64   # bins a shard for all smaller groups
-SPLITS = 64  # parts in which the rows of one item are numbered
+PART_ROWS = 200_000  # rows numbered by one task (about)
+HOT = 1000  # a group with more than one in so many rows finds its shard by a broadcast
 
 
-def schedule(items: list[tuple[str, int]], shards: int) -> dict[str, int]:
-    """Shard of every (name, size): by falling size, then name, to the least loaded shard; among
+def schedule(sizes: Iterator[tuple[int, int]], shards: int) -> Iterator[tuple[int, int, list[int]]]:
+    """For (size, number of groups) by falling size: (size, first rank, turns). A group of a rank from the
+    first on gets shard ``turns[(rank - first) % len(turns)]``. Each goes to the least loaded shard, among
     equally loaded ones to the one with the smallest number."""
     heap = [(0, s) for s in range(shards)]
-    out = {}
-    for name, size in sorted(items, key=lambda x: (-x[1], x[0])):
-        load, s = heapq.heappop(heap)
-        out[name] = s
-        heapq.heappush(heap, (load + size, s))
-    return out
+    for size, count in sizes:
+        done = 0
+        while done < count:
+            if count - done <= 4 * shards:
+                turns = []
+                for _ in range(count - done):
+                    load, s = heap[0]
+                    heapq.heapreplace(heap, (load + size, s))
+                    turns.append(s)
+                yield size, done, turns
+                break
+            order = sorted(heap)
+            least, first = order[0]
+            near = [x for x in order if x < (least + size, first)] or order[:1]
+            rounds = (count - done) // len(near)
+            if size and len(near) < shards:  # stop short of the next shard's turn
+                rounds = min(rounds, max(1, (order[len(near)][0] - least) // size - 1))
+            yield size, done, [s for _, s in near]
+            heap = [(load + rounds * size, s) for load, s in near] + order[len(near):]
+            heapq.heapify(heap)
+            done += rounds * len(near)
 
 
-def assign(rows: DataFrame, shards: int, group: str = "group_key", size: str = "size", key: str = "doc_id",
-           fine: int = FINE, bins: int = BINS, splits: int = SPLITS) -> DataFrame:
+def _place(groups: DataFrame, shards: int) -> DataFrame:
+    """(_bytes, _turns): for every size its (first rank, turns) in order of rank."""
+    histogram = groups.groupBy("_bytes").agg(F.count(F.lit(1)).alias("_n")).toArrow()
+    size, count = (histogram.column(c).to_numpy() for c in ("_bytes", "_n"))
+    falling = np.argsort(-size)
+    sizes, ranks, flat, ends = array("q"), array("q"), array("i"), array("q", [0])
+    for s, rank, turns in schedule(zip(size[falling].tolist(), count[falling].tolist()), shards):
+        sizes.append(s)
+        ranks.append(rank)
+        flat.extend(turns)
+        ends.append(len(flat))
+    turns = pa.ListArray.from_arrays(pa.array(np.array(ends, dtype=np.int32)), pa.array(np.array(flat, dtype=np.int32)))
+    table = pa.table({"_bytes": pa.array(np.array(sizes, dtype=np.int64)), "rank": pa.array(np.array(ranks, dtype=np.int64)), "turns": turns})
+    placed = groups.sparkSession.createDataFrame(table, "_bytes long, rank long, turns array<int>")
+    return placed.groupBy("_bytes").agg(F.sort_array(F.collect_list(F.struct("rank", "turns"))).alias("_turns"))
+
+
+def _numbered(rows: DataFrame, within: list[str], order: list, by: str, total: int, out: str) -> DataFrame:
+    """Number the rows of each ``within`` from 0 on, in parts by the hash of ``by`` that hold about
+    ``PART_ROWS`` rows at most: a row per part crosses them."""
+    parted = rows.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(total // PART_ROWS + 1)))
+    ahead = W.partitionBy(*within).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    counts = parted.groupBy(*within, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select(*within, "_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    at = F.row_number().over(W.partitionBy(*within, "_part").orderBy(*order))
+    return (parted.withColumn("_at", at).join(before, [*within, "_part"])
+            .withColumn(out, F.col("_before") + F.col("_at") - 1).drop("_part", "_at", "_before"))
+
+
+def assign(rows: DataFrame, shards: int, group: str = "group_key", size: str = "size", key: str = "doc_id") -> DataFrame:
     """Add ``shard`` and ``slot`` (0, 1, ... without gaps within a shard) to narrow rows.
 
-    Rows of equal ``group`` (null is a group too) get one shard; a null size counts as 0. Slots follow the items, within an item
-    the hash and value of ``key``; rows alike in all columns are interchangeable. A group may hold any
-    share of the rows: sizes are pre-aggregated, and its rows are numbered in ``splits`` parts.
+    Rows of equal ``group`` (null counts as '') get one shard; a null size counts as 0. Groups of equal size and
+    the rows of a shard follow the hash, then the value, of their key; rows alike in all columns are
+    interchangeable. A group may hold any share of the rows: sizes are pre-aggregated, the shards of
+    the largest groups (fewer than ``HOT``) are broadcast, and a shard's rows are numbered in parts.
     """
-    spark = rows.sparkSession
-    group_col = F.coalesce(F.col(group).cast("string"), F.lit(""))
+    named = rows.withColumn("_g", F.coalesce(F.col(group).cast("string"), F.lit("")))
     sized = F.coalesce(F.col(size), F.lit(0)).cast("long")
-    groups = staged(rows.groupBy(group_col.alias("_g")).agg(
-        F.sum(sized).alias("_bytes"), F.count("*").alias("_rows")), "shard-groups")
-    total = groups.agg(F.sum("_bytes")).first()[0] or 0
-    limit = total // (shards * fine)
-    bin_name = F.concat(F.lit("bin "), F.pmod(F.xxhash64("_g"), F.lit(shards * bins)).cast("string"))
-    own = F.col("_bytes") > limit
-    items = groups.select(F.when(own, F.concat(F.lit("group "), F.col("_g"))).otherwise(bin_name).alias("_item"), "_bytes").groupBy(
-        "_item").agg(F.sum("_bytes").alias("_bytes")).collect()  # at most shards * (fine + bins)
-    placed = schedule([(r["_item"], r["_bytes"]) for r in items], shards)
-    alone = [name for name in placed if name.startswith("group ")]
-    big = spark.createDataFrame([(n.removeprefix("group "), n) for n in alone], "_g string, _own string")
-    named = (rows.withColumn("_g", group_col).join(F.broadcast(big), "_g", "left")
-             .withColumn("_item", F.coalesce("_own", bin_name)).drop("_g", "_own"))
-    place = spark.createDataFrame(list(placed.items()), "_item string, shard int")
-    part = F.pmod(F.xxhash64(F.col(key)), F.lit(splits)).cast("int")
-    named = named.join(F.broadcast(place), "_item").withColumn("_part", part)
-    counts = named.groupBy("shard", "_item", "_part").agg(F.count("*").alias("_n"))
-    of_item = counts.groupBy("shard", "_item").agg(F.sum("_n").alias("_total"))  # a row per item
-    before = of_item.select("_item", (F.sum("_total").over(
-        W.partitionBy("shard").orderBy("_item").rowsBetween(W.unboundedPreceding, 0)) - F.col("_total")).alias("_before"))
-    base = counts.join(F.broadcast(before), "_item").select(
-        "_item", "_part", (F.col("_before") + F.sum("_n").over(
-            W.partitionBy("_item").orderBy("_part").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).alias("_base"))
-    within = F.row_number().over(W.partitionBy("_item", "_part").orderBy(*[F.col(f"`{c}`") for c in [key, *[x for x in rows.columns if x != key]]]))
-    return (named.withColumn("_i", within).join(base, ["_item", "_part"])
-            .withColumn("slot", F.col("_base") + F.col("_i") - 1).drop("_item", "_part", "_i", "_base"))
+    groups = staged(named.groupBy("_g").agg(F.sum(sized).alias("_bytes"), F.count(F.lit(1)).alias("_rows")), "shard-groups")
+    number, total = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("_rows"), F.lit(0))).first()
+    ranked = _numbered(groups, ["_bytes"], ["_g"], "_g", number, "_rank").join(_place(groups, shards), "_bytes")
+    turn = F.element_at(F.filter("_turns", lambda t: t["rank"] <= F.col("_rank")), -1)
+    ranked = ranked.withColumn("_turn", turn)
+    shard = F.get(F.col("_turn.turns"), ((F.col("_rank") - F.col("_turn.rank")) % F.size("_turn.turns")).cast("int"))
+    placed = staged(ranked.select("_g", "_rows", shard.alias("shard")), "shard-of-groups")
+    large = F.col("_rows") * HOT > total  # fewer than HOT groups
+    hot = placed.where(large).select("_g", F.col("shard").alias("_hot"))
+    known = named.join(F.broadcast(hot), "_g", "left")
+    cold = known.where("_hot IS NULL").drop("_hot").join(placed.where(~large).select("_g", "shard"), "_g")
+    whole = cold.unionByName(known.where("_hot IS NOT NULL").withColumnRenamed("_hot", "shard")).drop("_g")
+    order = [F.col(f"`{c}`") for c in [key, *[x for x in rows.columns if x != key]]]
+    return _numbered(whole, ["shard"], order, key, total, "slot")
 
 
 def shard_documents(docs: DataFrame, shards: int, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -1,6 +1,7 @@
 """Fingerprints, chat, sharding, near-duplicates, packing and vectors against plain Python."""
 
 import hashlib
+import heapq
 import re
 import zlib
 
@@ -133,7 +134,50 @@ def test_sharding(spark, odd):
     placed = sharding.shard_documents(odd, 3).collect()
     assert len(placed) == len(ODD) and len({r.shard for r in placed if r.doc_id in (1, 2)}) == 1
     assert sharding.shard_documents(odd.limit(0), 3).count() == 0
-    assert sharding.schedule([("a", 5), ("b", 4), ("c", 3), ("d", 3)], 2) == {"a": 0, "b": 1, "c": 1, "d": 0}
+    assert list(sharding.schedule(iter([(5, 1), (4, 1), (3, 2)]), 2)) == [(5, 0, [0]), (4, 0, [1]), (3, 0, [1, 0])]
+
+
+def heap_loads(sizes, shards):
+    heap = [(0, s) for s in range(shards)]
+    for size in sorted(sizes, reverse=True):
+        load, s = heapq.heappop(heap)
+        heapq.heappush(heap, (load + size, s))
+    return [load for load, _ in sorted(heap, key=lambda x: x[1])]
+
+
+def test_schedule_is_the_heap_s():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        shards = int(rng.integers(1, 12))
+        sizes = {int(s): int(n) for s, n in zip(rng.integers(0, 10**rng.integers(1, 6), 8), rng.integers(1, 10**rng.integers(1, 5), 8))}
+        got = [0] * shards
+        by_size = {}
+        for size, rank, turns in sharding.schedule(iter(sorted(sizes.items(), reverse=True)), shards):
+            by_size.setdefault(size, []).append((rank, turns))
+        for size, runs in by_size.items():
+            for (rank, turns), end in zip(runs, [*[r for r, _ in runs[1:]], sizes[size]]):
+                for i in range(end - rank):
+                    got[turns[i % len(turns)]] += size
+        assert got == heap_loads([s for s, n in sizes.items() for _ in range(n)], shards)
+
+
+def test_sharding_is_exact_for_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PART_ROWS", 700)
+    rng = np.random.default_rng(3)
+    sizes = np.concatenate([rng.integers(1, 40, 3000), rng.integers(1, 5000, 2000), [10**6] * 3])
+    rows = [(i, f"g{i}", int(s)) for i, s in enumerate(sizes)] + [(10_000 + i, "g0", 7) for i in range(4000)] + [(None, None, None)] * 2
+    frame = spark.createDataFrame(rows, "doc_id long, group_key string, size long").select("*", F.lit("x").alias("shard_"), F.lit(1).alias("_n"))
+    got = sharding.assign(frame, 13).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(k) for k, _, _ in rows)
+    totals, where, load, slots = {}, {}, [0] * 13, {}
+    for r in got:
+        name = r.group_key or ""
+        totals[name] = totals.get(name, 0) + (r["size"] or 0)
+        assert where.setdefault(name, r.shard) == r.shard
+        load[r.shard] += r["size"] or 0
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert load == heap_loads(list(totals.values()), 13)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
 def shingle_set(text, words):
