@@ -8,22 +8,37 @@ from pyspark.sql import functions as F
 from .common import staged
 
 
+def _rewired(links: DataFrame) -> DataFrame:
+    """One round of alternating stars (Kiveris and others, 2014) over links (u, v), u > v.
+
+    First every node links its larger neighbours to the smallest of its neighbours and itself, then
+    every node links its smaller neighbours, and itself, to the smallest of them.
+    """
+    both = links.union(links.select("v", "u"))
+    low = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("low"))
+    large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+    least = large.groupBy("u").agg(F.min("v").alias("low"))
+    small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("low").alias("v")),
+                                                            F.struct(F.col("v").alias("u"), F.col("low").alias("v")))).alias("_l"))
+    return small.select("_l.*").where("u <> v").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for all ends of the edges (a, b): the smallest node that can be reached.
 
-    Each round takes the smallest label among the neighbours and then that label's label, so the
-    number of rounds grows with the logarithm of the longest path. Sums of a hub's edges are
-    pre-aggregated; joins on a hub are split by the engine. Self loops and repeated edges do no harm.
+    Links are rewired until every node is linked to the label alone. A path halves in length with
+    every round, so a component takes about as many as the logarithm of its longest path; the number
+    of links never grows. Minima of a hub's links are pre-aggregated; joins on a hub are split by the
+    engine. Self loops and repeated edges do no harm.
     """
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
-    both = staged(both, "edges")
-    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
-    while True:
-        seen = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(
-            F.min("label").alias("near"))
-        step = labels.join(seen, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
-        jump = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
-        moved = staged(step.join(jump, "mid").select("node", "old", F.least("mid", "far").alias("label")), "labels")
-        labels = moved.select("node", "label")
-        if moved.filter("old <> label").limit(1).count() == 0:
-            return labels
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    links = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    count = links.count()
+    while count:
+        moved = staged(_rewired(links), "links")
+        moved_count = moved.count()
+        same = moved_count == count and moved.join(links, ["u", "v"], "left_anti").limit(1).count() == 0
+        links, count = moved, moved_count
+        if same:
+            break
+    return nodes.join(links.select(F.col("u").alias("node"), "v"), "node", "left").select("node", F.coalesce("v", "node").alias("label"))
