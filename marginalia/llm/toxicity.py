@@ -15,9 +15,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -49,16 +51,24 @@ SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "
 
 _LOOK = str.maketrans(LOOKALIKES)
 _HAS_LOOK = re.compile(f"[{''.join(LOOKALIKES)}]")
-_SIGNED = re.compile(r"[^\W\d_][\w@$!|€+]*[0-9@$!|€+][\w@$!|€+]*|[0-9@$!|€+]+[^\W\d_][\w@$!|€+]*")
+# A run of word characters and signs that holds a sign, found in one pass; where in it a word with
+# signs begins: at a letter, or at signs with a letter behind them.
+_SIGNED = re.compile(r"(?<![\w@$!|€+])[^\W0-9]*+[0-9@$!|€+][\w@$!|€+]*+")
+_FROM = re.compile(r"[^\W\d_]|(?<![0-9@$!|€+])[0-9@$!|€+]++[^\W\d_]")
+_ANY_SIGN = re.compile(r"[0-9@$!|€+]")
 _SIGN = str.maketrans(SIGNS)
 _WORD = re.compile(r"[^\W\d_]+")
 _HIDDEN = re.compile("[­​-‏⁠﻿̀-ͯ]")
 
 
 def _letters(match: re.Match) -> str:
-    word = match[0]
+    run = match[0]
+    begin = _FROM.search(run)
+    if begin is None or not _ANY_SIGN.search(run, begin.start()):
+        return run
+    before, word = run[:begin.start()], run[begin.start():]
     tail = len(word.rstrip("!|+@$€"))  # signs at the end are punctuation
-    return word[:tail].translate(_SIGN) + " " if tail < len(word) else word.translate(_SIGN)
+    return before + (word[:tail].translate(_SIGN) + " " if tail < len(word) else word.translate(_SIGN))
 
 
 def fold(text: str) -> str:
@@ -118,7 +128,13 @@ class Lexicon:
                 spared.append((start, end))
             elif weight > best.get(start, 0.0):
                 best[start] = weight
-        return sum(w for s, w in best.items() if not any(a <= s < b for a, b in spared))
+        spared.sort()
+        reach = list(accumulate((b for _, b in spared), max))
+
+        def free(s: int) -> bool:
+            at = bisect_right(spared, (s, len(folded))) - 1
+            return at < 0 or reach[at] <= s
+        return sum(w for s, w in best.items() if free(s))
 
     def features(self, text: str) -> tuple[float, float]:
         folded = fold(text)
