@@ -18,28 +18,33 @@ from marginalia.llm.common import held_out, staged, table
 KEEP_FROM = 0.5  # least probability of a grade above the lowest
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """The text, and the whole document as one value, so that its columns may have any names."""
+    return docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are probably of a grade above the lowest; all if there is nothing to learn from."""
     learn = docs.filter(~held_out()).select("doc_id", "text")
     grader = quality.fit(quality.with_rating(learn, table(spark, sf_dir, "labels")))
     if grader is None:
         return docs
-    graded = quality.grade(docs, grader, keep=tuple(docs.columns))
-    return graded.filter(F.col("tails")[0] >= KEEP_FROM).select(*docs.columns)
+    graded = quality.grade(whole_rows(docs), grader, keep=("row",))
+    return graded.filter(F.col("tails")[0] >= KEEP_FROM).select("row.*")
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents not predicted to be toxic."""
     lexicon = toxicity.fit(docs.filter(~held_out()).select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, lexicon, keep=tuple(docs.columns))
-    return scored.filter(F.col("predicted") == 0).select(*docs.columns)
+    scored = toxicity.score(whole_rows(docs), lexicon, keep=("row",))
+    return scored.filter(F.col("predicted") == 0).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of near copies: the one with the smallest id. Rows without an id stay."""
     found = near_duplicates.near_duplicates(docs)
     gone = found.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
