@@ -27,6 +27,7 @@ from .words import ListCache, Segments, codepoints, ragged
 
 _LITERAL = 0x110000  # stands for a U+2581 of the text
 UNKNOWN_PENALTY = 10.0
+LONG = 128  # words with more characters have few mates; each is worked out alone, to the same path
 
 
 @cache
@@ -52,6 +53,11 @@ def _scores(model: str) -> tuple[np.ndarray, float]:
     return scores, min(s for _, s, _ in normal) - UNKNOWN_PENALTY
 
 
+@cache
+def _piece_scores(model: str) -> dict[str, tuple[float, int]]:
+    return {piece: (score, i) for piece, score, i in P.load_model(model)[0]}
+
+
 @cache
 def _surfaces(model: str) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of every id one after another, and where they start. Ids that stand for nothing have none."""
@@ -108,6 +114,32 @@ def viterbi(words: np.ndarray, model: str) -> list[tuple[np.ndarray, np.ndarray,
     return path
 
 
+def _long_path(word: np.ndarray, model: str) -> np.ndarray:
+    """What ``viterbi`` finds for one word, by the same recurrence over a dictionary of the pieces: ids
+    from the last piece to the first, an unknown character as -1 minus its code point."""
+    table, (_, unknown), longest = _piece_scores(model), _scores(model), P.piece_table(model).longest
+    text = np.minimum(word, 0x10FFFF).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    best, back = [0.0], [(0, -1)]
+    for end in range(1, len(text) + 1):
+        top, via, single = -np.inf, (end - 1, -1), False
+        for start in range(max(0, end - longest), end):
+            found = table.get(text[start:end])
+            if found is not None:
+                single = start == end - 1
+                if best[start] + found[0] > top:
+                    top, via = best[start] + found[0], (start, found[1])
+        if not single and best[end - 1] + unknown > top:
+            top, via = best[end - 1] + unknown, (end - 1, -1)
+        best.append(top)
+        back.append(via)
+    out, at = [], len(text)
+    while at:
+        start, piece = back[at]
+        out.append(piece if piece >= 0 else -1 - int(word[start]))
+        at = start
+    return np.array(out, dtype=np.int64)
+
+
 def _encode_words(seg: Segments, rows: np.ndarray, model: str) -> tuple[np.ndarray, np.ndarray]:
     byte_ids = P.load_model(model)[1]
     values: list[np.ndarray] = []
@@ -115,6 +147,12 @@ def _encode_words(seg: Segments, rows: np.ndarray, model: str) -> tuple[np.ndarr
     lengths = seg.length[rows]
     for length in np.unique(lengths):
         at = np.flatnonzero(lengths == length)
+        if length > LONG:
+            for i in at:
+                path = _long_path(seg.matrix(rows[i:i + 1], int(length))[0], model)
+                owner.append(np.full(len(path), i))
+                values.append(path)
+            continue
         words = seg.matrix(rows[at], int(length))
         for own, starts, ids in viterbi(words, model):
             owner.append(at[own])
