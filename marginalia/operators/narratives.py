@@ -88,7 +88,8 @@ def weekly_report(signals: DataFrame, feed: DataFrame, variables: DataFrame, sta
     """The five data sets of the weekly report in long form (section, theme, field, value, n)."""
     told = _with_previous(feed)
     changed = F.coalesce(F.max(_is_change() & in_range("date", start, end)), F.lit(False))
-    cur = told.groupBy("theme").agg(F.max_by(F.struct("narrative", "trigger", "date"), "seq").alias("_row"),
+    # The same columns as the changes below need, so that both read one exchange of the feed.
+    cur = told.groupBy("theme").agg(F.max_by(F.struct("narrative", "trigger", "date", "is_transition"), "seq").alias("_row"),
                                     changed.alias("_changed"))
     touched = cur.where(F.col("_changed") | in_range(F.col("_row.date"), start, end)).select("theme", "_row.*")
 
