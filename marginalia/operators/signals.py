@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.expr import col, each_present, first_nonempty, let, one_of, or_else, strip
 from ..functions.text import norm_title, safe_name, strip_fence
-from .ordered import keep_first, running_sum, top_per_group, with_number_bucket
+from .ordered import keep_first, top_per_group, with_number_bucket
 
 # Themes and enums of the signal schema, with the limits of a run.
 THEMES = ["AI Infrastructure", "Foundation Model", "AI Agent", "Robotics", "AI4S",
@@ -152,13 +152,16 @@ def article_requests(articles: DataFrame, seq: str) -> DataFrame:
     which only the last may hold fewer, whatever gaps the numbers have. Articles without a number are
     left out.
 
-    Articles are counted per range of ``ARTICLE_RANGE`` numbers, the counts are summed up in two levels, and
-    an article's place is that of its range plus its place in it, so no task sees more than a range or
-    a million counts.
+    Articles are counted per range of ``ARTICLE_RANGE`` numbers and the counts are summed up in two levels (of
+    a million ranges, and one sum for each of those); an article's place is that of its range plus its
+    place in it.
     """
     rows = articles.where(F.col(seq).isNotNull()).select(F.floor(F.col(seq) / ARTICLE_RANGE).alias("_range"), F.col(seq).alias("_seq"), _request_text(articles).alias("_item"))
-    counts = with_number_bucket(rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_all", F.lit(0)), "_range")
-    before = running_sum(counts, ["_all"], ["_range"], F.col("_n"), "_upto").select("_range", (F.col("_upto") - F.col("_n")).alias("_before"))
+    counts = with_number_bucket(rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")), "_range")
+    sums = counts.groupBy("_bucket").agg(F.sum("_n").alias("n")).agg(F.collect_list(F.struct("_bucket", "n"))).scalar()
+    earlier = F.aggregate(F.filter("_sums", lambda x: x["_bucket"] < F.col("_bucket")), F.lit(0).cast("long"), lambda total, x: total + x["n"])
+    inside = F.sum("_n").over(W.partitionBy("_bucket").orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    before = counts.withColumn("_sums", sums).select("_range", (earlier + F.coalesce(inside, F.lit(0))).alias("_before"))
     at = F.row_number().over(W.partitionBy("_range").orderBy("_seq", "_item"))
     placed = rows.withColumn("_at", at).join(before, "_range").withColumn("_at", F.col("_before") + F.col("_at") - 1)
     return placed.groupBy(F.floor(F.col("_at") / ARTICLES_PER_CALL).alias("batch")).agg(
