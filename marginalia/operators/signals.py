@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.expr import col, each_present, first_nonempty, let, one_of, or_else, strip
 from ..functions.text import norm_title, safe_name, strip_fence
-from .ordered import keep_first, top_per_group, with_number_bucket
+from .ordered import keep_first, top_per_group, with_number_bucket, with_order_bucket
 
 # Themes and enums of the signal schema, with the limits of a run.
 THEMES = ["AI Infrastructure", "Foundation Model", "AI Agent", "Robotics", "AI4S",
@@ -170,24 +174,60 @@ def article_requests(articles: DataFrame, seq: str) -> DataFrame:
                                                       lambda x: x["_item"]), ","), F.lit("]")).alias("payload"))
 
 
+def doc_lines(docs: DataFrame) -> DataFrame:
+    """(name, line): the known documents as lines of the list a request carries. ``docs`` holds
+    (name, title, tagline, gist) of one folder."""
+    title, tagline, gist = (F.coalesce(c, F.lit("")) for c in ("title", "tagline", "gist"))
+    return docs.select("name", F.concat(F.lit("- "), "name", F.lit(" | "), title, F.lit(" — "), F.left(tagline, F.lit(60)),
+                                        F.lit(" | 内容："), F.left(gist, F.lit(100))).alias("line"))
+
+
 def doc_list(docs: DataFrame) -> Column:
-    """The known documents as the text a request carries, a line each in order of name, as a scalar
-    subquery. ``docs`` holds (name, title, tagline, gist) of one folder; more than ``DOC_LIST`` of them are an
-    error, as no request could hold them."""
-    line = F.concat(F.lit("- "), "name", F.lit(" | "), "title", F.lit(" — "), F.left("tagline", F.lit(60)),
-                    F.lit(" | 内容："), F.left(F.coalesce("gist", F.lit("")), F.lit(100)))
-    some = docs.select("name", line.alias("line")).limit(DOC_LIST + 1)
+    """The list a request carries, a line for each document in order of name, as a scalar subquery. More
+    than ``DOC_LIST`` documents are an error, as no request could hold them (see ``filing_requests``)."""
+    some = doc_lines(docs).limit(DOC_LIST + 1)
     lines = F.transform(F.sort_array(F.collect_list(F.struct("name", "line"))), lambda x: x["line"])
     text = F.when(F.count(F.lit(1)) > DOC_LIST, F.raise_error(F.lit(f"more than {DOC_LIST} documents in the list"))).otherwise(
         or_else(F.array_join(lines, "\n"), NO_DOCS))
     return some.agg(text).scalar()
 
 
+def list_parts(docs: DataFrame) -> DataFrame:
+    """(part, text): the whole list, however long, cut between lines. Joined by line breaks in order of
+    ``part``, the texts are the list."""
+    cut = with_order_bucket(doc_lines(docs), [], ["name", "line"])
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("name", "line"))), lambda x: x["line"])
+    return cut.groupBy(F.col("_bucket").alias("part")).agg(F.array_join(lines, "\n").alias("text"))
+
+
+def list_digest(docs: DataFrame) -> Column:
+    """MD5 of the whole list, as a scalar subquery. A digest is sequential by definition: the parts, of which there
+    are at most a few thousand, go through one task in order, which keeps the running hash and no text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, some = hashlib.md5(), False
+        for batch in batches:
+            for text in batch.column(0):
+                digest.update(b"\n" if some else b"")
+                digest.update(text.as_buffer())
+                some = True
+        if some:
+            yield pa.RecordBatch.from_pydict({"md5": [digest.hexdigest()]})
+
+    ordered = list_parts(docs).repartition(1).sortWithinPartitions("part").select("text")
+    return ordered.mapInArrow(run, "md5 string").agg(F.coalesce(F.first("md5"), F.md5(F.lit(NO_DOCS)))).scalar()
+
+
 def extraction_requests(articles: DataFrame, docs: DataFrame, key: str) -> DataFrame:
     """(key, doc_list, payload): one request per article, with the list of documents it may be filed in."""
     return articles.select(key, doc_list(docs).alias("doc_list"), _request_text(articles).alias("payload"))
 
 
+def filing_requests(articles: DataFrame, docs: DataFrame, key: str) -> DataFrame:
+    """(key, list_md5, payload): one request per article for a folder of any size. The list is the same for
+    all of them, so they name it by its digest, and ``list_parts`` gives it once."""
+    return articles.select(key, list_digest(docs).alias("list_md5"), _request_text(articles).alias("payload"))
+
+
 # ---- date predicates --------------------------------------------------------------------------
 
 def days_before(as_of: str, days: int) -> Column:

@@ -244,8 +244,8 @@ def _(spark, sf):
   FROM K WHERE category_key = 'src8')""") + """ SELECT doc_id AS seq, md5(docs) AS docs, CAST(item AS VARCHAR) AS payload FROM A, T""")
 def _(spark, sf):
     known = S.kb_docs(spark, sf).where("category_key = 'src8'").select("name", "title", F.col("subtitle").alias("tagline"), F.col("content").alias("gist"))
-    asked = G.extraction_requests(articles(spark, sf), known, "seq")
-    return asked.select("seq", F.md5("doc_list").alias("docs"), "payload")
+    asked = G.filing_requests(articles(spark, sf), known, "seq")
+    return asked.select("seq", F.col("list_md5").alias("docs"), "payload")
 
 
 # ---- lists and counts -------------------------------------------------------------------------

@@ -1,5 +1,6 @@
 """Operators on small frames, with hot groups and tiny buckets."""
 
+import hashlib
 import json
 import random
 
@@ -70,6 +71,23 @@ def test_document_list_of_a_request(spark):
         signals.extraction_requests(articles, many, "seq").collect()
 
 
+def test_document_list_of_any_length(spark):
+    articles = spark.range(3).selectExpr("id AS seq", "'t' AS title", "'a' AS account", "'d' AS date", "'x' AS text")
+    names = [f"n{i * 7919 % 5003:06d}.md" for i in range(5003)]
+    docs = spark.createDataFrame([(n, None if n.endswith("7.md") else f"T {n}", "é" * 70, None) for n in names],
+                                 "name string, title string, tagline string, gist string").repartition(7)
+    line = lambda n: f"- {n} | {'' if n.endswith('7.md') else 'T ' + n} — {'é' * 60} | 内容："
+    want = "\n".join(map(line, sorted(names)))
+    assert "\n".join(r.text for r in signals.list_parts(docs).orderBy("part").collect()) == want
+    got = signals.filing_requests(articles, docs, "seq").collect()
+    assert sorted(r.seq for r in got) == [0, 1, 2] and {r.list_md5 for r in got} == {hashlib.md5(want.encode()).hexdigest()}
+    few = docs.where("name < 'n000900'")
+    held = signals.extraction_requests(articles, few, "seq").first().doc_list
+    assert signals.filing_requests(articles, few, "seq").first().list_md5 == hashlib.md5(held.encode()).hexdigest()
+    none = signals.filing_requests(articles, docs.limit(0), "seq").first().list_md5
+    assert none == hashlib.md5(signals.NO_DOCS.encode()).hexdigest()
+
+
 def test_search_with_a_table_of_queries(spark):
     docs = spark.createDataFrame([("k", "a.md", "Alpha", "x"), ("k", "b.md", "beta", "alpha")],
                                  "category_key string, name string, title string, content string")
