@@ -24,7 +24,8 @@ from ..session import shared_dir
 GRAMS = (1 << 24) + (1 << 16) + (1 << 8)
 SAMPLE = 64  # one of so many texts is looked at for the frequency of a gram
 SALTS, HOT, HOT_TEXTS = 16, 4096, 1_000_000  # keys of a hot anchor, how many are salted, and the number of texts that makes one hot
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 1 << 18  # bytes of text looked at in one go; numpy takes up to 250 times as many
+EMIT_ROWS, EMIT_BYTES = 65536, 1 << 24  # of an emitted batch
 
 
 def gram_codes(raw: np.ndarray, starts: np.ndarray, wanted: np.ndarray | None, whole: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -53,6 +54,24 @@ def gram_codes(raw: np.ndarray, starts: np.ndarray, wanted: np.ndarray | None, w
     return np.concatenate(codes), np.concatenate(owners)
 
 
+def distinct_grams(raw: np.ndarray, starts: np.ndarray, wanted: np.ndarray | None, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+    """``gram_codes`` without repeats, in order of text and gram. What is longer than ``BATCH_BYTES`` is one
+    text (see ``_slices``), and is gone through in pieces that overlap by two bytes."""
+    if len(raw) <= BATCH_BYTES:
+        codes, owner = gram_codes(raw, starts, wanted, whole)
+        pair = np.unique(owner * (1 << 25) + codes)
+        return pair & ((1 << 25) - 1), pair >> 25
+    found, new, held = np.zeros(0, dtype=np.int64), [], 0
+    for at in range(0, len(raw) - 2, BATCH_BYTES):
+        piece = raw[at:at + BATCH_BYTES + 2]
+        new.append(np.unique(gram_codes(piece, np.array([0, len(piece)]), wanted, whole)[0]))
+        held += len(new[-1])
+        if held > max(len(found), 1 << 20):
+            found, new, held = np.unique(np.concatenate([found, *new])), [], 0
+    found = np.unique(np.concatenate([found, *new]))
+    return found, np.zeros(len(found), dtype=np.int64)
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches of bounded size with the bytes of ``_text`` and where each text starts."""
     for whole in batches:
@@ -72,19 +91,19 @@ def _grams(texts: DataFrame, text: str, carry: Sequence[str], wanted: np.ndarray
     the gram as ``_code`` and a salt as ``_salt``."""
     schema = T.StructType([*texts.select(*carry).schema.fields, T.StructField("_code", T.LongType()), T.StructField("_salt", T.IntegerType())])
     hot = np.zeros(0, dtype=np.int64) if hot is None else hot
+    names = [f"_c{k}" for k in range(len(carry))]
 
     def run(batches):
         dealt = 0
         for batch, raw, starts in _slices(batches):
-            codes, owner = gram_codes(raw, starts, wanted, whole)
-            pair = np.unique(owner * (1 << 25) + codes)
-            owner, codes = pair >> 25, pair & ((1 << 25) - 1)
+            codes, owner = distinct_grams(raw, starts, wanted, whole)
             salt = np.where(np.isin(codes, hot), (owner + dealt) % SALTS, 0).astype(np.int32)
             dealt += batch.num_rows
-            for i in range(0, len(codes), 65536):
-                rows = batch.take(pa.array(owner[i:i + 65536]))
-                yield pa.RecordBatch.from_arrays([*[rows.column(f"_c{k}") for k in range(len(carry))], pa.array(codes[i:i + 65536]),
-                                                  pa.array(salt[i:i + 65536])], names=schema.names)
+            widest = max(int(np.diff(starts).max()), 1) if text in carry else 1
+            step = max(1, min(EMIT_ROWS, EMIT_BYTES // widest))
+            for i in range(0, len(codes), step):
+                rows = batch.select(names).take(pa.array(owner[i:i + step]))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(codes[i:i + step]), pa.array(salt[i:i + step])], names=schema.names)
 
     return texts.select(*[F.col(c).alias(f"_c{k}") for k, c in enumerate(carry)], F.col(text).alias("_text")).mapInArrow(run, schema)
 

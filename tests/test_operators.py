@@ -3,7 +3,9 @@
 import hashlib
 import json
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
@@ -176,6 +178,21 @@ def test_texts_emit_their_anchors_only(spark):
     assert hits == 9 + 10 and maybe <= 4 * 200  # every text has 25 grams; only texts with a 77 in them emit one
 
 
+def test_grams_of_long_texts_in_bounded_memory():
+    raw = np.random.default_rng(5).integers(97, 123, 3_000_000, dtype=np.uint8)
+    for wanted in (None, np.random.default_rng(6).integers(0, 256, anchors.GRAMS >> 3, dtype=np.uint8)):
+        want = np.unique(anchors.gram_codes(raw, np.array([0, len(raw)]), wanted, False)[0])
+        tracemalloc.start()
+        codes, owner = anchors.distinct_grams(raw, np.array([0, len(raw)]), wanted, False)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert codes.tolist() == want.tolist() and not owner.any() and peak < 120_000_000
+    texts = [b"abcab", b"", b"\xe4\xbd\xa0", b"ab"]
+    starts = np.cumsum([0, *map(len, texts)])
+    codes, owner = anchors.distinct_grams(np.frombuffer(b"".join(texts), dtype=np.uint8), starts, None, True)
+    assert np.bincount(owner, minlength=4).tolist() == [3, 0, 1, 1]
+
+
 def test_search_table_is_like_the_list(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abAé你") for _ in range(rng.randint(1, 5)))
