@@ -365,3 +365,19 @@ def test_enrich_keeps_going_after_a_failure(spark):
     assert all(r.failed and "replies to" in r.error for r in enrich.enrich(df.coalesce(1), "prompt", short, retries=0).collect())
     with pytest.raises(Exception, match="no key"):
         enrich.enrich(df, "prompt", unset).collect()
+
+
+def test_enrich_calls_are_bounded(spark):
+    sizes = [0, 5, 300_000, 800_000, 10, 2_000_000, 3, None, *[90_000] * 30]
+    rows = [(i, None if n is None else "é" * (n // 2), i if i % 2 else None) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "i int, prompt string, extra int").coalesce(1)
+
+    def service(prompts):
+        size = sum(len((p or "").encode()) for p in prompts)
+        return [f"{len(prompts)} {size} {len(p or '')}" for p in prompts]
+
+    got = {r.i: r for r in enrich.enrich(df, "prompt", service).collect()}
+    assert [(got[i].prompt, got[i].extra) for i in range(len(rows))] == [r[1:] for r in rows]
+    for i, n in enumerate(sizes):
+        count, size, own = map(int, got[i].reply.split())
+        assert own == (n or 0) // 2 and not got[i].failed and (size <= enrich.CALL_BYTES or count == 1)
